@@ -1,0 +1,139 @@
+"""Runs a model program as one Spark job and reports one row per branch."""
+
+from __future__ import annotations
+
+import math
+import secrets
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quincunx.functions import summary
+from quincunx.functions.arithmetic import paired_delta
+from quincunx.operators.blocks import fold_blocks, summarise_blocks
+from quincunx.operators.histogram import histogram
+from quincunx.operators.quantiles import exact_quantiles
+from quincunx.plans.program import Program, read_program
+from quincunx.sources.draws import philox_draws
+
+# Fixed value: runs up to this size keep every value and report exact quantiles.
+EXACT_LIMIT = 65_536
+SEED_STRATEGIES = ("philox_logical_block", "batch_index")
+MEMORY_MODES = ("bounded", "retain_all")
+BRANCHES = {  # id -> label
+    "main": "result",
+    "plus": "plus branch",
+    "minus": "minus branch",
+    "plus_minus_delta": "paired difference, plus less minus",
+}
+
+
+@dataclass(frozen=True)
+class SimConfig:
+    seed: int | None = None
+    logical_block_size: int = 5_000
+    batch_size: int = 25_000
+    histogram_bins: int = 30
+    seed_strategy: str = "philox_logical_block"
+    memory_mode: str = "bounded"
+    partitions: int | None = None  # physical tasks; never changes a result
+
+    def __post_init__(self):
+        for name in ("logical_block_size", "batch_size", "histogram_bins"):
+            if getattr(self, name) <= 0:
+                raise ValueError(f"{name} must be greater than zero")
+        if self.partitions is not None and self.partitions <= 0:
+            raise ValueError("partitions must be greater than zero")
+        if self.seed is not None and self.seed < 0:
+            raise ValueError("seed must not be negative")
+        if self.seed_strategy not in SEED_STRATEGIES:
+            raise ValueError(f"seed_strategy must be one of {SEED_STRATEGIES}")
+        if self.memory_mode not in MEMORY_MODES:
+            raise ValueError(f"memory_mode must be one of {MEMORY_MODES}")
+
+    @property
+    def block_size(self) -> int:
+        """The unit of random streams and of the reduction."""
+        return self.logical_block_size if self.seed_strategy == "philox_logical_block" else self.batch_size
+
+
+def draw_branches(spark: SparkSession, program: Program, seed: int, config: SimConfig) -> DataFrame:
+    """(block, one raw value per branch) for every iteration."""
+    draws = philox_draws(
+        spark,
+        program.variables,
+        program.iterations,
+        seed,
+        config.block_size,
+        names=program.formula.names,
+        one_stream_per_block=config.seed_strategy == "batch_index",
+        partitions=config.partitions,
+    )
+    return program.formula.evaluate(draws, keep=["block"])
+
+
+def simulate(spark: SparkSession, program: Program | str, config: SimConfig = SimConfig()) -> DataFrame:
+    """One row per branch: counts, requested statistics, diagnostics and histogram.
+
+    Up to EXACT_LIMIT iterations quantiles are exact.  Beyond it they come from the
+    block sketches in the same single pass, unless ``memory_mode`` is ``retain_all``:
+    then they are selected exactly, by further passes over regenerated draws.
+    """
+    if isinstance(program, str):
+        program = read_program(program)
+    seed = secrets.randbits(128) if config.seed is None else config.seed
+    rows = program.iterations
+    blocks = math.ceil(rows / min(config.block_size, rows))
+    exact_passes = config.memory_mode == "retain_all" and rows > EXACT_LIMIT
+    detail = "values" if rows <= EXACT_LIMIT else ("none" if exact_passes else "sketch")
+    values = draw_branches(spark, program, seed, config)
+    states = fold_blocks(
+        summarise_blocks(values, program.formula.branch_ids, detail),
+        blocks,
+        detail=detail,
+        bins=config.histogram_bins,
+    )
+    ids = [*program.formula.branch_ids, *(["plus_minus_delta"] if len(program.formula.branches) == 2 else [])]
+    states = states.withColumn("id", F.array(*[F.lit(i) for i in ids])[F.col("branch")])
+    if exact_passes:
+        if len(ids) == 3:
+            values = values.withColumn("plus_minus_delta", paired_delta(F.col("plus"), F.col("minus")))
+        measures = {i: F.col(i) for i in ids}
+        exact = exact_quantiles(values, measures)
+        shape = histogram(values, measures, config.histogram_bins)
+        states = (
+            states.drop("quantiles", "edges", "counts")
+            .join(F.broadcast(exact.select("id", F.array("p05", "p50", "p95").alias("quantiles"))), "id", "left")
+            .join(F.broadcast(shape.select("id", F.col("histogram.bins").alias("bins"))), "id", "left")
+        )
+    else:
+        states = states.withColumn(
+            "bins",
+            F.expr("transform(counts, (c, k) -> struct(edges[k] AS x0, edges[k + 1] AS x1, c AS count))"),
+        )
+    return _report(states, program.response)
+
+
+def _report(states: DataFrame, response: tuple[str, ...]) -> DataFrame:
+    n, candidates, mean, m2 = (F.col(c) for c in ("n", "candidates", "mean", "m2"))
+    low, high = F.col("low"), F.col("high")
+    return states.select(
+        F.when(F.col("valid_any") == 0, F.raise_error(F.lit("the simulation produced no finite result")))
+        .otherwise(F.col("id")).cast("string").alias("id"),
+        F.create_map(*[F.lit(x) for pair in BRANCHES.items() for x in pair])[F.col("id")].alias("label"),
+        candidates.alias("candidate_results"),
+        n.alias("valid_results"),
+        (candidates - n).alias("discarded_results"),
+        summary.statistics(response, n, candidates, mean, m2, low, high, F.col("quantiles")).alias("stats"),
+        summary.diagnostics(n, candidates, mean, m2, low, high).alias("diagnostics"),
+        F.when(F.col("corr_n") > 0, (F.col("corr_sum") + F.col("corr_comp")) / F.col("corr_n")).alias(
+            "correlation_plus_minus_mean"
+        ),
+        F.struct(
+            low.alias("data_min"),
+            high.alias("data_max"),
+            F.coalesce(F.expr("aggregate(bins.count, 0L, (a, c) -> a + c)"), F.lit(0)).alias("total_count"),
+            F.coalesce(F.col("bins"), F.array().cast("array<struct<x0:double,x1:double,count:bigint>>")).alias("bins"),
+        ).alias("histogram"),
+    )
