@@ -1,106 +1,101 @@
-"""Derived statistics as Column expressions over a moment state (n, mean, m2)."""
+"""Derived statistics as SQL text over a moment state (n, mean, m2, low, high).
 
-from __future__ import annotations
+Text rather than Column objects: a report has hundreds of operators, and one expression
+string crosses to the JVM in one call.  Arguments are column names or SQL fragments.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Fixed value: two-sided 95 % point of the normal approximation.
 Z95 = 1.96
 
 
-def variance(n: Column, m2: Column) -> Column:
+def variance(n: str, m2: str) -> str:
     """Sample variance (n - 1); NULL for fewer than two values, never negative."""
-    return F.when(n > 1, F.greatest(F.lit(0.0), m2 / (n - 1)))
+    return f"if({n} > 1, greatest(0D, {m2} / ({n} - 1)), NULL)"
 
 
-def stddev(n: Column, m2: Column) -> Column:
-    return F.sqrt(variance(n, m2))
+def stddev(n: str, m2: str) -> str:
+    return f"sqrt({variance(n, m2)})"
 
 
-def mcse(n: Column, m2: Column) -> Column:
+def mcse(n: str, m2: str) -> str:
     """Monte Carlo standard error of the mean, s / sqrt(n)."""
-    return F.when(n > 1, stddev(n, m2) / F.sqrt(n.cast("double")))
+    return f"({stddev(n, m2)} / sqrt(nullif({n}, 0)))"
 
 
-def mean_interval(mean: Column, error: Column) -> Column:
+def mean_interval(mean: str, error: str) -> str:
     """Normal-approximation 95 % interval of the mean as a two-element array."""
-    return F.when(error.isNotNull(), F.array(mean - Z95 * error, mean + Z95 * error))
+    return f"if({error} IS NULL, NULL, array({mean} - {Z95}D * {error}, {mean} + {Z95}D * {error}))"
 
 
-def relative_mcse(mean: Column, error: Column) -> Column:
-    return F.when(mean != 0.0, F.abs(error / mean))
+def relative_mcse(mean: str, error: str) -> str:
+    return f"abs({error} / nullif({mean}, 0D))"
 
 
-def wilson(successes: Column, trials: Column, z: float = Z95) -> Column:
-    """Wilson interval of a proportion, clamped to [0, 1]; NULL without trials."""
-    n = F.when(trials > 0, trials.cast("double"))
-    p = successes / n
-    z2 = z * z
-    scale = 1.0 + z2 / n
-    centre = (p + z2 / (2.0 * n)) / scale
-    half = z * F.sqrt((p * (1.0 - p) + z2 / (4.0 * n)) / n) / scale
-    return F.when(
-        n.isNotNull(),
-        F.array(F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)),
-    )
+def rate(part: str, whole: str) -> str:
+    return f"if({whole} > 0, {part} / {whole}, NULL)"
 
 
-def rate(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole)
+def wilson(successes: str, trials: str, z: float = Z95) -> str:
+    """Wilson interval of a proportion, clamped to [0, 1]; NULL without trials."""
+    n = f"cast({trials} AS double)"
+    p = f"(({successes}) / {n})"
+    z2 = z * z
+    scale = f"(1D + {z2}D / {n})"
+    centre = f"(({p} + {z2}D / (2D * {n})) / {scale})"
+    half = f"({z}D * sqrt(({p} * (1D - {p}) + {z2}D / (4D * {n})) / {n}) / {scale})"
+    return f"if({trials} > 0, array(greatest(0D, {centre} - {half}), least(1D, {centre} + {half})), NULL)"
 
 
-def pair_correlation(a: Column, b: Column) -> Column:
+def pair_correlation(a: str, b: str) -> str:
     """Pearson r of the rows where both are present; NULL if n <= 1 or either is constant.
 
     ``corr`` divides by zero under ANSI mode when one side is constant.
     """
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
-    return F.when(F.count(x) > 1, F.covar_pop(x, y) / F.when(spread > 0.0, spread))
+    both = f"({a} IS NOT NULL AND {b} IS NOT NULL)"
+    spread = f"(sqrt(var_pop({a}) FILTER (WHERE {both})) * sqrt(var_pop({b}) FILTER (WHERE {both})))"
+    return f"(covar_pop({a}, {b}) FILTER (WHERE {both}) / nullif({spread}, 0D))"
 
 
-def diagnostics(n: Column, candidates: Column, mean: Column, m2: Column, low: Column, high: Column) -> Column:
+def diagnostics(n: str, candidates: str, mean: str, m2: str, low: str, high: str) -> str:
     """Accuracy record of one branch; present whatever statistics were requested."""
-    discarded = F.greatest(F.lit(0), candidates - n)
+    discarded = f"greatest(0, {candidates} - {n})"
     error = mcse(n, m2)
-    return F.struct(
-        n.alias("n"),
-        candidates.alias("candidate_results"),
-        low.alias("sample_min"),
-        high.alias("sample_max"),
-        variance(n, m2).alias("sample_variance"),
-        stddev(n, m2).alias("sample_stddev"),
-        error.alias("mcse_mean"),
-        mean_interval(mean, error).alias("ci95_mean"),
-        F.lit("normal_approximation").alias("ci95_mean_type"),
-        relative_mcse(mean, error).alias("relative_mcse"),
-        rate(n, candidates).alias("valid_rate"),
-        rate(discarded, candidates).alias("discard_rate"),
-        wilson(n, candidates).alias("valid_rate_ci95_wilson"),
-        wilson(discarded, candidates).alias("discard_rate_ci95_wilson"),
-        F.lit("discard_and_report").alias("nonfinite_policy"),
-    )
+    return f"""named_struct(
+        'n', {n},
+        'candidate_results', {candidates},
+        'sample_min', {low},
+        'sample_max', {high},
+        'sample_variance', {variance(n, m2)},
+        'sample_stddev', {stddev(n, m2)},
+        'mcse_mean', {error},
+        'ci95_mean', {mean_interval(mean, error)},
+        'ci95_mean_type', 'normal_approximation',
+        'relative_mcse', {relative_mcse(mean, error)},
+        'valid_rate', {rate(n, candidates)},
+        'discard_rate', {rate(discarded, candidates)},
+        'valid_rate_ci95_wilson', {wilson(n, candidates)},
+        'discard_rate_ci95_wilson', {wilson(discarded, candidates)},
+        'nonfinite_policy', 'discard_and_report')"""
 
 
 def statistics(
-    names: tuple[str, ...], n: Column, candidates: Column, mean: Column, m2: Column,
-    low: Column, high: Column, quantiles: Column,
-) -> Column:
-    """The requested statistics, in the order they were requested."""
+    names: tuple[str, ...], n: str, candidates: str, mean: str, m2: str, low: str, high: str, quantiles: str
+) -> str:
+    """The requested statistics as one struct, in the order they were requested."""
     valid = rate(n, candidates)
     known = {
-        "avg": F.when(n > 0, mean),
+        "avg": f"if({n} > 0, {mean}, NULL)",
         "min": low,
         "max": high,
         "var": variance(n, m2),
         "std": stddev(n, m2),
         "count": n,
         "valid_rate": valid,
-        "discard_rate": 1.0 - valid,
-        "p05": quantiles[0],
-        "p50": quantiles[1],
-        "p95": quantiles[2],
+        "discard_rate": f"(1D - {valid})",
+        "p05": f"{quantiles}[0]",
+        "p50": f"{quantiles}[1]",
+        "p95": f"{quantiles}[2]",
     }
-    return F.struct(*[known[name].alias(name) for name in names])
+    return "named_struct(" + ", ".join(f"'{name}', {known[name]}" for name in names) + ")"

@@ -4,75 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quincunx.functions.arithmetic import finite_or_null
+from quincunx.operators.moments import finite_sql
 
 
-def histogram(df: DataFrame, measures: Mapping[str, Column], bins: int = 30, weight: Column | None = None) -> DataFrame:
+def histogram(df: DataFrame, measures: Mapping[str, str], bins: int = 30, weight: str = "1L") -> DataFrame:
     """One row per measure: ``histogram`` = {data_min, data_max, total_count, bins[{x0, x1, count}]}.
 
     Bins are half-open except the last.  A value goes to the bin guessed from its offset,
     then one bin down or up when the edge computed for that bin says so; a division alone
     misplaces values that lie on an edge.  A single observed value gets padded edges.
     """
-    w = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    rows = df.select(
-        F.inline(F.array(*[
-            F.struct(F.lit(m).alias("id"), finite_or_null(c).alias("v"), w.alias("w")) for m, c in measures.items()
-        ]))
-    )
-    pad = F.when(F.col("lo") == F.col("hi"), F.greatest(F.abs("lo") * 0.01, F.lit(0.5))).otherwise(0.0)
+    finite = {m: finite_sql(sql) for m, sql in measures.items()}
+    cells = ", ".join(f"struct('{m}' AS id, min({sql}) AS lo, max({sql}) AS hi)" for m, sql in finite.items())
     # One row per measure, so broadcasting it is always safe.
     ranges = (
-        rows.groupBy("id")
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .select("*", (F.col("lo") - pad).alias("first"), (F.col("hi") + pad).alias("last"))
-        .withColumn("width", (F.col("last") - F.col("first")) / bins)
+        df.agg(F.expr(f"array({cells})").alias("ranges"))
+        .selectExpr("inline(ranges)")
+        .selectExpr("*", "if(lo = hi, greatest(abs(lo) * 0.01D, 0.5D), 0D) AS pad")
+        .selectExpr("id", "lo", "hi", "lo - pad AS first", "hi + pad AS last")
+        .selectExpr("*", f"(last - first) / {bins} AS width")
     )
-    edge = lambda k: k * F.col("width") + F.col("first")
-    guess = F.least(F.floor((F.col("v") - F.col("first")) / F.nullif(F.col("width"), F.lit(0.0))), F.lit(bins - 1))
+    values = ", ".join(f"struct('{m}' AS id, {sql} AS v, {weight} AS w)" for m, sql in finite.items())
     counted = (
-        rows.where(F.col("v").isNotNull())
+        df.selectExpr(f"inline(array({values}))")
+        .where("v IS NOT NULL")
         .join(F.broadcast(ranges), "id")
-        .select("id", "v", "w", "first", "width", guess.alias("k"))
-        .select(
+        .selectExpr("id", "v", "w", "first", "width", f"least(floor((v - first) / nullif(width, 0D)), {bins - 1}) AS k")
+        .selectExpr(
             "id",
             "w",
-            F.when(F.col("v") < edge(F.col("k")), F.col("k") - 1)
-            .when((F.col("k") < bins - 1) & (F.col("v") >= edge(F.col("k") + 1)), F.col("k") + 1)
-            .otherwise(F.col("k"))
-            .alias("k"),
+            f"""CASE WHEN v < k * width + first THEN k - 1
+                WHEN k < {bins - 1} AND v >= (k + 1) * width + first THEN k + 1 ELSE k END AS k""",
         )
         .groupBy("id", "k")
         .agg(F.sum("w").alias("count"))
         .groupBy("id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("k", "count"))).alias("counts"))
+        .agg(F.expr("map_from_entries(collect_list(struct(k, count)))").alias("counts"))
     )
-    upper = F.when(F.col("k") == bins - 1, F.col("last")).otherwise(edge(F.col("k") + 1))
-    cells = (
+    shape = f"""transform(sequence(0L, {bins - 1}L), k -> struct(
+        k * width + first AS x0,
+        if(k = {bins - 1}, last, (k + 1) * width + first) AS x1,
+        coalesce(try_element_at(counts, k), 0L) AS count))"""
+    empty = "cast(array() AS array<struct<x0:double,x1:double,count:bigint>>)"
+    return (
         ranges.join(F.broadcast(counted), "id", "left")
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("k"))
-        .select(
-            "id", "lo", "hi", "k",
-            F.struct(
-                edge(F.col("k")).alias("x0"),
-                upper.alias("x1"),
-                F.coalesce(F.try_element_at("counts", F.col("k")), F.lit(0)).alias("count"),
-            ).alias("cell"),
+        .selectExpr("id", "lo", "hi", f"if(lo IS NULL, {empty}, {shape}) AS bins")
+        .selectExpr(
+            "id",
+            """struct(lo AS data_min, hi AS data_max,
+                aggregate(bins.count, 0L, (a, c) -> a + c) AS total_count, bins AS bins) AS histogram""",
         )
     )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "cell"))), lambda x: x["cell"])
-    empty = F.array().cast("array<struct<x0:double,x1:double,count:bigint>>")
-    return cells.groupBy("id").agg(
-        F.struct(
-            F.min("lo").alias("data_min"),
-            F.max("hi").alias("data_max"),
-            F.sum("cell.count").alias("total_count"),
-            F.when(F.min("lo").isNotNull(), ordered).otherwise(empty).alias("bins"),
-        ).alias("histogram")
-    )
 
 
 def histogram_rows(histograms: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quincunx.functions.arithmetic import finite_or_null
+from quincunx.operators.moments import finite_sql
 from quincunx.operators.sketch import PROBABILITIES, STEP_SHARE, STEP_SUPPORT
 
 SMALL = 65_536
@@ -58,16 +58,15 @@ def _piece_sql(points: list[float], a: int = 0, b: int | None = None) -> str:
     )
 
 
-def _stack(df: DataFrame, measures: Mapping[str, Column], weight: Column | None) -> DataFrame:
+def _stack(df: DataFrame, measures: Mapping[str, str], weight: str = "1L") -> DataFrame:
     """(measure, v, w) rows of the finite values."""
-    w = F.lit(1).cast("long") if weight is None else weight
-    rows = [F.struct(F.lit(name).alias("measure"), finite_or_null(c).alias("v"), w.alias("w")) for name, c in measures.items()]
+    rows = [f"struct('{m}' AS measure, {finite_sql(sql)} AS v, {weight} AS w)" for m, sql in measures.items()]
     if len(rows) == 1:
-        (name, column), = measures.items()
-        out = df.select(F.lit(name).alias("measure"), finite_or_null(column).alias("v"), w.alias("w"))
+        (m, sql), = measures.items()
+        out = df.selectExpr(f"'{m}' AS measure", f"{finite_sql(sql)} AS v", f"{weight} AS w")
     else:
-        out = df.select(F.inline(F.array(*rows)))
-    return out.where(F.col("v").isNotNull())
+        out = df.selectExpr(f"inline(array({', '.join(rows)}))")
+    return out.where("v IS NOT NULL")
 
 
 def _with_interval(rows: DataFrame, intervals: list[tuple[str, float, float]]) -> DataFrame:
@@ -165,20 +164,21 @@ def _finish(rows: DataFrame, targets: list[Target], intervals: list[tuple]) -> N
 
 def exact_quantiles(
     df: DataFrame,
-    measures: Mapping[str, Column],
+    measures: Mapping[str, str],
     probabilities: Sequence[float] = PROBABILITIES,
     names: Sequence[str] = ("p05", "p50", "p95"),
     small: int = SMALL,
 ) -> DataFrame:
     """One row per measure with linearly interpolated quantiles of its finite values."""
-    counted = df.agg(*[F.count(finite_or_null(c)).alias(m) for m, c in measures.items()]).first().asDict()
+    finite = {m: finite_sql(sql) for m, sql in measures.items()}
+    counted = df.selectExpr(*[f"count({sql}) AS {m}" for m, sql in finite.items()]).first().asDict()
     if max(counted.values()) <= small:
         # ``percentile`` keeps distinct values in memory, which is fine up to this size.
-        lists = df.agg(*[F.percentile(finite_or_null(c), list(probabilities)).alias(m) for m, c in measures.items()])
-        rows = lists.select(
-            F.inline(F.array(*[F.struct(F.lit(m).alias("id"), F.col(m).alias("q")) for m in measures]))
+        points = ", ".join(f"{p!r}D" for p in probabilities)
+        cells = ", ".join(f"struct('{m}' AS id, percentile({sql}, array({points})) AS q)" for m, sql in finite.items())
+        return df.agg(F.expr(f"array({cells})").alias("rows")).selectExpr("inline(rows)").selectExpr(
+            "id", *[f"q[{k}] AS {name}" for k, name in enumerate(names)]
         )
-        return rows.select("id", *[F.col("q")[k].alias(name) for k, name in enumerate(names)])
 
     wanted: dict[tuple[str, int], Target] = {}
     for m, n in counted.items():
@@ -186,7 +186,7 @@ def exact_quantiles(
             k = math.floor(p * (n - 1))
             for rank in (k, min(k + 1, n - 1)):
                 wanted.setdefault((m, rank), Target(m, rank + 0.5))
-    locate(_stack(df, measures, None), list(wanted.values()), small)
+    locate(_stack(df, measures), list(wanted.values()), small)
 
     out = []
     for m, n in counted.items():
@@ -205,7 +205,7 @@ def exact_quantiles(
 
 
 def weighted_quantiles(
-    df: DataFrame, center: Column, weight: Column, probabilities: Sequence[float] = PROBABILITIES, small: int = SMALL
+    df: DataFrame, center: str, weight: str, probabilities: Sequence[float] = PROBABILITIES, small: int = SMALL
 ) -> DataFrame:
     """(probability, value) of weighted points held in a table.
 
@@ -214,7 +214,7 @@ def weighted_quantiles(
     between the mid-weights of neighbouring points.
     """
     points = (
-        df.select(center.cast("double").alias("v"), weight.alias("w"))
+        df.selectExpr(f"cast({center} AS double) AS v", f"{weight} AS w")
         .where("w > 0")
         .groupBy("v")
         .agg(F.sum("w").alias("w"))

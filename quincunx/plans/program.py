@@ -110,11 +110,15 @@ class Formula:
                 for k, name in enumerate(self.names)
             ]
             df = df.select(*keep, *inputs)
-        # One projection per step: Catalyst keeps a projection whose result is used twice.
+        # Catalyst keeps a projection whose results are used twice; steps that do not
+        # depend on each other share one.
+        level: dict[str, int] = {}
         for name, sql in self.steps:
-            df = df.withColumn(name, F.expr(sql))
-        return df.select(
-            *keep, *[F.expr(sql).cast("double").alias(b) for b, sql in zip(self.branch_ids, self.branches)]
+            level[name] = 1 + max((level[used] for used in re.findall(r"t[0-9]+", sql)), default=0)
+        for depth in sorted(set(level.values())):
+            df = df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in self.steps if level[name] == depth])
+        return df.selectExpr(
+            *keep, *[f"cast({sql} AS double) AS {b}" for b, sql in zip(self.branch_ids, self.branches)]
         )
 
 

@@ -95,11 +95,11 @@ def simulate(spark: SparkSession, program: Program | str, config: SimConfig = Si
         bins=config.histogram_bins,
     )
     ids = [*program.formula.branch_ids, *(["plus_minus_delta"] if len(program.formula.branches) == 2 else [])]
-    states = states.withColumn("id", F.array(*[F.lit(i) for i in ids])[F.col("branch")])
+    states = states.selectExpr("*", "array(" + ", ".join(f"'{i}'" for i in ids) + ")[branch] AS id")
     if exact_passes:
         if len(ids) == 3:
             values = values.withColumn("plus_minus_delta", paired_delta(F.col("plus"), F.col("minus")))
-        measures = {i: F.col(i) for i in ids}
+        measures = {i: i for i in ids}
         exact = exact_quantiles(values, measures)
         shape = histogram(values, measures, config.histogram_bins)
         states = (
@@ -108,32 +108,28 @@ def simulate(spark: SparkSession, program: Program | str, config: SimConfig = Si
             .join(F.broadcast(shape.select("id", F.col("histogram.bins").alias("bins"))), "id", "left")
         )
     else:
-        states = states.withColumn(
-            "bins",
-            F.expr("transform(counts, (c, k) -> struct(edges[k] AS x0, edges[k + 1] AS x1, c AS count))"),
+        states = states.selectExpr(
+            "*", "transform(counts, (c, k) -> struct(edges[k] AS x0, edges[k + 1] AS x1, c AS count)) AS bins"
         )
     return _report(states, program.response)
 
 
 def _report(states: DataFrame, response: tuple[str, ...]) -> DataFrame:
-    n, candidates, mean, m2 = (F.col(c) for c in ("n", "candidates", "mean", "m2"))
-    low, high = F.col("low"), F.col("high")
-    return states.select(
-        F.when(F.col("valid_any") == 0, F.raise_error(F.lit("the simulation produced no finite result")))
-        .otherwise(F.col("id")).cast("string").alias("id"),
-        F.create_map(*[F.lit(x) for pair in BRANCHES.items() for x in pair])[F.col("id")].alias("label"),
-        candidates.alias("candidate_results"),
-        n.alias("valid_results"),
-        (candidates - n).alias("discarded_results"),
-        summary.statistics(response, n, candidates, mean, m2, low, high, F.col("quantiles")).alias("stats"),
-        summary.diagnostics(n, candidates, mean, m2, low, high).alias("diagnostics"),
-        F.when(F.col("corr_n") > 0, (F.col("corr_sum") + F.col("corr_comp")) / F.col("corr_n")).alias(
-            "correlation_plus_minus_mean"
-        ),
-        F.struct(
-            low.alias("data_min"),
-            high.alias("data_max"),
-            F.coalesce(F.expr("aggregate(bins.count, 0L, (a, c) -> a + c)"), F.lit(0)).alias("total_count"),
-            F.coalesce(F.col("bins"), F.array().cast("array<struct<x0:double,x1:double,count:bigint>>")).alias("bins"),
-        ).alias("histogram"),
+    state = ("n", "candidates", "mean", "m2", "low", "high")
+    labels = ", ".join(f"'{x}'" for pair in BRANCHES.items() for x in pair)
+    return states.selectExpr(
+        "if(valid_any = 0, raise_error('the simulation produced no finite result'), id) AS id",
+        f"map({labels})[id] AS label",
+        "candidates AS candidate_results",
+        "n AS valid_results",
+        "candidates - n AS discarded_results",
+        f"{summary.statistics(response, *state, 'quantiles')} AS stats",
+        f"{summary.diagnostics(*state)} AS diagnostics",
+        "(corr_sum + corr_comp) / nullif(corr_n, 0) AS correlation_plus_minus_mean",
+        """named_struct(
+            'data_min', low,
+            'data_max', high,
+            'total_count', coalesce(aggregate(bins.count, 0L, (a, c) -> a + c), 0L),
+            'bins', coalesce(bins, cast(array() AS array<struct<x0:double,x1:double,count:bigint>>))
+        ) AS histogram""",
     )
