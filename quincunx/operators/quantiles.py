@@ -1,10 +1,12 @@
 """Exact quantiles of unbounded columns by repeated narrowing.
 
-Each round cuts the values still in question at the points of an approximate quantile
-grid, counts every piece exactly, and keeps only the piece that holds the wanted rank.
+Each round cuts the values still in question at a few approximate quantiles around the
+wanted rank, counts every piece exactly, and keeps only the piece that holds the rank.
 A piece is either one single value or an open interval, so heavy duplicates end the
-search instead of slowing it down.  Rows are never gathered: the driver sees one row of
-counts per piece, and the last step sorts at most ``small`` values per target.
+search instead of slowing it down.  A round leaves about 1/2000 of the rows, and its
+bounds are literals that reach the scan as filters.  Rows are never gathered: the driver
+sees one row of counts per piece, and the last step sorts at most ``small`` values per
+target.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from quincunx.operators.moments import finite_sql
 from quincunx.operators.sketch import PROBABILITIES, STEP_SHARE, STEP_SUPPORT
 
 SMALL = 65_536
-GRID = 127
-ACCURACY = 10_000
+ACCURACY = 10_000  # percentile_approx is off by at most rows / ACCURACY ranks
+GRID = 31  # cuts per round where rank and row number differ, as with weights
 
 
 @dataclass
@@ -78,27 +80,53 @@ def _with_interval(rows: DataFrame, intervals: list[tuple[str, float, float]]) -
     return rows.withColumn("interval", F.expr(f"CASE {cases} END")).where(F.col("interval").isNotNull())
 
 
-def locate(rows: DataFrame, targets: Sequence[Target], small: int = SMALL) -> None:
-    """Fills in value, weight and before of every target; ``rows`` is (measure, v, w)."""
-    sizes: dict[tuple, int] = {}
+def _cuts(fractions: Sequence[float]) -> list[float]:
+    """Percentages that enclose each rank fraction despite the approximation."""
+    off = 2.0 / ACCURACY
+    return sorted({min(1.0, max(0.0, f + d)) for f in fractions for d in (-off, 0.0, off)})
+
+
+def _grids(rows: DataFrame, cuts: Mapping[tuple, list[float]]) -> dict[tuple, list[float]]:
+    """Approximate quantiles of every interval, at the percentages asked for it."""
+    intervals = list(cuts)
+    cases = [f"WHEN interval = {k} THEN v" for k in range(len(intervals))]
+    found = _with_interval(rows, intervals).selectExpr(*[
+        f"percentile_approx(CASE {case} END, array({', '.join(f'{p!r}D' for p in cuts[i])}), {ACCURACY}) AS g{k}"
+        for k, (i, case) in enumerate(zip(intervals, cases))
+    ]).first()
+    return {i: sorted(set(found[k])) for k, i in enumerate(intervals) if found[k]}
+
+
+def locate(
+    rows: DataFrame,
+    targets: Sequence[Target],
+    sizes: dict[tuple, int],
+    small: int = SMALL,
+    weighted: bool = False,
+    grids: dict[tuple, list[float]] | None = None,
+) -> None:
+    """Fills in value, weight and before of every target; ``rows`` is (measure, v, w).
+
+    ``sizes`` holds the number of rows of each interval, ``grids`` the cuts of the first
+    round where they are known already.
+    """
     while True:
         open_targets = [t for t in targets if t.value is None]
         if not open_targets:
             return
-        intervals = sorted({t.interval for t in open_targets})
-        wide = [i for i in intervals if sizes.get(i, small + 1) > small]
+        wide = sorted({t.interval for t in open_targets if sizes[t.interval] > small})
         if not wide:
-            _finish(rows, open_targets, intervals)
+            _finish(rows, open_targets, sorted({t.interval for t in open_targets}))
             return
-        probabilities = [(k + 1) / (GRID + 1) for k in range(GRID)]
-        grids = {
-            wide[r["interval"]]: sorted(set(r["grid"]))
-            for r in _with_interval(rows, wide)
-            .groupBy("interval")
-            .agg(F.percentile_approx("v", probabilities, ACCURACY).alias("grid"))
-            .collect()
-        }
-        wide = [i for i in wide if i in grids]
+        if grids is None:
+            uniform = [(k + 1) / (GRID + 1) for k in range(GRID)]
+            cuts = {
+                i: uniform if weighted else _cuts([
+                    (t.mass - t.before) / sizes[i] for t in open_targets if t.interval == i
+                ])
+                for i in wide
+            }
+            grids = _grids(rows, cuts)
         cases = " ".join(f"WHEN interval = {k} THEN {_piece_sql(grids[i])}" for k, i in enumerate(wide))
         pieces: dict[tuple, dict[int, tuple[int, float]]] = {i: {} for i in wide}
         for r in (
@@ -112,6 +140,7 @@ def locate(rows: DataFrame, targets: Sequence[Target], small: int = SMALL) -> No
         for t in open_targets:
             if t.interval in grids:
                 _narrow(t, grids[t.interval], pieces[t.interval], sizes)
+        grids = None
 
 
 def _narrow(t: Target, grid: list[float], pieces: dict[int, tuple[int, float]], sizes: dict) -> None:
@@ -171,7 +200,13 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per measure with linearly interpolated quantiles of its finite values."""
     finite = {m: finite_sql(sql) for m, sql in measures.items()}
-    counted = df.selectExpr(*[f"count({sql}) AS {m}" for m, sql in finite.items()]).first().asDict()
+    cuts = _cuts(probabilities)
+    points = ", ".join(f"{p!r}D" for p in cuts)
+    head = df.selectExpr(*[
+        f"struct(count({sql}) AS n, percentile_approx({sql}, array({points}), {ACCURACY}) AS grid) AS {m}"
+        for m, sql in finite.items()
+    ]).first()
+    counted = {m: head[m]["n"] for m in measures}
     if max(counted.values()) <= small:
         # ``percentile`` keeps distinct values in memory, which is fine up to this size.
         points = ", ".join(f"{p!r}D" for p in probabilities)
@@ -186,7 +221,14 @@ def exact_quantiles(
             k = math.floor(p * (n - 1))
             for rank in (k, min(k + 1, n - 1)):
                 wanted.setdefault((m, rank), Target(m, rank + 0.5))
-    locate(_stack(df, measures), list(wanted.values()), small)
+    whole = {m: (m, -math.inf, math.inf) for m, n in counted.items() if n}
+    locate(
+        _stack(df, measures),
+        list(wanted.values()),
+        {i: counted[m] for m, i in whole.items()},
+        small,
+        grids={i: sorted(set(head[m]["grid"])) for m, i in whole.items() if counted[m] > small},
+    )
 
     out = []
     for m, n in counted.items():
@@ -219,18 +261,27 @@ def weighted_quantiles(
         .groupBy("v")
         .agg(F.sum("w").alias("w"))
         .select(F.lit("points").alias("measure"), "v", "w")
+        .persist()  # merged once, read by every pass; a lost part is recomputed
     )
+    try:
+        values = _weighted_values(points, probabilities, small)
+    finally:
+        points.unpersist()
+    return df.sparkSession.createDataFrame(
+        [(float(p), v) for p, v in zip(probabilities, values)], "probability double, value double"
+    )
+
+
+def _weighted_values(points: DataFrame, probabilities: Sequence[float], small: int) -> list[float | None]:
     head = points.agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.max("w").alias("top")).first()
-    schema = "probability double, value double"
     if not head["n"]:
-        return df.sparkSession.createDataFrame([(float(p), None) for p in probabilities], schema)
+        return [None] * len(probabilities)
     total = float(head["total"])
     targets = [Target("points", p * total) for p in probabilities]
-    locate(points, targets, small)
-    values = [t.value for t in targets]
-    if not (head["n"] <= STEP_SUPPORT and head["top"] / total >= STEP_SHARE):
-        values = _interpolate(points, targets)
-    return df.sparkSession.createDataFrame([(float(p), v) for p, v in zip(probabilities, values)], schema)
+    locate(points, targets, {targets[0].interval: head["n"]}, small, weighted=True)
+    if head["n"] <= STEP_SUPPORT and head["top"] / total >= STEP_SHARE:
+        return [t.value for t in targets]
+    return _interpolate(points, targets)
 
 
 def _interpolate(points: DataFrame, targets: list[Target]) -> list[float]:

@@ -21,6 +21,7 @@ from quincunx.operators.moments import (
 )
 from quincunx.operators.quantiles import exact_quantiles, weighted_quantiles
 from quincunx.operators.tablesketch import sketch_column, sketch_report
+from quincunx.plans.oracle import philox_uniforms, row_normal, row_uniform
 from quincunx.plans.program import Discrete, Normal, Uniform, read_formula, read_program
 from quincunx.plans.simulate import SimConfig, simulate
 from quincunx.sources import draws
@@ -358,7 +359,7 @@ SELECT q AS probability, round(c + (c2 - c) * (q - f) / (f2 - f), 6) AS value
 FROM n, (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) AS t(q) WHERE f <= q AND q < f2""")
 def weighted_quantile_interpolated(spark, folder):
     """Many centers: linear interpolation between mid-weights."""
-    df = weighted_quantiles(table(spark, folder, "lineitem"), "l_extendedprice", "l_quantity", small=5_000)
+    df = weighted_quantiles(table(spark, folder, "lineitem"), "l_extendedprice", "l_quantity", small=20_000)
     return df.selectExpr("probability", "round(value, 6) AS value")
 
 
@@ -483,24 +484,7 @@ def stream_progress(spark, folder):
 # --- draws attached to table rows ---------------------------------------------------------
 
 
-def _mix_sql(x: str) -> str:
-    """The integer mixer as nested scalar SQL; each level names its input once."""
-    a, b = draws.MIX_A, draws.MIX_B
-    s1, s2, s3 = draws.MIX_SHIFTS
-    first = f"list_transform([{x}], lambda w: (xor(w, w >> {s1}) * {a}) & {draws.WORD})"
-    second = f"list_transform({first}, lambda w: (xor(w, w >> {s2}) * {b}) & {draws.WORD})"
-    return f"list_transform({second}, lambda w: xor(w, w >> {s3}))[1]"
-
-
-def _uniform_sql(key: str, stream: int, seed: int = SEED) -> str:
-    root = _mix_sql(f"xor(({key})::BIGINT & {draws.WORD}, {seed}::BIGINT)")
-    root = _mix_sql(f"xor({root}, ({key})::BIGINT >> 32)")
-    high = _mix_sql(f"xor({root}, {(2 * stream * draws.MIX_A + 1) & draws.WORD}::BIGINT)")
-    low = _mix_sql(f"xor({root}, {(2 * stream * draws.MIX_B + 2) & draws.WORD}::BIGINT)")
-    return f"((({high} * 1048576 + ({low} >> 12))::DOUBLE + 0.5) * {2.0**-52!r}::DOUBLE)"
-
-
-@query(f"""SELECT o_orderkey, {_uniform_sql('o_orderkey', 0)} AS u, 2 + 3 * {_uniform_sql('o_orderkey', 0)} AS scaled
+@query(f"""SELECT o_orderkey, {row_uniform('o_orderkey', 0, SEED)} AS u, 2 + 3 * {row_uniform('o_orderkey', 0, SEED)} AS scaled
 FROM orders""")
 def uniform_draws(spark, folder):
     """One uniform per order, a function of seed and key alone."""
@@ -509,16 +493,14 @@ def uniform_draws(spark, folder):
     return df.selectExpr("o_orderkey", "u", "2 + 3 * u AS scaled")
 
 
-@query(f"""SELECT o_orderkey, round(10 + 2 * sqrt(-2 * ln({_uniform_sql('o_orderkey', 0)}))
-       * cos(2 * {math.pi!r} * {_uniform_sql('o_orderkey', 1)}), 9) AS x
-FROM orders""")
+@query(f"""SELECT o_orderkey, round(10 + 2 * {row_normal('o_orderkey', 0, SEED)}, 9) AS x FROM orders""")
 def normal_draws(spark, folder):
     df = table(spark, folder, "orders").select("o_orderkey")
     df = draws.with_draws(df, "o_orderkey", {"x": Normal(10.0, 2.0)}, SEED)
     return df.selectExpr("o_orderkey", "round(x, 9) AS x")
 
 
-@query(f"""WITH u AS (SELECT {_uniform_sql('o_orderkey', 0)} AS u FROM orders)
+@query(f"""WITH u AS (SELECT {row_uniform('o_orderkey', 0, SEED)} AS u FROM orders)
 SELECT CASE WHEN u < 0.5 THEN 10.0::DOUBLE WHEN u < 0.8 THEN 15.0 ELSE 20.0 END AS value, count(*) AS count FROM u GROUP BY 1""")
 def discrete_draws(spark, folder):
     df = table(spark, folder, "orders").select("o_orderkey")
@@ -526,14 +508,8 @@ def discrete_draws(spark, folder):
     return df.groupBy("value").agg(F.count("*").alias("count"))
 
 
-def _normal_sql(key: str, position: int) -> str:
-    return (
-        f"sqrt(-2 * ln({_uniform_sql(key, 2 * position)})) * cos(2 * {math.pi!r} * {_uniform_sql(key, 2 * position + 1)})"
-    )
-
-
-@query(f"""WITH d AS (SELECT l_extendedprice * (1 + l_discount / 2 * ({_normal_sql('l_orderkey * 8 + l_linenumber', 0)})) AS x,
-                  0.9 + 0.2 * {_uniform_sql('l_orderkey * 8 + l_linenumber', 2)} AS z FROM lineitem),
+@query(f"""WITH d AS (SELECT l_extendedprice * (1 + l_discount / 2 * ({row_normal('l_orderkey * 8 + l_linenumber', 0, SEED)})) AS x,
+                  0.9 + 0.2 * {row_uniform('l_orderkey * 8 + l_linenumber', 2, SEED)} AS z FROM lineitem),
 b AS (SELECT 'plus' AS id, x + x * (z - 1) AS v FROM d UNION ALL SELECT 'minus', x - x * (z - 1) FROM d
       UNION ALL SELECT 'plus_minus_delta', 2 * x * (z - 1) FROM d)
 SELECT id, count(*) AS count, round(avg(v), 4) AS avg, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
@@ -570,6 +546,10 @@ PROGRAMS = {
     "quadratic_roots": r"\model{resultado=\frac{-coef_b\pm\sqrt{coef_b^2-4coef_a coef_c}}{2coef_a}}"
     r"\normal coef_a{10,0.5}\distrib coef_b{{10,0.5},{15,0.3},{20,0.2}}\uniform coef_c{-20,30}"
     r"\iter{1000000}\response{avg,std,min,max,count,valid_rate,discard_rate,p05,p50,p95}",
+    "uniform_branches": r"\model{y=x\pm2z}\uniform x{4,16}\uniform z{0,6}\iter{100000}"
+    r"\response{avg,var,min,max,count,p05,p50,p95}",
+    "uniform_rational": r"\model{y=\frac{x^2+3z}{2+w}+\sqrt{x^2+4}}\uniform x{-1,5}\uniform z{0,10}"
+    r"\distrib w{{1,0.5},{2,0.3},{4,0.2}}\iter{100000}\response{avg,var,min,max,count,p05,p50,p95}",
     "partial_root": r"\model{y=\sqrt{x}}\uniform x{-10,10}\iter{100000}"
     r"\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
 }
@@ -593,6 +573,104 @@ for _name in PROGRAMS:
     _program_query(_name, "lineitem")
 
 
+# Uniform and discrete draws can be redone in SQL number by number, so these programs are
+# checked in full; ``retain_all`` makes quantiles and histogram exact at any size.
+_ROWS = "(SELECT count(*) FROM lineitem)"
+_EXACT = SimConfig(seed=SEED, memory_mode="retain_all")
+_SHOWN = ("avg", "var", "min", "max", "p05", "p50", "p95")
+
+
+def _draw_ctes(*names: str) -> str:
+    return ", ".join(philox_uniforms(name, _ROWS, SEED, k, BLOCK) for k, name in enumerate(names))
+
+
+def _checked(values: str, *draws_: str) -> str:
+    """SQL for a report over ``values``: a query giving (id, b, v) from the CTEs x, z, w."""
+    quantiles = ", ".join(f"round(quantile_cont(v, {p}), 8) AS {q}" for p, q in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95")))
+    return f"""WITH {_draw_ctes(*draws_)}, m AS ({values})
+SELECT id, {_ROWS} AS candidates, count(v) AS count, {_ROWS} - count(v) AS discarded, round(avg(v), 8) AS avg,
+       round(var_samp(v), 8) AS var, round(min(v), 8) AS min, round(max(v), 8) AS max, {quantiles}
+FROM m GROUP BY id"""
+
+
+def _shown(report: DataFrame) -> DataFrame:
+    known = {
+        "avg": "stats.avg", "var": "diagnostics.sample_variance", "min": "diagnostics.sample_min",
+        "max": "diagnostics.sample_max", "p05": "stats.p05", "p50": "stats.p50", "p95": "stats.p95",
+    }
+    return report.selectExpr(
+        "id", "candidate_results AS candidates", "valid_results AS count", "discarded_results AS discarded",
+        *[f"round({known[name]}, 8) AS {name}" for name in _SHOWN],
+    )
+
+
+@query(_checked("SELECT 'main' AS id, b, 0 + (10 - 0) * u AS v FROM x", "x"))
+def checked_uniform(spark, folder):
+    return _shown(run_rows(spark, folder, "uniform_mean", config=_EXACT))
+
+
+@query(_checked("SELECT 'main' AS id, b, CASE WHEN u < 0.5 THEN 10.0::DOUBLE WHEN u < 0.8 THEN 20 ELSE 30 END AS v FROM x", "x"))
+def checked_discrete(spark, folder):
+    return _shown(run_rows(spark, folder, "discrete_mean", config=_EXACT))
+
+
+@query(_checked("SELECT 'main' AS id, b, CASE WHEN -10 + 20 * u >= 0 THEN sqrt(-10 + 20 * u) END AS v FROM x", "x"))
+def checked_partial_root(spark, folder):
+    return _shown(run_rows(spark, folder, "partial_root", config=_EXACT))
+
+
+@query(_checked("""
+SELECT 'main' AS id, b, (pow(a, 2) + 3 * c) / (2 + d) + sqrt(pow(a, 2) + 4) AS v
+FROM (SELECT b, -1 + 6 * x.u AS a, 10 * z.u AS c, CASE WHEN w.u < 0.5 THEN 1.0::DOUBLE WHEN w.u < 0.8 THEN 2 ELSE 4 END AS d
+      FROM x JOIN z USING (b, i) JOIN w USING (b, i))""", "x", "z", "w"))
+def checked_rational(spark, folder):
+    return _shown(run_rows(spark, folder, "uniform_rational", config=_EXACT))
+
+
+_BRANCHES = "SELECT b, 4 + 12 * x.u + 2 * (6 * z.u) AS p, 4 + 12 * x.u - 2 * (6 * z.u) AS m FROM x JOIN z USING (b, i)"
+
+
+@query(_checked(f"""
+SELECT unnest(['plus', 'minus', 'plus_minus_delta']) AS id, b, unnest([p, m, p - m]) AS v FROM ({_BRANCHES})""", "x", "z"))
+def checked_branches(spark, folder):
+    return _shown(run_rows(spark, folder, "uniform_branches", config=_EXACT))
+
+
+@query(f"""WITH {_draw_ctes('x', 'z')}, r AS (SELECT corr(p, m) AS c FROM ({_BRANCHES}) GROUP BY b)
+SELECT round(avg(c), 10) AS correlation_plus_minus_mean FROM r""")
+def checked_correlation(spark, folder):
+    report = run_rows(spark, folder, "uniform_branches")
+    return report.where("id = 'plus_minus_delta'").selectExpr(
+        "round(correlation_plus_minus_mean, 10) AS correlation_plus_minus_mean"
+    )
+
+
+@query(f"""WITH {_draw_ctes('x')}, value AS (SELECT 10 * u AS v FROM x) """ + _histogram_sql("value", "v", 30, "main"))
+def checked_histogram(spark, folder):
+    report = run_rows(spark, folder, "uniform_mean", config=_EXACT)
+    return histogram_rows(report).selectExpr(
+        "id", "cast(bin AS bigint) AS bin", "round(x0, 9) AS x0", "round(x1, 9) AS x1", "count"
+    )
+
+
+@query(f"""WITH {_draw_ctes('x')}, s AS (SELECT count(*) AS n, avg(10 * u) AS m, stddev_samp(10 * u) AS sd FROM x)
+SELECT n, n AS candidate_results, round(sd, 9) AS sample_stddev, round(sd / sqrt(n), 11) AS mcse_mean,
+       round(m - 1.96 * sd / sqrt(n), 9) AS ci95_low, round(m + 1.96 * sd / sqrt(n), 9) AS ci95_high,
+       'normal_approximation' AS ci95_mean_type, round(sd / sqrt(n) / m, 11) AS relative_mcse,
+       1.0::DOUBLE AS valid_rate, 0.0::DOUBLE AS discard_rate,
+       round(((1 + 1.9208 / n) - 1.96 * sqrt(0.9604 / n / n)) / (1 + 3.8416 / n), 11) AS valid_low,
+       'discard_and_report' AS nonfinite_policy
+FROM s""")
+def checked_diagnostics(spark, folder):
+    """The accuracy record of a run; a sketch run has the same one as an exact run."""
+    return run_rows(spark, folder, "uniform_mean").selectExpr("diagnostics.*").selectExpr(
+        "n", "candidate_results", "round(sample_stddev, 9) AS sample_stddev", "round(mcse_mean, 11) AS mcse_mean",
+        "round(ci95_mean[0], 9) AS ci95_low", "round(ci95_mean[1], 9) AS ci95_high", "ci95_mean_type",
+        "round(relative_mcse, 11) AS relative_mcse", "valid_rate", "discard_rate",
+        "round(valid_rate_ci95_wilson[0], 11) AS valid_low", "nonfinite_policy",
+    )
+
+
 @query()
 def program_retain_all(spark, folder):
     """Exact quantiles and histogram at any size."""

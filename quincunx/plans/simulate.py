@@ -95,7 +95,8 @@ def simulate(spark: SparkSession, program: Program | str, config: SimConfig = Si
         bins=config.histogram_bins,
     )
     ids = [*program.formula.branch_ids, *(["plus_minus_delta"] if len(program.formula.branches) == 2 else [])]
-    states = states.selectExpr("*", "array(" + ", ".join(f"'{i}'" for i in ids) + ")[branch] AS id")
+    id_sql = "array(" + ", ".join(f"'{i}'" for i in ids) + ")[branch]"
+    bins = "transform(counts, (c, k) -> struct(edges[k] AS x0, edges[k + 1] AS x1, c AS count))"
     if exact_passes:
         if len(ids) == 3:
             values = values.withColumn("plus_minus_delta", paired_delta(F.col("plus"), F.col("minus")))
@@ -103,33 +104,30 @@ def simulate(spark: SparkSession, program: Program | str, config: SimConfig = Si
         exact = exact_quantiles(values, measures)
         shape = histogram(values, measures, config.histogram_bins)
         states = (
-            states.drop("quantiles", "edges", "counts")
+            states.selectExpr(f"{id_sql} AS id", "* EXCEPT (quantiles, edges, counts)")
             .join(F.broadcast(exact.select("id", F.array("p05", "p50", "p95").alias("quantiles"))), "id", "left")
             .join(F.broadcast(shape.select("id", F.col("histogram.bins").alias("bins"))), "id", "left")
         )
-    else:
-        states = states.selectExpr(
-            "*", "transform(counts, (c, k) -> struct(edges[k] AS x0, edges[k + 1] AS x1, c AS count)) AS bins"
-        )
-    return _report(states, program.response)
+        id_sql, bins = "id", "bins"
+    return _report(states, program.response, id_sql, bins)
 
 
-def _report(states: DataFrame, response: tuple[str, ...]) -> DataFrame:
+def _report(states: DataFrame, response: tuple[str, ...], id_sql: str, bins: str) -> DataFrame:
     state = ("n", "candidates", "mean", "m2", "low", "high")
     labels = ", ".join(f"'{x}'" for pair in BRANCHES.items() for x in pair)
     return states.selectExpr(
-        "if(valid_any = 0, raise_error('the simulation produced no finite result'), id) AS id",
-        f"map({labels})[id] AS label",
+        f"if(valid_any = 0, raise_error('the simulation produced no finite result'), {id_sql}) AS id",
+        f"map({labels})[{id_sql}] AS label",
         "candidates AS candidate_results",
         "n AS valid_results",
         "candidates - n AS discarded_results",
         f"{summary.statistics(response, *state, 'quantiles')} AS stats",
         f"{summary.diagnostics(*state)} AS diagnostics",
         "(corr_sum + corr_comp) / nullif(corr_n, 0) AS correlation_plus_minus_mean",
-        """named_struct(
+        f"""named_struct(
             'data_min', low,
             'data_max', high,
-            'total_count', coalesce(aggregate(bins.count, 0L, (a, c) -> a + c), 0L),
-            'bins', coalesce(bins, cast(array() AS array<struct<x0:double,x1:double,count:bigint>>))
+            'total_count', n,
+            'bins', coalesce({bins}, cast(array() AS array<struct<x0:double,x1:double,count:bigint>>))
         ) AS histogram""",
     )
