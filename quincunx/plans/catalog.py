@@ -26,6 +26,7 @@ from quincunx.plans.program import Discrete, Normal, Uniform, read_formula, read
 from quincunx.plans.simulate import SimConfig, simulate
 from quincunx.sources import draws
 from quincunx.sources.tables import table, table_stream
+from quincunx.streaming.programs import finished_report, stream_program
 from quincunx.streaming.progress import read_progress, start_progress, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -671,6 +672,47 @@ def checked_diagnostics(spark, folder):
     )
 
 
+_BATCH = f"(greatest(4, (({_ROWS} + {BLOCK} - 1) // {BLOCK} + 7) // 8))"  # blocks; eight batches at most
+
+
+@query(f"""WITH {_draw_ctes('x')}, k AS (SELECT unnest(range(8)) AS batch)
+SELECT batch, 'main' AS id, count(*) AS processed, count(*) FILTER (WHERE b >= {_BATCH} * batch) AS in_batch,
+       round(avg(10 * u), 9) AS avg, round(var_samp(10 * u), 8) AS var, round(min(10 * u), 9) AS min,
+       round(max(10 * u), 9) AS max, round(count(*) / {_ROWS}, 9) AS progress
+FROM x JOIN k ON b < {_BATCH} * (batch + 1) GROUP BY batch HAVING in_batch > 0""")
+def checked_progress(spark, folder):
+    """A streamed run: the batch and the total after every micro-batch."""
+    rows = table(spark, folder, "lineitem").count()
+    where = _stream_uniform(spark, rows)
+    progress = read_progress(spark, where, rows)
+    return progress.selectExpr(
+        "batch", "id", "total.candidates AS processed", "batch_state.candidates AS in_batch",
+        "round(total.mean, 9) AS avg", f"round({summary.variance('total.n', 'total.m2')}, 8) AS var",
+        "round(total.low, 9) AS min", "round(total.high, 9) AS max", "round(progress, 9) AS progress",
+    )
+
+
+def _stream_uniform(spark: SparkSession, rows: int) -> str:
+    where = work_folder(spark)
+    program = read_program(PROGRAMS["uniform_mean"]).with_iterations(rows)
+    stream = stream_program(spark, program, SimConfig(seed=SEED), where, max(4, math.ceil(_blocks(rows) / 8)))
+    stream.processAllAvailable()
+    stream.stop()
+    return where
+
+
+@query(f"""WITH {_draw_ctes('x')}
+SELECT 'main' AS id, count(*) AS candidates, count(*) AS count, round(avg(10 * u), 8) AS avg,
+       round(var_samp(10 * u), 8) AS var, round(min(10 * u), 8) AS min, round(max(10 * u), 8) AS max
+FROM x""")
+def checked_streamed_end(spark, folder):
+    """The final report of a streamed run, from its stored block summaries."""
+    rows = table(spark, folder, "lineitem").count()
+    program = read_program(PROGRAMS["uniform_mean"]).with_iterations(rows)
+    report = finished_report(spark, program, SimConfig(seed=SEED), _stream_uniform(spark, rows))
+    return _shown(report).drop("discarded", "p05", "p50", "p95")
+
+
 @query()
 def program_retain_all(spark, folder):
     """Exact quantiles and histogram at any size."""

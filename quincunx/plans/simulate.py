@@ -15,7 +15,7 @@ from quincunx.operators.blocks import fold_blocks, summarise_blocks
 from quincunx.operators.histogram import histogram
 from quincunx.operators.quantiles import exact_quantiles
 from quincunx.plans.program import Program, read_program
-from quincunx.sources.draws import philox_draws
+from quincunx.sources.draws import draw_blocks, philox_draws
 
 # Fixed value: runs up to this size keep every value and report exact quantiles.
 EXACT_LIMIT = 65_536
@@ -58,21 +58,39 @@ class SimConfig:
         return self.logical_block_size if self.seed_strategy == "philox_logical_block" else self.batch_size
 
 
-def draw_branches(spark: SparkSession, program: Program, seed: int, config: SimConfig) -> DataFrame:
-    """(block, one raw value per branch) for every iteration."""
-    draws = philox_draws(
-        spark,
-        program.variables,
-        program.iterations,
-        seed,
-        config.block_size,
-        names=program.formula.names,
-        one_stream_per_block=config.seed_strategy == "batch_index",
-        partitions=config.partitions,
-    )
+def draw_branches(
+    spark: SparkSession, program: Program, seed: int, config: SimConfig, blocks: DataFrame | None = None
+) -> DataFrame:
+    """(block, one raw value per branch) for every iteration, or for some blocks only."""
+    options = {
+        "names": program.formula.names,
+        "one_stream_per_block": config.seed_strategy == "batch_index",
+    }
+    run = (program.variables, program.iterations, seed, config.block_size)
+    if blocks is None:
+        draws = philox_draws(spark, *run, partitions=config.partitions, **options)
+    else:
+        draws = draw_blocks(blocks, *run, **options)
     return program.formula.evaluate(draws, keep=["block"])
 
 
+def block_count(program: Program, config: SimConfig) -> int:
+    return math.ceil(program.iterations / min(config.block_size, program.iterations))
+
+
+def measure_ids(program: Program) -> tuple[str, ...]:
+    """Branches in the order of their numbers; a fork adds the paired difference."""
+    ids = program.formula.branch_ids
+    return ids if len(ids) == 1 else (*ids, "plus_minus_delta")
+
+
+def summary_detail(program: Program, config: SimConfig) -> str:
+    """What block summaries keep: all values of a short run, a sketch, or moments only."""
+    if program.iterations <= EXACT_LIMIT:
+        return "values"
+    return "none" if config.memory_mode == "retain_all" else "sketch"
+
+
 def simulate(spark: SparkSession, program: Program | str, config: SimConfig = SimConfig()) -> DataFrame:
     """One row per branch: counts, requested statistics, diagnostics and histogram.
 
@@ -83,33 +101,36 @@ def simulate(spark: SparkSession, program: Program | str, config: SimConfig = Si
     if isinstance(program, str):
         program = read_program(program)
     seed = secrets.randbits(128) if config.seed is None else config.seed
-    rows = program.iterations
-    blocks = math.ceil(rows / min(config.block_size, rows))
-    exact_passes = config.memory_mode == "retain_all" and rows > EXACT_LIMIT
-    detail = "values" if rows <= EXACT_LIMIT else ("none" if exact_passes else "sketch")
+    detail = summary_detail(program, config)
     values = draw_branches(spark, program, seed, config)
     states = fold_blocks(
         summarise_blocks(values, program.formula.branch_ids, detail),
-        blocks,
+        block_count(program, config),
         detail=detail,
         bins=config.histogram_bins,
     )
-    ids = [*program.formula.branch_ids, *(["plus_minus_delta"] if len(program.formula.branches) == 2 else [])]
-    id_sql = "array(" + ", ".join(f"'{i}'" for i in ids) + ")[branch]"
+    if detail != "none":
+        return report_states(states, program)
+    ids = measure_ids(program)
+    if len(ids) == 3:
+        values = values.withColumn("plus_minus_delta", paired_delta(F.col("plus"), F.col("minus")))
+    measures = {i: i for i in ids}
+    exact = exact_quantiles(values, measures).selectExpr("id", "array(p05, p50, p95) AS quantiles")
+    shape = histogram(values, measures, config.histogram_bins).selectExpr("id", "histogram.bins AS bins")
+    states = states.selectExpr(f"{_id_sql(ids)} AS id", "* EXCEPT (quantiles, edges, counts)")
+    # Three rows at most on every side.
+    states = states.join(F.broadcast(exact), "id", "left").join(F.broadcast(shape), "id", "left")
+    return _report(states, program.response, "id", "bins")
+
+
+def _id_sql(ids: tuple[str, ...]) -> str:
+    return "array(" + ", ".join(f"'{i}'" for i in ids) + ")[branch]"
+
+
+def report_states(states: DataFrame, program: Program) -> DataFrame:
+    """The report of folded states that carry their own quantiles and histogram."""
     bins = "transform(counts, (c, k) -> struct(edges[k] AS x0, edges[k + 1] AS x1, c AS count))"
-    if exact_passes:
-        if len(ids) == 3:
-            values = values.withColumn("plus_minus_delta", paired_delta(F.col("plus"), F.col("minus")))
-        measures = {i: i for i in ids}
-        exact = exact_quantiles(values, measures)
-        shape = histogram(values, measures, config.histogram_bins)
-        states = (
-            states.selectExpr(f"{id_sql} AS id", "* EXCEPT (quantiles, edges, counts)")
-            .join(F.broadcast(exact.select("id", F.array("p05", "p50", "p95").alias("quantiles"))), "id", "left")
-            .join(F.broadcast(shape.select("id", F.col("histogram.bins").alias("bins"))), "id", "left")
-        )
-        id_sql, bins = "id", "bins"
-    return _report(states, program.response, id_sql, bins)
+    return _report(states, program.response, _id_sql(measure_ids(program)), bins)
 
 
 def _report(states: DataFrame, response: tuple[str, ...], id_sql: str, bins: str) -> DataFrame:

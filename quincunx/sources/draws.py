@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from quincunx.plans.program import Discrete, Distribution, Normal, Uniform
 
-BLOCKS_PER_TASK = 256
+# A task draws at least 16 blocks, so that starting it does not cost more than its work,
+# and at most 256.
+TASK_BLOCKS = (16, 256)
 
 
-def plan_partitions(spark: SparkSession, blocks: int, blocks_per_task: int = BLOCKS_PER_TASK) -> int:
-    """Enough tasks to fill the cluster, more when a task would hold too many blocks."""
-    wanted = max(spark.sparkContext.defaultParallelism, math.ceil(blocks / blocks_per_task))
-    return max(1, min(blocks, wanted))
+def plan_partitions(spark: SparkSession, blocks: int) -> int:
+    """Enough tasks to fill the cluster, fewer for short runs and more for long ones."""
+    least, most = TASK_BLOCKS
+    filling = min(spark.sparkContext.defaultParallelism, math.ceil(blocks / least))
+    return max(1, filling, math.ceil(blocks / most))
 
 
 def _sample(rng: np.random.Generator, distribution: Distribution, size: int) -> np.ndarray:
@@ -29,8 +32,8 @@ def _sample(rng: np.random.Generator, distribution: Distribution, size: int) ->
     return rng.choice(np.array(distribution.values), size, p=np.array(distribution.probabilities))
 
 
-def philox_draws(
-    spark: SparkSession,
+def draw_blocks(
+    blocks: DataFrame,
     variables: Mapping[str, Distribution],
     rows: int,
     seed: int,
@@ -38,21 +41,19 @@ def philox_draws(
     *,
     names: tuple[str, ...] | None = None,
     one_stream_per_block: bool = False,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """``rows`` draws as (block, v0, v1, ...), one column per entry of ``names``.
+    """The draws of the given block numbers as (block, v0, v1, ...), one column per name.
 
-    Every (seed, block, variable) has its own counter-based stream, so any task can
-    produce any block; a lost task is simply run again.  ``one_stream_per_block``
-    gives the older scheme in which the variables of a block share one generator.
+    Block ``b`` covers iterations ``b * block_size`` and on, up to ``rows``.  Every (seed,
+    block, variable) has its own counter-based stream, so any task can produce any block; a
+    lost task is simply run again.  ``one_stream_per_block`` gives the older scheme in which
+    the variables of a block share one generator.
     """
     names = names or tuple(variables)
     declared = list(variables.items())
     size = min(block_size, rows)
-    blocks = math.ceil(rows / size)
-    partitions = partitions or plan_partitions(spark, blocks)
 
-    def block_columns(block: int, count: int) -> dict[str, np.ndarray]:
+    def columns_of(block: int, count: int) -> dict[str, np.ndarray]:
         if one_stream_per_block:
             shared = np.random.default_rng(np.random.SeedSequence([seed, block]))
             return {name: _sample(shared, d, count) for name, d in declared}
@@ -67,14 +68,24 @@ def philox_draws(
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 count = min(size, rows - block * size)
-                columns = block_columns(block, count)
+                columns = columns_of(block, count)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(count, block)), *[pa.array(columns[name]) for name in names]],
                     names=["block", *[f"v{k}" for k in range(len(names))]],
                 )
 
     schema = "block long, " + ", ".join(f"v{k} double" for k in range(len(names)))
-    return spark.range(0, blocks, 1, partitions).mapInArrow(generate, schema)
+    return blocks.mapInArrow(generate, schema)
+
+
+def philox_draws(
+    spark: SparkSession, variables: Mapping[str, Distribution], rows: int, seed: int, block_size: int,
+    *, partitions: int | None = None, **options,
+) -> DataFrame:
+    """All ``rows`` draws; ``partitions`` groups blocks into tasks and changes no value."""
+    blocks = math.ceil(rows / min(block_size, rows))
+    numbers = spark.range(0, blocks, 1, partitions or plan_partitions(spark, blocks))
+    return draw_blocks(numbers, variables, rows, seed, block_size, **options)
 
 
 # --- draws attached to the rows of a table ---------------------------------------
@@ -142,4 +153,4 @@ def with_draws(df: DataFrame, key: str, variables: Mapping[str, Distribution], s
     return df.select(*kept, *[value(n, d).cast("double").alias(n) for n, d in variables.items()])
 
 
-__all__ = ["Discrete", "Normal", "Uniform", "philox_draws", "plan_partitions", "with_draws", "with_uniforms"]
+__all__ = ["Discrete", "Normal", "Uniform", "draw_blocks", "philox_draws", "plan_partitions", "with_draws", "with_uniforms"]

@@ -1,0 +1,153 @@
+"""A program as a stream: blocks arrive in micro-batches, progress comes out of each."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
+
+from quincunx.operators.blocks import fold_blocks, summarise_blocks
+from quincunx.operators.moments import STATE, fold_moments
+from quincunx.plans.program import Program
+from quincunx.plans.simulate import (
+    SimConfig,
+    block_count,
+    draw_branches,
+    measure_ids,
+    report_states,
+    summary_detail,
+)
+from quincunx.sources.draws import TASK_BLOCKS
+
+
+class _BlockRange(InputPartition):
+    def __init__(self, first: int, end: int):
+        self.first, self.end = first, end
+
+
+class _BlockReader(DataSourceStreamReader):
+    """Block numbers 0 .. blocks - 1; the offset is the next block.
+
+    Spark asks a restarted reader for its latest offset without saying what was committed,
+    so the reader is told how far the run had come.
+    """
+
+    def __init__(self, blocks: int, per_batch: int, reached: int):
+        self.blocks, self.per_batch, self.reached = blocks, per_batch, reached
+
+    def initialOffset(self) -> dict:
+        return {"block": 0}
+
+    def latestOffset(self) -> dict:
+        self.reached = min(self.blocks, self.reached + self.per_batch)
+        return {"block": self.reached}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        first, last = start["block"], end["block"]
+        self.reached = max(self.reached, last)
+        step = TASK_BLOCKS[0]
+        return [_BlockRange(a, min(a + step, last)) for a in range(first, last, step)]
+
+    def read(self, partition: _BlockRange) -> Iterator[tuple]:
+        for block in range(partition.first, partition.end):
+            yield (block,)
+
+
+class BlockSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "quincunx_blocks"
+
+    def schema(self) -> str:
+        return "id long"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _BlockReader(*(int(self.options[name]) for name in ("blocks", "blocksPerBatch", "startBlock")))
+
+
+def _blocks_done(spark: SparkSession, folder: str, size: int) -> int:
+    try:
+        progress = spark.read.parquet(f"{folder}/progress")
+    except AnalysisException:  # nothing there yet
+        return 0
+    return math.ceil(progress.agg(F.max("total.candidates")).first()[0] / size)
+
+
+def stream_program(
+    spark: SparkSession, program: Program, config: SimConfig, folder: str, blocks_per_batch: int = 256
+) -> StreamingQuery:
+    """Starts a run that can be watched, stopped and started again on the same ``folder``.
+
+    Block summaries and progress go to one folder per micro-batch, which a repeated batch
+    replaces.  The run needs a seed, since a restart must draw the same numbers.
+    """
+    if config.seed is None or config.memory_mode != "bounded":
+        raise ValueError("a streamed run needs a seed and bounded memory")
+    if blocks_per_batch < 1:
+        raise ValueError("blocks_per_batch must be greater than zero")
+    detail = summary_detail(program, config)
+    ids = ", ".join(f"'{i}'" for i in measure_ids(program))
+    state = ", ".join(STATE)
+
+    def advance(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        values = draw_branches(session, program, config.seed, config, batch)
+        summaries = f"{folder}/summaries/batch={number}"
+        summarise_blocks(values, program.formula.branch_ids, detail).write.mode("overwrite").parquet(summaries)
+        blocks = session.read.parquet(summaries).selectExpr("block", f"array({ids})[branch] AS id", *STATE)
+        fresh = fold_moments(blocks, blocks_per_batch)
+        steps = fresh.selectExpr("1L AS block", "id", *STATE)
+        if number > 0:
+            before = session.read.parquet(f"{folder}/progress/batch={number - 1}")
+            steps = before.selectExpr("0L AS block", "id", "total.*").unionByName(steps)
+        total = fold_moments(steps, 2).selectExpr("id", f"struct({state}) AS total")
+        (
+            fresh.selectExpr("id", f"struct({state}) AS batch_state")
+            .join(F.broadcast(total), "id")  # three rows at most
+            .coalesce(1)
+            .write.mode("overwrite")
+            .parquet(f"{folder}/progress/batch={number}")
+        )
+
+    spark.dataSource.register(BlockSource)
+    return (
+        spark.readStream.format(BlockSource.name())
+        .option("blocks", block_count(program, config))
+        .option("blocksPerBatch", blocks_per_batch)
+        .option("startBlock", _blocks_done(spark, folder, min(config.block_size, program.iterations)))
+        .load()
+        .writeStream.foreachBatch(advance)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .start()
+    )
+
+
+def finished_report(spark: SparkSession, program: Program, config: SimConfig, folder: str) -> DataFrame:
+    """The final report from the stored summaries: the same as that of ``simulate``."""
+    summaries = spark.read.parquet(f"{folder}/summaries").drop("batch")
+    states = fold_blocks(
+        summaries, block_count(program, config), detail=summary_detail(program, config), bins=config.histogram_bins
+    )
+    return report_states(states, program)
+
+
+def start_event(program: Program, config: SimConfig, blocks_per_batch: int) -> dict:
+    """What is known of a run before its first batch."""
+    blocks = block_count(program, config)
+    return {
+        "type": "start",
+        "output": program.output,
+        "total_iterations": program.iterations,
+        "batch_count": math.ceil(blocks / blocks_per_batch),
+        "logical_block_size": config.block_size,
+        "branch_count": len(program.formula.branches),
+        "statistics": list(program.response),
+        "seed": config.seed,
+        "seed_strategy": config.seed_strategy,
+        "memory_mode": config.memory_mode,
+    }

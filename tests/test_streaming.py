@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -73,3 +75,59 @@ def test_table_stream_reads_one_table(spark, tmp_path):
     folder = work_folder(spark)
     start_progress(table_stream(spark, str(tmp_path), "events"), {"id": "id"}, folder).awaitTermination()
     assert read_progress(spark, folder).first().total.n == 3
+
+
+PROGRAM = r"\model{y=x\pm2z}\normal x{10,2}\uniform z{0,6}\iter{73000}\response{avg,var,p05,p50,p95}"
+
+
+def test_streamed_program_ends_like_a_batch_run(spark):
+    from quincunx.operators.fidelity import result_digest
+    from quincunx.plans.program import read_program
+    from quincunx.plans.simulate import SimConfig, simulate
+    from quincunx.streaming.programs import finished_report, start_event, stream_program
+
+    program, config, folder = read_program(PROGRAM), SimConfig(seed=9, logical_block_size=2_000), work_folder(spark)
+    query = stream_program(spark, program, config, folder, blocks_per_batch=15)
+    query.processAllAvailable()
+    query.stop()
+    rows = read_progress(spark, folder, 73_000).where("id = 'plus'").orderBy("batch").collect()
+    assert [r.batch_state.candidates for r in rows] == [30_000, 30_000, 13_000]
+    assert [r.total.candidates for r in rows] == [30_000, 60_000, 73_000]
+    assert rows[-1].progress == 1.0
+    assert start_event(program, config, 15)["batch_count"] == 3
+    streamed = finished_report(spark, program, config, folder)
+    assert result_digest(streamed).first() == result_digest(simulate(spark, program, config)).first()
+
+
+def test_stopped_program_goes_on(spark):
+    from quincunx.plans.program import read_program
+    from quincunx.plans.simulate import SimConfig, simulate
+    from quincunx.streaming.programs import finished_report, stream_program
+
+    program, config, folder = read_program(PROGRAM), SimConfig(seed=9, logical_block_size=2_000), work_folder(spark)
+    query = stream_program(spark, program, config, folder, blocks_per_batch=4)
+    while query.lastProgress is None and query.isActive:
+        time.sleep(0.05)
+    query.stop()
+    stopped = read_progress(spark, folder).agg({"batch": "max"}).first()[0]
+    assert stopped < 8  # of ten batches
+    again = stream_program(spark, program, config, folder, blocks_per_batch=4)
+    again.processAllAvailable()
+    again.stop()
+    rows = read_progress(spark, folder).where("id = 'minus'").orderBy("batch").collect()
+    assert [r.batch for r in rows] == list(range(10))
+    assert [r.batch_state.candidates for r in rows] == [8_000] * 9 + [1_000]
+    assert rows[-1].total.candidates == 73_000
+    want = {r.id: r.stats for r in simulate(spark, program, config).collect()}
+    got = {r.id: r.stats for r in finished_report(spark, program, config, folder).collect()}
+    assert got == want
+
+
+def test_streamed_program_needs_a_seed(spark):
+    from quincunx.plans.program import read_program
+    from quincunx.plans.simulate import SimConfig
+    from quincunx.streaming.programs import stream_program
+
+    for config in (SimConfig(), SimConfig(seed=1, memory_mode="retain_all")):
+        with pytest.raises(ValueError):
+            stream_program(spark, read_program(PROGRAM), config, work_folder(spark))
