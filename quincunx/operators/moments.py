@@ -87,6 +87,21 @@ def fold_moments(states: DataFrame, blocks: int, order: str = "block", fan_in: i
     return level(states, ["id"]).select("id", "s.*")
 
 
+def advance_states(before: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """(id, batch_state, total): each fresh state, and its merge with the state before it.
+
+    Both inputs have one moment state per id.
+    """
+    state = ", ".join(STATE)
+    steps = fresh.selectExpr("1 AS step", "id", *STATE)
+    if before is not None:
+        steps = before.selectExpr("0 AS step", "id", *STATE).unionByName(steps)
+    return steps.groupBy("id").agg(
+        F.expr(f"max_by(struct({state}), step)").alias("batch_state"),
+        F.expr(f"aggregate(array_sort(collect_list(struct(step, {state}))), {_EMPTY}, (a, b) -> {_MERGE})").alias("total"),
+    )
+
+
 def block_correlation(df: DataFrame, block: str, plus: str, minus: str, blocks: int, fan_in: int = FAN_IN) -> DataFrame:
     """Unweighted mean over blocks of the plus/minus correlation, one row.
 
@@ -124,11 +139,12 @@ def block_correlation(df: DataFrame, block: str, plus: str, minus: str, blocks:
     )
 
 
-def report_moments(states: DataFrame) -> DataFrame:
+def report_moments(states: DataFrame, *keep: str) -> DataFrame:
     """The statistics that a moment state alone determines."""
     error = summary.mcse("n", "m2")
     return states.selectExpr(
         "id",
+        *keep,
         "candidates",
         "n AS count",
         "candidates - n AS discarded",

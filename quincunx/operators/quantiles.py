@@ -12,7 +12,7 @@ target.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -71,7 +71,7 @@ def _stack(df: DataFrame, measures: Mapping[str, str], weight: str = "1L") -> Da
     return out.where("v IS NOT NULL")
 
 
-def _with_interval(rows: DataFrame, intervals: list[tuple[str, float, float]]) -> DataFrame:
+def _tag(rows: DataFrame, intervals: Sequence[tuple[str, float, float]]) -> DataFrame:
     """Keeps the rows inside one of the disjoint open intervals, tagged with its number."""
     cases = " ".join(
         f"WHEN measure = '{m}' AND v > {_literal(lo)} AND v < {_literal(hi)} THEN {k}"
@@ -80,17 +80,31 @@ def _with_interval(rows: DataFrame, intervals: list[tuple[str, float, float]]) -
     return rows.withColumn("interval", F.expr(f"CASE {cases} END")).where(F.col("interval").isNotNull())
 
 
+Rows = Callable[[Sequence[tuple[str, float, float]]], DataFrame]
+
+
+def _table_rows(df: DataFrame, measures: Mapping[str, str]) -> Rows:
+    """(measure, v, w, interval) rows of a table; the bounds also reach its scan."""
+
+    def rows(intervals):
+        inside = [f"({measures[m]} > {_literal(lo)} AND {measures[m]} < {_literal(hi)})" for m, lo, hi in intervals]
+        used = {m: sql for m, sql in measures.items() if any(m == i[0] for i in intervals)}
+        return _tag(_stack(df.where(" OR ".join(inside)), used), intervals)
+
+    return rows
+
+
 def _cuts(fractions: Sequence[float]) -> list[float]:
     """Percentages that enclose each rank fraction despite the approximation."""
     off = 2.0 / ACCURACY
     return sorted({min(1.0, max(0.0, f + d)) for f in fractions for d in (-off, 0.0, off)})
 
 
-def _grids(rows: DataFrame, cuts: Mapping[tuple, list[float]]) -> dict[tuple, list[float]]:
+def _grids(rows: Rows, cuts: Mapping[tuple, list[float]]) -> dict[tuple, list[float]]:
     """Approximate quantiles of every interval, at the percentages asked for it."""
     intervals = list(cuts)
     cases = [f"WHEN interval = {k} THEN v" for k in range(len(intervals))]
-    found = _with_interval(rows, intervals).selectExpr(*[
+    found = rows(intervals).selectExpr(*[
         f"percentile_approx(CASE {case} END, array({', '.join(f'{p!r}D' for p in cuts[i])}), {ACCURACY}) AS g{k}"
         for k, (i, case) in enumerate(zip(intervals, cases))
     ]).first()
@@ -98,14 +112,15 @@ def _grids(rows: DataFrame, cuts: Mapping[tuple, list[float]]) -> dict[tuple, li
 
 
 def locate(
-    rows: DataFrame,
+    rows: Rows,
     targets: Sequence[Target],
     sizes: dict[tuple, int],
     small: int = SMALL,
     weighted: bool = False,
     grids: dict[tuple, list[float]] | None = None,
 ) -> None:
-    """Fills in value, weight and before of every target; ``rows`` is (measure, v, w).
+    """Fills in value, weight and before of every target from the (measure, v, w, interval)
+    rows that ``rows`` gives for some intervals.
 
     ``sizes`` holds the number of rows of each interval, ``grids`` the cuts of the first
     round where they are known already.
@@ -130,7 +145,7 @@ def locate(
         cases = " ".join(f"WHEN interval = {k} THEN {_piece_sql(grids[i])}" for k, i in enumerate(wide))
         pieces: dict[tuple, dict[int, tuple[int, float]]] = {i: {} for i in wide}
         for r in (
-            _with_interval(rows, wide)
+            rows(wide)
             .withColumn("piece", F.expr(f"CASE {cases} END"))
             .groupBy("interval", "piece")
             .agg(F.count("*").alias("rows"), F.sum("w").alias("w"))
@@ -161,7 +176,7 @@ def _narrow(t: Target, grid: list[float], pieces: dict[int, tuple[int, float]],
         return
 
 
-def _finish(rows: DataFrame, targets: list[Target], intervals: list[tuple]) -> None:
+def _finish(rows: Rows, targets: list[Target], intervals: list[tuple]) -> None:
     """Sorts the few values left per interval and reads the answers off."""
     running = Window.partitionBy("interval").orderBy("v")
     masses: dict[int, list[Target]] = {}
@@ -173,7 +188,7 @@ def _finish(rows: DataFrame, targets: list[Target], intervals: list[tuple]) -> N
         for t in ts
     )
     found = (
-        _with_interval(rows, intervals)
+        rows(intervals)
         .groupBy("interval", "v")
         .agg(F.sum("w").alias("w"))
         .withColumn("reached", F.sum("w").over(running.rowsBetween(Window.unboundedPreceding, 0)))
@@ -223,7 +238,7 @@ def exact_quantiles(
                 wanted.setdefault((m, rank), Target(m, rank + 0.5))
     whole = {m: (m, -math.inf, math.inf) for m, n in counted.items() if n}
     locate(
-        _stack(df, measures),
+        _table_rows(df, measures),
         list(wanted.values()),
         {i: counted[m] for m, i in whole.items()},
         small,
@@ -278,7 +293,7 @@ def _weighted_values(points: DataFrame, probabilities: Sequence[float], small: i
         return [None] * len(probabilities)
     total = float(head["total"])
     targets = [Target("points", p * total) for p in probabilities]
-    locate(points, targets, {targets[0].interval: head["n"]}, small, weighted=True)
+    locate(lambda intervals: _tag(points, intervals), targets, {targets[0].interval: head["n"]}, small, weighted=True)
     if head["n"] <= STEP_SUPPORT and head["top"] / total >= STEP_SHARE:
         return [t.value for t in targets]
     return _interpolate(points, targets)

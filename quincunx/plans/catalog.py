@@ -467,16 +467,18 @@ def json_events(spark, folder):
 
 
 @query("""
-SELECT 'value' AS id, count(*) AS candidates, count(*) FILTER (WHERE value > 0) AS count, round(avg(ln(value)), 8) AS avg,
-       round(var_samp(ln(value)), 8) AS var, round(min(ln(value)), 8) AS min, round(max(ln(value)), 8) AS max, 1.0::DOUBLE AS progress
-FROM events""")
+WITH q AS (SELECT CASE WHEN value >= 5 THEN sqrt(value - 5) END AS v FROM events)
+SELECT 'value' AS id, count(*) AS candidates, count(v) AS count, round(avg(v), 8) AS avg, round(var_samp(v), 8) AS var,
+       round(min(v), 8) AS min, round(max(v), 8) AS max, 1.0::DOUBLE AS progress
+FROM q""")
 def stream_progress(spark, folder):
     """State after the last micro-batch of a stream over the events."""
     where = work_folder(spark)
-    start_progress(table_stream(spark, folder, "events"), {"value": "ln(value)"}, where).awaitTermination()
+    start_progress(table_stream(spark, folder, "events"), {"value": "sqrt(value - 5)"}, where).awaitTermination()
     rows = read_progress(spark, where, table(spark, folder, "events").count())
-    last = rows.groupBy("id").agg(F.max_by(F.struct("total", "progress"), "batch").alias("s"))
-    return report_moments(last.selectExpr("id", "s.total.*")).join(last.selectExpr("id", "s.progress"), "id").selectExpr(
+    last = rows.groupBy("id").agg(F.expr("max_by(struct(total, progress), batch)").alias("s"))
+    states = last.selectExpr("id", "s.total.*", "s.progress")
+    return report_moments(states, "progress").selectExpr(
         "id", "candidates", "count", "round(avg, 8) AS avg", "round(var, 8) AS var", "round(min, 8) AS min",
         "round(max, 8) AS max", "progress",
     )

@@ -16,6 +16,7 @@ from quincunx.operators.histogram import histogram
 from quincunx.operators.quantiles import exact_quantiles
 from quincunx.plans.program import Program, read_program
 from quincunx.sources.draws import draw_blocks, philox_draws
+from quincunx.sources.session import prepare
 
 # Fixed value: runs up to this size keep every value and report exact quantiles.
 EXACT_LIMIT = 65_536
@@ -62,6 +63,7 @@ def draw_branches(
     spark: SparkSession, program: Program, seed: int, config: SimConfig, blocks: DataFrame | None = None
 ) -> DataFrame:
     """(block, one raw value per branch) for every iteration, or for some blocks only."""
+    prepare(spark)
     options = {
         "names": program.formula.names,
         "one_stream_per_block": config.seed_strategy == "batch_index",

@@ -1,0 +1,18 @@
+"""The one session setting that the Arrow stages depend on for speed."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+# With any limit in bytes Spark measures the open batch before every row, which costs more
+# than writing the row.  Rows here are a few numbers, or one sketch of at most 33 KB, so the
+# limit in records (10 000 by default) bounds a batch already.
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_NO_LIMIT = "2147483647"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Lifts the limit for this session, unless it was set on purpose."""
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, _NO_LIMIT)
+    return spark

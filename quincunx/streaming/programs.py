@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
-from quincunx.operators.blocks import fold_blocks, summarise_blocks
+from quincunx.operators.blocks import SUMMARY_DDL, fold_blocks, summarise_blocks
 from quincunx.operators.moments import STATE, fold_moments
 from quincunx.plans.program import Program
 from quincunx.plans.simulate import (
@@ -23,6 +23,7 @@ from quincunx.plans.simulate import (
     summary_detail,
 )
 from quincunx.sources.draws import TASK_BLOCKS
+from quincunx.streaming.progress import write_progress
 
 
 class _BlockRange(InputPartition):
@@ -92,27 +93,15 @@ def stream_program(
         raise ValueError("blocks_per_batch must be greater than zero")
     detail = summary_detail(program, config)
     ids = ", ".join(f"'{i}'" for i in measure_ids(program))
-    state = ", ".join(STATE)
 
     def advance(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         values = draw_branches(session, program, config.seed, config, batch)
         summaries = f"{folder}/summaries/batch={number}"
         summarise_blocks(values, program.formula.branch_ids, detail).write.mode("overwrite").parquet(summaries)
-        blocks = session.read.parquet(summaries).selectExpr("block", f"array({ids})[branch] AS id", *STATE)
-        fresh = fold_moments(blocks, blocks_per_batch)
-        steps = fresh.selectExpr("1L AS block", "id", *STATE)
-        if number > 0:
-            before = session.read.parquet(f"{folder}/progress/batch={number - 1}")
-            steps = before.selectExpr("0L AS block", "id", "total.*").unionByName(steps)
-        total = fold_moments(steps, 2).selectExpr("id", f"struct({state}) AS total")
-        (
-            fresh.selectExpr("id", f"struct({state}) AS batch_state")
-            .join(F.broadcast(total), "id")  # three rows at most
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{folder}/progress/batch={number}")
-        )
+        stored = session.read.schema(SUMMARY_DDL).parquet(summaries)
+        blocks = stored.selectExpr("block", f"array({ids})[branch] AS id", *STATE)
+        write_progress(fold_moments(blocks, blocks_per_batch), folder, number)
 
     spark.dataSource.register(BlockSource)
     return (
@@ -129,7 +118,7 @@ def stream_program(
 
 def finished_report(spark: SparkSession, program: Program, config: SimConfig, folder: str) -> DataFrame:
     """The final report from the stored summaries: the same as that of ``simulate``."""
-    summaries = spark.read.parquet(f"{folder}/summaries").drop("batch")
+    summaries = spark.read.schema(f"{SUMMARY_DDL}, batch long").parquet(f"{folder}/summaries").drop("batch")
     states = fold_blocks(
         summaries, block_count(program, config), detail=summary_detail(program, config), bins=config.histogram_bins
     )

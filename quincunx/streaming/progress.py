@@ -7,10 +7,9 @@ import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quincunx.operators.moments import STATE, column_moments, fold_moments
+from quincunx.operators.moments import advance_states, column_moments
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -19,6 +18,19 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_STATE_DDL = "struct<candidates:bigint,n:bigint,mean:double,m2:double,low:double,high:double>"
+_PROGRESS_DDL = f"id string, batch_state {_STATE_DDL}, total {_STATE_DDL}"
+
+
+def write_progress(fresh: DataFrame, folder: str, number: int) -> None:
+    """Merges the states of batch ``number`` with the totals stored before it."""
+    before = None
+    if number > 0:
+        stored = fresh.sparkSession.read.schema(_PROGRESS_DDL).parquet(f"{folder}/progress/batch={number - 1}")
+        before = stored.selectExpr("id", "total.*")
+    advance_states(before, fresh).coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
+
+
 def start_progress(
     stream: DataFrame, measures: Mapping[str, str], folder: str, trigger: Mapping | None = None
 ) -> StreamingQuery:
@@ -28,23 +40,8 @@ def start_progress(
     before it and written to a folder of its own.  Running a batch again after a failure
     replaces its folder, so the totals count every row once.
     """
-    state = ", ".join(STATE)
-
     def advance(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = column_moments(batch, measures)
-        steps = fresh.selectExpr("1L AS block", "id", *STATE)
-        if number > 0:
-            before = spark.read.parquet(f"{folder}/progress/batch={number - 1}")
-            steps = before.selectExpr("0L AS block", "id", "total.*").unionByName(steps)
-        total = fold_moments(steps, 2).selectExpr("id", f"struct({state}) AS total")
-        (
-            fresh.selectExpr("id", f"struct({state}) AS batch_state")
-            .join(F.broadcast(total), "id")  # one row per measure
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{folder}/progress/batch={number}")
-        )
+        write_progress(column_moments(batch, measures), folder, number)
 
     return (
         stream.writeStream.foreachBatch(advance)
@@ -57,6 +54,6 @@ def start_progress(
 def read_progress(spark: SparkSession, folder: str, total_rows: int | None = None) -> DataFrame:
     """One row per batch and measure, with the share of ``total_rows`` done so far."""
     whole = "cast(NULL AS double)" if total_rows is None else f"total.candidates / {max(1, total_rows)}"
-    return spark.read.parquet(f"{folder}/progress").selectExpr(
-        "cast(batch AS bigint) AS batch", "id", "batch_state", "total", f"{whole} AS progress"
+    return spark.read.schema(f"{_PROGRESS_DDL}, batch long").parquet(f"{folder}/progress").selectExpr(
+        "batch", "id", "batch_state", "total", f"{whole} AS progress"
     )
