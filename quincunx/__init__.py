@@ -7,7 +7,37 @@ from pyspark import cloudpickle
 # Task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-from quincunx.plans.program import Program, ProgramError, read_formula, read_program  # noqa: E402
+from quincunx.operators.fidelity import histogram_distance, quantile_error, result_digest, result_events  # noqa: E402
+from quincunx.operators.histogram import histogram, histogram_rows  # noqa: E402
+from quincunx.operators.moments import (  # noqa: E402
+    block_correlation,
+    block_moments,
+    column_moments,
+    fold_moments,
+    report_moments,
+)
+from quincunx.operators.quantiles import exact_quantiles, weighted_quantiles  # noqa: E402
+from quincunx.operators.tablesketch import sketch_report  # noqa: E402
+from quincunx.plans.program import (  # noqa: E402
+    Diagnostic,
+    Discrete,
+    Normal,
+    Program,
+    ProgramError,
+    Uniform,
+    read_formula,
+    read_program,
+)
 from quincunx.plans.simulate import SimConfig, simulate  # noqa: E402
+from quincunx.sources.draws import with_draws  # noqa: E402
+from quincunx.sources.reports import flat_report, write_report  # noqa: E402
+from quincunx.streaming.programs import event_log, finished_report, stream_program  # noqa: E402
+from quincunx.streaming.progress import read_progress, start_progress  # noqa: E402
 
-__all__ = ["Program", "ProgramError", "SimConfig", "read_formula", "read_program", "simulate"]
+__all__ = [
+    "Diagnostic", "Discrete", "Normal", "Program", "ProgramError", "SimConfig", "Uniform", "block_correlation",
+    "block_moments", "column_moments", "event_log", "exact_quantiles", "finished_report", "flat_report",
+    "fold_moments", "histogram", "histogram_distance", "histogram_rows", "quantile_error", "read_formula",
+    "read_program", "read_progress", "report_moments", "result_digest", "result_events", "simulate",
+    "sketch_report", "start_progress", "stream_program", "weighted_quantiles", "with_draws", "write_report",
+]

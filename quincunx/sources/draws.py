@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quincunx.plans.program import Discrete, Distribution, Normal, Uniform
 
-# A task draws at least 64 blocks, so that starting it does not cost more than its work,
-# and at most 256.
-TASK_BLOCKS = (64, 256)
+# A task draws at least 64 blocks, so that starting it does not cost more than its work, and
+# at most 2048, some ten million draws.
+TASK_BLOCKS = (64, 2048)
 
 
 def plan_partitions(spark: SparkSession, blocks: int) -> int:

@@ -13,3 +13,11 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     """The table as a stream of its files; a table may also be a folder of files."""
     reader = spark.readStream.schema(table(spark, folder, name).schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def program_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of the model files below a path."""
+    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.dsl").option("recursiveFileLookup", True)
+    return reader.format("text").load(path).selectExpr(
+        "regexp_extract(_metadata.file_name, '^(.*)[.]dsl$', 1) AS name", "value AS text"
+    )

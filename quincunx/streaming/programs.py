@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
+from quincunx.functions import summary
 from quincunx.operators.blocks import SUMMARY_DDL, fold_blocks, summarise_blocks
 from quincunx.operators.moments import STATE, fold_moments
 from quincunx.plans.program import Program
@@ -23,7 +25,7 @@ from quincunx.plans.simulate import (
     summary_detail,
 )
 from quincunx.sources.draws import TASK_BLOCKS
-from quincunx.streaming.progress import write_progress
+from quincunx.streaming.progress import read_progress, write_progress
 
 
 class _BlockRange(InputPartition):
@@ -139,4 +141,71 @@ def start_event(program: Program, config: SimConfig, blocks_per_batch: int) -> d
         "seed": config.seed,
         "seed_strategy": config.seed_strategy,
         "memory_mode": config.memory_mode,
+        "done": False,
     }
+
+
+def _split(rows: DataFrame, *columns: str) -> DataFrame:
+    """Turns lists of branches into lists without the paired difference, and that on its own."""
+    order = "(a, b) -> if(a.id > b.id, -1, 1)"  # plus before minus
+    return rows.selectExpr(
+        "* EXCEPT (" + ", ".join(columns) + ")",
+        *[f"array_sort(filter({c}, x -> x.id <> 'plus_minus_delta'), {order}) AS {c}" for c in columns],
+        *[f"get(filter({c}, x -> x.id = 'plus_minus_delta'), 0) AS {c}_paired" for c in columns],
+    )
+
+
+# Counts over the branches of the formula.
+_TOTALS = ", ".join(
+    f"aggregate(branches.{name}, 0L, (a, c) -> a + c) AS {name}"
+    for name in ("candidate_results", "valid_results", "discarded_results")
+)
+
+
+def batch_events(spark: SparkSession, program: Program, config: SimConfig, folder: str, blocks_per_batch: int) -> DataFrame:
+    """(batch, value): one JSON event per micro-batch, with what it added and the totals so far.
+
+    Quantiles are null until the run is complete, unless it is short enough to be exact.
+    """
+    count = start_event(program, config, blocks_per_batch)["batch_count"]
+
+    def branch(state: str) -> str:
+        fields = [f"{state}.{name}" for name in ("n", "candidates", "mean", "m2", "low", "high")]
+        stats = summary.statistics(program.response, *fields, "cast(NULL AS array<double>)")
+        return (
+            f"struct(id, {state}.candidates AS candidate_results, {state}.n AS valid_results, "
+            f"{state}.candidates - {state}.n AS discarded_results, {stats} AS stats)"
+        )
+
+    rows = read_progress(spark, folder, program.iterations)
+    lists = (
+        rows.selectExpr("batch", f"{branch('total')} AS total", f"{branch('batch_state')} AS fresh")
+        .groupBy("batch")
+        .agg(F.collect_list("total").alias("branches"), F.collect_list("fresh").alias("fresh"))  # three at most
+    )
+    event = f"""to_json(struct(
+        'batch' AS type, batch AS batch_index, batch + 1 AS completed_batches, {count} AS batch_count,
+        branches[0].candidate_results AS processed_iterations, {program.iterations} AS total_iterations,
+        branches[0].candidate_results / {program.iterations} AS progress, {_TOTALS},
+        struct(fresh[0].candidate_results AS iterations, fresh AS branches, fresh_paired AS paired) AS batch,
+        branches, branches_paired AS paired, false AS done
+    ), map('ignoreNullFields', 'false'))"""
+    return _split(lists, "branches", "fresh").selectExpr("batch", f"{event} AS value")
+
+
+def complete_event(report: DataFrame, program: Program) -> DataFrame:
+    """One JSON event that holds the whole report, at most three branches."""
+    one = report.agg(F.collect_list(F.struct(*report.columns)).alias("branches"))
+    event = f"""to_json(struct(
+        'complete' AS type, {program.iterations} AS processed_iterations, {program.iterations} AS total_iterations,
+        1D AS progress, {_TOTALS}, branches, branches_paired AS paired, true AS done
+    ), map('ignoreNullFields', 'false'))"""
+    return _split(one, "branches").selectExpr(f"{event} AS value")
+
+
+def event_log(spark: SparkSession, program: Program, config: SimConfig, folder: str, blocks_per_batch: int) -> DataFrame:
+    """(position, value) of a finished streamed run: start, every batch, complete."""
+    start = spark.createDataFrame([(-1, json.dumps(start_event(program, config, blocks_per_batch)))], "position long, value string")
+    batches = batch_events(spark, program, config, folder, blocks_per_batch).withColumnRenamed("batch", "position")
+    complete = complete_event(finished_report(spark, program, config, folder), program)
+    return start.unionByName(batches).unionByName(complete.selectExpr(f"{2**62}L AS position", "value"))

@@ -131,3 +131,41 @@ def test_streamed_program_needs_a_seed(spark):
     for config in (SimConfig(), SimConfig(seed=1, memory_mode="retain_all")):
         with pytest.raises(ValueError):
             stream_program(spark, read_program(PROGRAM), config, work_folder(spark))
+
+
+def test_event_log_of_a_run(spark):
+    import json
+
+    from quincunx import SimConfig, event_log, read_program, stream_program
+
+    text = r"\model{y=\sqrt{x}\pm1}\uniform x{-1,3}\iter{53}\response{avg,count,p50}"
+    program, config, folder = read_program(text), SimConfig(seed=5, logical_block_size=20), work_folder(spark)
+    query = stream_program(spark, program, config, folder, blocks_per_batch=1)
+    query.processAllAvailable()
+    query.stop()
+    events = [json.loads(r.value) for r in event_log(spark, program, config, folder, 1).orderBy("position").collect()]
+    assert [e["type"] for e in events] == ["start", "batch", "batch", "batch", "complete"]
+    assert events[0]["batch_count"] == 3 and events[0]["total_iterations"] == 53
+    assert [e["batch"]["iterations"] for e in events[1:4]] == [20, 20, 13]
+    assert [e["processed_iterations"] for e in events[1:]] == [20, 40, 53, 53]
+    for event in events[1:]:
+        assert event["candidate_results"] == 2 * event["processed_iterations"]
+        assert event["valid_results"] + event["discarded_results"] == event["candidate_results"]
+        assert [b["id"] for b in event["branches"]] == ["plus", "minus"]
+        assert event["paired"]["stats"]["avg"] == pytest.approx(2)
+    assert events[3]["branches"][1]["stats"]["p50"] is None
+    last = events[-1]["branches"][1]
+    assert last["stats"]["p50"] is not None
+    assert last["histogram"]["total_count"] == last["valid_results"] == events[3]["branches"][1]["valid_results"]
+    assert [e["done"] for e in events] == [False] * 4 + [True]
+
+
+def test_program_files(spark, tmp_path):
+    from quincunx.sources.tables import program_texts
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "one.dsl").write_text("\\model{y=x}\n\\normal x{0,1}\n")
+    (tmp_path / "deep" / "two.dsl").write_text("text")
+    (tmp_path / "notes.txt").write_text("no model")
+    rows = {r.name: r.text for r in program_texts(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"one", "two"} and rows["one"].startswith("\\model{y=x}\n")
