@@ -26,7 +26,7 @@ from quincunx.plans.program import Discrete, Normal, Uniform, read_formula, read
 from quincunx.plans.simulate import SimConfig, simulate
 from quincunx.sources import draws
 from quincunx.sources.tables import table, table_stream
-from quincunx.streaming.programs import finished_report, stream_program
+from quincunx.streaming.programs import event_log, finished_report, stream_program
 from quincunx.streaming.progress import read_progress, start_progress, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -685,8 +685,7 @@ FROM x JOIN k ON b < {_BATCH} * (batch + 1) GROUP BY batch HAVING in_batch > 0""
 def checked_progress(spark, folder):
     """A streamed run: the batch and the total after every micro-batch."""
     rows = table(spark, folder, "lineitem").count()
-    where = _stream_uniform(spark, rows)
-    progress = read_progress(spark, where, rows)
+    progress = read_progress(spark, _stream(spark, "uniform_mean", rows)[2], rows)
     return progress.selectExpr(
         "batch", "id", "total.candidates AS processed", "batch_state.candidates AS in_batch",
         "round(total.mean, 9) AS avg", f"round({summary.variance('total.n', 'total.m2')}, 8) AS var",
@@ -694,13 +693,30 @@ def checked_progress(spark, folder):
     )
 
 
-def _stream_uniform(spark: SparkSession, rows: int) -> str:
-    where = work_folder(spark)
-    program = read_program(PROGRAMS["uniform_mean"]).with_iterations(rows)
-    stream = stream_program(spark, program, SimConfig(seed=SEED), where, max(4, math.ceil(_blocks(rows) / 8)))
+def _stream(spark: SparkSession, name: str, rows: int) -> tuple:
+    """A streamed run that has ended: program, configuration, folder and blocks per batch."""
+    where, per_batch = work_folder(spark), max(4, math.ceil(_blocks(rows) / 8))
+    program, config = read_program(PROGRAMS[name]).with_iterations(rows), SimConfig(seed=SEED)
+    stream = stream_program(spark, program, config, where, per_batch)
     stream.processAllAvailable()
     stream.stop()
-    return where
+    return program, config, where, per_batch
+
+
+@query(f"""WITH {_draw_ctes('x')}, k AS (SELECT unnest(range(8)) AS batch),
+e AS (SELECT batch, count(*) AS processed, count(*) FILTER (WHERE -10 + 20 * u >= 0) AS valid
+      FROM x JOIN k ON b < {_BATCH} * (batch + 1) GROUP BY batch HAVING count(*) FILTER (WHERE b >= {_BATCH} * batch) > 0)
+SELECT 'start' AS type, NULL::BIGINT AS batch, NULL::BIGINT AS processed, NULL::BIGINT AS valid, NULL::BIGINT AS discarded, {_ROWS} AS total
+UNION ALL SELECT 'batch', batch, processed, valid, processed - valid, {_ROWS} FROM e
+UNION ALL SELECT 'complete', NULL, max(processed), max(valid), max(processed) - max(valid), {_ROWS} FROM e""")
+def checked_events(spark, folder):
+    """The JSON event log of a streamed run, read back."""
+    log = event_log(spark, *_stream(spark, "partial_root", table(spark, folder, "lineitem").count()))
+    fields = "type string, batch_index long, processed_iterations long, valid_results long, discarded_results long, total_iterations long"
+    return log.selectExpr(f"from_json(value, '{fields}') AS e").selectExpr(
+        "e.type AS type", "e.batch_index AS batch", "e.processed_iterations AS processed", "e.valid_results AS valid",
+        "e.discarded_results AS discarded", "e.total_iterations AS total",
+    )
 
 
 @query(f"""WITH {_draw_ctes('x')}
@@ -710,8 +726,8 @@ FROM x""")
 def checked_streamed_end(spark, folder):
     """The final report of a streamed run, from its stored block summaries."""
     rows = table(spark, folder, "lineitem").count()
-    program = read_program(PROGRAMS["uniform_mean"]).with_iterations(rows)
-    report = finished_report(spark, program, SimConfig(seed=SEED), _stream_uniform(spark, rows))
+    program, config, where, _ = _stream(spark, "uniform_mean", rows)
+    report = finished_report(spark, program, config, where)
     return _shown(report).drop("discarded", "p05", "p50", "p95")
 
 
