@@ -142,6 +142,8 @@ def locate(
                 for i in wide
             }
             grids = _grids(rows, cuts)
+            if len(grids) < len(wide):
+                raise RuntimeError("the input changed between passes")
         cases = " ".join(f"WHEN interval = {k} THEN {_piece_sql(grids[i])}" for k, i in enumerate(wide))
         pieces: dict[tuple, dict[int, tuple[int, float]]] = {i: {} for i in wide}
         for r in (

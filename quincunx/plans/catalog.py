@@ -386,12 +386,12 @@ def histogram_bins(spark, folder):
 
 @query("""
 SELECT k AS bin, round(1.5 + k / 8.0, 9) AS x0, round(1.5 + (k + 1) / 8.0, 9) AS x1,
-       CASE WHEN k = 4 THEN (SELECT count(*) FROM nation) ELSE 0 END AS count
+       CASE WHEN k = 4 THEN (SELECT count(*) FROM orders) ELSE 0 END AS count
 FROM (SELECT unnest(range(8)) AS k)""")
 def histogram_constant(spark, folder):
     """A single observed value gets padded edges."""
-    df = table(spark, folder, "nation").select(F.lit(2.0).alias("v"))
-    return histogram_rows(histogram(df, {"v": "v"}, 8)).selectExpr(
+    df = table(spark, folder, "orders")
+    return histogram_rows(histogram(df, {"v": "if(o_totalprice IS NULL, NULL, 2D)"}, 8)).selectExpr(
         "cast(bin AS bigint) AS bin", "round(x0, 9) AS x0", "round(x1, 9) AS x1", "count"
     )
 

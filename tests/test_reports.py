@@ -23,3 +23,14 @@ def test_flat_report_has_plain_columns(spark):
     flat = flat_report(simulate(spark, PROGRAM, SimConfig(seed=3)))
     assert {"max", "avg", "ci95_mean_low", "valid_rate_ci95_wilson_high", "mcse_mean"} <= set(flat.columns)
     assert all("<" not in t for _, t in flat.dtypes)
+
+
+def test_arrow_limit_is_lifted_only_where_unset(spark):
+    from quincunx.sources.session import prepare
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = spark.newSession()
+    session.conf.unset(key)
+    assert prepare(session).conf.get(key) == "2147483647"
+    session.conf.set(key, "1048576")
+    assert prepare(session).conf.get(key) == "1048576"
