@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quincunx.llm import mixing, packing, quality, secretscan, sharding, simhash, tokencount, urls, vectors
+from quincunx.llm import mixing, packing, quality, secretscan, sharding, simhash, suffixes, tokencount, urls, vectors
 from quincunx.llm.common import n_bytes, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, LEVELS, WEIGHTS, share=MIX_SHARE, epochs=MIX_EPOCHS, seed=SEED)
 
 
+def op2_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     return tokencount.token_counts(table(spark, folder, "documents"), path, limit=2048)
@@ -89,7 +93,7 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mixing, op3_token_counts, op4_packing, op5_near_vectors, op6_sharding, op7_secrets, op8_simhash, op9_quality,
+        op1_mixing, op2_repeats, op3_token_counts, op4_packing, op5_near_vectors, op6_sharding, op7_secrets, op8_simhash, op9_quality,
         op10_urls,
     )
 }
