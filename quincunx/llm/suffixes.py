@@ -34,7 +34,7 @@ BLOCK_BYTES = 4 << 20
 PART_BYTES = 1 << 20  # of a block's text held in wide arrays at a time
 BUCKET_BLOCKS = 4  # as many buckets as blocks, divided by this
 HOT_DOCUMENTS = 5_000  # an anchor in more documents is dealt out window by window
-SHALLOW = 4  # symbols of eight bytes
+SHALLOW = 5  # symbols of eight bytes
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 NOBODY = np.iinfo(np.int64).max
@@ -50,37 +50,45 @@ def deep_shallow(symbols: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarra
     open segments by their next symbol, and rows that agree with a neighbour stay open.
     """
     n, width = symbols.shape
-    order, new = np.arange(n), np.zeros(n, bool)
+    new = np.zeros(n, bool)
     if not n:
-        return order, np.zeros(0, np.int64)
+        return np.arange(n), np.zeros(0, np.int64)
     new[0] = True
-    for depth in range(min(shallow, width)):
-        open_rows = np.flatnonzero(~new | np.append(~new[1:], False)) if depth else np.arange(n)
+    order = np.argsort(symbols[:, 0])
+    key = symbols[order, 0]
+    new[1:] = key[1:] != key[:-1]
+    for depth in range(1, min(shallow, width)):
+        open_rows = np.flatnonzero(~new | np.append(~new[1:], False))
         if not len(open_rows):
             break
-        key = symbols[order[open_rows], depth]
-        segment = np.cumsum(new)[open_rows]
-        by = np.lexsort((key, segment)) if depth else np.argsort(key, kind="stable")
+        segment, key = np.cumsum(new)[open_rows], symbols[order[open_rows], depth]
+        by = _within(segment, key)
         order[open_rows] = order[open_rows][by]
-        key, segment = key[by], segment[by]
+        key = key[by]
         new[open_rows[1:]] |= (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])
-    if width > shallow:
-        tail = symbols[order, shallow:]
-        differs = np.zeros(n, bool)
-        differs[1:] = ~new[1:] & (tail[1:] != tail[:-1]).any(axis=1)
-        starts = np.append(np.flatnonzero(new), n)
-        mixed = np.unique(np.searchsorted(starts, np.flatnonzero(differs), side="right") - 1)
-        for s, e in zip(starts[mixed].tolist(), starts[mixed + 1].tolist(), strict=True):
-            rows = order[s:e].copy()
-            deep = np.ascontiguousarray(symbols[rows, shallow:].astype(">u8"))
-            at = s
-            for leaf in blind_trie([r.tobytes() for r in deep]):
-                order[at : at + len(leaf)] = rows[leaf]
-                new[at] = True
-                at += len(leaf)
+    deep = np.flatnonzero(~new) if width > shallow else np.zeros(0, np.int64)
+    differs = deep[(symbols[order[deep], shallow:] != symbols[order[deep - 1], shallow:]).any(axis=1)]
+    starts = np.append(np.flatnonzero(new), n)
+    mixed = np.unique(np.searchsorted(starts, differs, side="right") - 1)
+    for s, e in zip(starts[mixed].tolist(), starts[mixed + 1].tolist(), strict=True):
+        rows = order[s:e].copy()
+        strings, wide = symbols[rows, shallow:].astype(">u8").tobytes(), 8 * (width - shallow)
+        at = s
+        for leaf in blind_trie([strings[k : k + wide] for k in range(0, len(strings), wide)]):
+            order[at : at + len(leaf)] = rows[leaf]
+            new[at] = True
+            at += len(leaf)
     return order, np.flatnonzero(new)
 
 
+def _within(segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by key inside segments, which are in order already."""
+    by = np.argsort(key)
+    rank = np.empty(len(key), np.int64)
+    rank[by] = np.append(0, np.cumsum(np.diff(key[by]) != 0))
+    return np.argsort(segment * (rank[by[-1]] + 1) + rank)
+
+
 def blind_trie(strings: list[bytes]) -> Iterable[list[int]]:
     """Groups of equal strings (all of one length) in order.
 
@@ -122,13 +130,23 @@ def _words(text: np.ndarray, at: np.ndarray, sizes: np.ndarray | int, count: int
 
     ``text`` must go on for 8 bytes after the last string.
     """
-    eight = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
-    out = np.empty((len(at), count), np.uint64)
+    eights = every_eight(text, ">u8")
+    out = np.empty((len(at), count), np.uint64, order="F")
     for k in range(count):
-        held = np.clip(sizes - 8 * k, 0, 8)
-        word = np.ascontiguousarray(eight[np.minimum(at + 8 * k, len(eight) - 1)]).view(">u8").ravel().astype(np.uint64)
-        drop = ((8 - held) * 8).astype(np.uint64) if isinstance(held, np.ndarray) else np.uint64((8 - held) * 8)
-        out[:, k] = np.where(held == 0, np.uint64(0), (word >> (drop % np.uint64(64))) << (drop % np.uint64(64)))
+        drop = 64 - 8 * np.clip(sizes - 8 * k, 0, 8)
+        word = eights[np.minimum(at + 8 * k, len(eights) - 1)]
+        if np.any(drop):
+            bits = np.asarray(drop % 64, np.uint64)
+            word = np.where(drop == 64, np.uint64(0), (word >> bits) << bits)
+        out[:, k] = word
+    return out
+
+
+def every_eight(text: np.ndarray, kind: str) -> np.ndarray:
+    """The word of eight bytes at each position."""
+    out = np.empty(len(text) - 7, np.uint64)
+    for k in range(min(8, len(out))):
+        out[k::8] = text[k : k + (len(text) - k) // 8 * 8].view(kind)
     return out
 
 
@@ -180,11 +198,10 @@ class Part:
 
 def seed_hash(text: np.ndarray, at: np.ndarray | None, count: int, seed: int) -> np.ndarray:
     """A 64-bit hash of the ``seed`` bytes (a multiple of 8) at each position, or from 0 to ``count``."""
-    eight = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
+    eights = every_eight(text, "<u8")
     out = np.zeros(count if at is None else len(at), np.uint64)
     for k in range(0, seed, 8):
-        rows = eight[k : k + count] if at is None else eight[at + k]
-        out ^= np.ascontiguousarray(rows).view("<u8").ravel()
+        out ^= eights[k : k + count] if at is None else eights[at + k]
         out *= MIX
         out ^= out >> np.uint64(32)
     return out
@@ -222,17 +239,17 @@ class Steps:
         if ids:
             yield ids, texts, Part(texts, self.length, self.seed)
 
-    def block_hashes(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def block_hashes(self, parts: Iterable) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes of a block, and in how many of its documents each occurs."""
         found, own = [], []
-        for ids, _, part in self.parts(table):
+        for ids, _, part in parts:
             usable = np.array([i is not None for i in ids])[part.document] if len(part.place) else np.zeros(0, bool)
-            pairs = np.stack([part.hash[usable], part.document[usable].astype(np.uint64)], axis=1)
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            fresh = np.ones(len(pairs), bool)
-            fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-            hashes, count = np.unique(pairs[fresh, 0], return_counts=True)
+            own_hash, document = part.hash[usable], part.document[usable]
+            order = np.argsort(own_hash, kind="stable")  # documents stay in order
+            own_hash, document = own_hash[order], document[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (own_hash[1:] != own_hash[:-1]) | (document[1:] != document[:-1])
+            hashes, count = np.unique(own_hash[fresh], return_counts=True)
             found.append(hashes)
             own.append(count)
         if not found:
@@ -243,7 +260,7 @@ class Steps:
     def ask(self, table: pa.Table) -> pa.Table:
         """Step 1, a block: its hashes for each bucket."""
         block = table.column("block")[0]
-        hashes, count = self.block_hashes(table)
+        hashes, count = self.block_hashes(self.parts(table))
         out = []
         for bucket, own in _split(_bucket(hashes, self.buckets)):
             out.append((bucket, block.as_py(), hashes[own].tobytes(), np.minimum(count[own], 1 << 30).astype("<i4").tobytes()))
@@ -265,9 +282,9 @@ class Steps:
         ]
         return _table(out, ["block", "bucket", "codes"])
 
-    def codes(self, table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, parts: list, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """The block's distinct hashes, and what the buckets said of each."""
-        hashes, _ = self.block_hashes(table)
+        hashes, _ = self.block_hashes(parts)
         code = np.zeros(len(hashes), np.uint8)
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("codes").to_pylist(), strict=True))
         for bucket, own in _split(_bucket(hashes, self.buckets)):
@@ -304,9 +321,10 @@ class Steps:
     def stretches(self, table: pa.Table, answers: pa.Table):
         """The block's distinct stretches in a fixed order: symbols, meta, smallest id; and the
         stretches of each part as numbers into them."""
-        hashes, code = self.codes(table, answers)
+        parts = list(self.parts(table))
+        hashes, code = self.codes(parts, answers)
         symbols, keys, own = [], [], []
-        for ids, texts, part in self.parts(table):
+        for ids, texts, part in parts:
             anchors, start, size, offset, hot = self.surroundings(part, hashes, code, ids)
             meta = (size * 256 + offset) * 2 + hot
             symbols.append(np.column_stack([_words(part.text, start, size, self.symbols), meta.astype(np.uint64)]))
