@@ -297,7 +297,7 @@ class Steps:
         An ordinary one has all its windows in one stretch of text, with ``offset`` telling
         where in it the seed is; around a hot one each window is a stretch of its own.
         """
-        if not len(part.place):
+        if not len(part.place) or not len(hashes):
             return (np.zeros(0, np.int64),) * 5
         usable = np.array([i is not None for i in ids])[part.document]
         at = np.minimum(np.searchsorted(hashes, part.hash), max(0, len(hashes) - 1))
@@ -353,7 +353,7 @@ class Steps:
         block = table.column("block")[0].as_py()
         symbols, least, _, _ = self.stretches(table, answers)
         size, _, _ = _meta(symbols)
-        raw, meta = _text(symbols)[: len(symbols) * 8 * self.symbols].reshape(len(symbols), -1), symbols[:, -1]
+        raw, meta = _text(symbols)[:-64].reshape(len(symbols), 8 * self.symbols), symbols[:, -1]
         out = []
         for bucket, own in _split(self.where_to(symbols)):
             used = np.arange(raw.shape[1])[None, :] < size[own, None]
@@ -450,8 +450,10 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
 
 def _split(numbers: np.ndarray) -> Iterable[tuple[int, np.ndarray]]:
     """Each distinct number with the positions that hold it, in order."""
+    if not len(numbers):
+        return
     order = np.argsort(numbers, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(numbers[order]) != 0)) if len(order) else []
+    starts = np.flatnonzero(np.append(True, np.diff(numbers[order]) != 0))
     for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
         yield int(numbers[order[s]]), order[s:e]
 
