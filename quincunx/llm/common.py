@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,18 @@ def n_bytes(text: str | Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+def held_by_worker(name: str, make: Callable):
+    """The object ``name`` of this worker process, made at its first use and kept from task to task.
+
+    Functions travel by value, so executors need no copy of this package; what a task leaves
+    in a module of its own would go with it, hence a place that every task finds again.
+    """
+    place = sys.modules.setdefault("_quincunx_held", types.ModuleType("_quincunx_held")).__dict__
+    if name not in place:
+        place[name] = make()
+    return place[name]
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece has at most about ``most`` bytes of ``column``, or one row."""
     for batch in batches:

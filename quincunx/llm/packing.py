@@ -9,7 +9,6 @@ bucket leaves less than one sequence unfilled.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 import zlib
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quincunx.llm.common import keyed_texts, slices
+from quincunx.llm.common import held_by_worker, keyed_texts, slices
 from quincunx.llm.tokencount import ODD_CONTROL, byte_symbols, pieces
 
 BATCH_BYTES = 8 << 20  # of text tokenised at a time in one task
@@ -75,9 +74,8 @@ class TextEncoder:
         ]
 
 
-@functools.cache
 def text_encoder(path: str) -> TextEncoder:
-    return TextEncoder(path)
+    return held_by_worker(f"encoder {path}", lambda: TextEncoder(path))
 
 
 def _checksum(ids: np.ndarray) -> int:

@@ -10,7 +10,6 @@ symbols less its number of merges.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quincunx.llm.common import keyed_texts, slices
+from quincunx.llm.common import held_by_worker, keyed_texts, slices
 
 BATCH_BYTES = 8 << 20  # of text worked on at a time in one task
 KNOWN_CHUNKS = 600_000  # counts a worker remembers; beyond that it keeps those of the latest batch
@@ -141,11 +140,6 @@ def _from_the_left(places: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.array(taken)
 
 
-@functools.cache
-def merge_table(path: str) -> MergeTable:
-    return MergeTable(path)
-
-
 def pieces(chunk: str) -> list[bytes]:
     """The words of a chunk without white space, normalised, as UTF-8."""
     if chunk.isascii():
@@ -161,7 +155,7 @@ class TextCounter:
     """Counts texts by chunks between white space, remembering each chunk's count."""
 
     def __init__(self, path: str):
-        self.merges = merge_table(path)
+        self.merges = MergeTable(path)
         self.known: dict[str, int] = {}
 
     def chunks(self, text: str) -> list[str]:
@@ -186,10 +180,9 @@ class TextCounter:
         return [sum(map(self.known.__getitem__, p)) + e for p, e in zip(parts, extra, strict=True)]
 
 
-@functools.cache
 def text_counter(path: str) -> TextCounter:
     """One for each worker process, which keeps what it has learned from task to task."""
-    return TextCounter(path)
+    return held_by_worker(f"counter {path}", lambda: TextCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
