@@ -182,7 +182,8 @@ class Part:
         edge = np.zeros(windows - 1, np.uint32)
         most = _sliding(np.concatenate([edge, least, edge]), windows, np.maximum)
         self.place = np.flatnonzero(most == rank)
-        self.hash = hashes[self.place]
+        # 48 bits tell anchors apart well enough: two that agree are compared by their text.
+        self.hash = hashes[self.place] >> np.uint64(16)
         self.least, self.rank, self.windows = least, rank, windows
         self.document = np.searchsorted(self.ends, self.place, side="right")
 
@@ -263,12 +264,12 @@ class Steps:
         hashes, count = self.block_hashes(self.parts(table))
         out = []
         for bucket, own in _split(_bucket(hashes, self.buckets)):
-            out.append((bucket, block.as_py(), hashes[own].tobytes(), np.minimum(count[own], 1 << 30).astype("<i4").tobytes()))
+            out.append((bucket, block.as_py(), _six_bytes(hashes[own]), np.minimum(count[own], 1 << 30).astype("<i4").tobytes()))
         return _table(out, ["bucket", "block", "hashes", "counts"])
 
     def answer(self, table: pa.Table) -> pa.Table:
         """Step 1, a bucket: for each block's hashes 0 (one document), 1 (several) or 2 (hot)."""
-        lists = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+        lists = [_from_six_bytes(x) for x in table.column("hashes").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()])
         _, where = np.unique(np.concatenate(lists), return_inverse=True)
         documents = np.bincount(where, counts)
@@ -448,6 +449,16 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array(c, TYPES[n]) for n, c in zip(names, columns, strict=True)})
 
 
+def _six_bytes(hashes: np.ndarray) -> bytes:
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _split(numbers: np.ndarray) -> Iterable[tuple[int, np.ndarray]]:
     """Each distinct number with the positions that hold it, in order."""
     if not len(numbers):
