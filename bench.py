@@ -1,7 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
 Each query runs once cold and then a few times warm; the reported number is the warm
-median.  Program queries run a fixed number of iterations, the others whole tables.
+median.  Table queries read whole tables; the published models draw one iteration per row of
+a range, in generated JVM code from one stream per partition, with sketched quantiles, as the
+published runs have blocks and sketches.
 """
 
 from __future__ import annotations
@@ -17,22 +19,33 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from quincunx.plans.catalog import PROGRAMS, QUERIES  # noqa: E402
-from quincunx.plans.program import read_program  # noqa: E402
-from quincunx.plans.simulate import SimConfig, simulate  # noqa: E402
+from quincunx.plans.catalog import QUERIES  # noqa: E402
+from quincunx.plans.report import report  # noqa: E402
 
-PROGRAM_RUNS = {  # metric -> (program, iterations)
+# The published models, under their published names.
+MODELS = {
+    "normal_mean": r"\model{y=x}\normal x{10,2}\iter{100000}"
+    r"\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
+    "linear_combination": r"\model{y=2x+3z}\normal x{10,2}\uniform z{0,6}\iter{100000}"
+    r"\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
+    "heavy_expression": r"\model{y=\sqrt{x^2+z^2}+\frac{x z}{2}+3x-2z}\normal x{0,1}\uniform z{-3,3}"
+    r"\iter{1000000}\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
+    "quadratic_pm": r"\model{resultado=\frac{-coef_b\pm\sqrt{coef_b^2-4coef_a coef_c}}{2coef_a}}"
+    r"\normal coef_a{10,0.5}\distrib coef_b{{10,0.5},{15,0.3},{20,0.2}}\uniform coef_c{-20,30}"
+    r"\iter{1000000}\response{avg,std,min,max,count,valid_rate,discard_rate,p05,p50,p95}",
+}
+MODEL_RUNS = {  # metric -> (model, iterations)
     "normal_mean_100k": ("normal_mean", 100_000),
     "normal_mean_1m": ("normal_mean", 1_000_000),
     "normal_mean_10m": ("normal_mean", 10_000_000),
     "linear_combination_1m": ("linear_combination", 1_000_000),
     "heavy_expression_1m": ("heavy_expression", 1_000_000),
-    "quadratic_pm_1m": ("quadratic_roots", 1_000_000),
+    "quadratic_pm_1m": ("quadratic_pm", 1_000_000),
 }
 TABLE_QUERIES = (
     "moments", "branches_and_delta", "division_discards", "paired_correlation", "ordered_merge", "quantiles_exact",
-    "quantiles_narrowed", "weighted_quantile_interpolated", "histogram_bins", "block_sketches", "sketch_quantiles",
-    "row_level_simulation", "stream_progress", "program_retain_all",
+    "quantiles_narrowed", "weighted_quantile_interpolated", "histogram_bins", "histogram_weighted", "block_sketches",
+    "sketch_quantiles", "row_level_simulation", "program_normal_mean", "program_retain_all", "stream_progress",
 )
 
 
@@ -52,13 +65,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    runs = {
-        name: (lambda p=program, n=rows: simulate(
-            spark, read_program(PROGRAMS[p]).with_iterations(n), SimConfig(seed=101)
-        ))
-        for name, (program, rows) in PROGRAM_RUNS.items()
+    runs = {name: (lambda q=QUERIES[name]: q(spark, folder)) for name in TABLE_QUERIES}
+    runs |= {
+        name: (lambda p=MODELS[model], n=rows: report(spark.range(n), "id", p, 101, quantiles="sketch", keyed=False))
+        for name, (model, rows) in MODEL_RUNS.items()
     }
-    runs |= {name: (lambda q=QUERIES[name]: q(spark, folder)) for name in TABLE_QUERIES}
     wanted = set(filter(None, os.environ.get("BENCH_ONLY", "").split(",")))
 
     warm, cold = {}, {}

@@ -17,7 +17,7 @@ from quincunx.operators.moments import (  # noqa: E402
     report_moments,
 )
 from quincunx.operators.quantiles import exact_quantiles, weighted_quantiles  # noqa: E402
-from quincunx.operators.tablesketch import sketch_report  # noqa: E402
+from quincunx.operators.sketch import block_sketches, merge_sketches, rank_error  # noqa: E402
 from quincunx.plans.program import (  # noqa: E402
     Diagnostic,
     Discrete,
@@ -28,16 +28,15 @@ from quincunx.plans.program import (  # noqa: E402
     read_formula,
     read_program,
 )
-from quincunx.plans.simulate import SimConfig, simulate  # noqa: E402
-from quincunx.sources.draws import with_draws  # noqa: E402
+from quincunx.plans.report import NoFiniteResult, branch_values, report  # noqa: E402
+from quincunx.sources.draws import with_draws, with_uniforms  # noqa: E402
 from quincunx.sources.reports import flat_report, write_report  # noqa: E402
-from quincunx.streaming.programs import event_log, finished_report, stream_program  # noqa: E402
-from quincunx.streaming.progress import read_progress, start_progress  # noqa: E402
+from quincunx.streaming.progress import progress_events, read_progress, start_progress, work_folder  # noqa: E402
 
 __all__ = [
-    "Diagnostic", "Discrete", "Normal", "Program", "ProgramError", "SimConfig", "Uniform", "block_correlation",
-    "block_moments", "column_moments", "event_log", "exact_quantiles", "finished_report", "flat_report",
-    "fold_moments", "histogram", "histogram_distance", "histogram_rows", "quantile_error", "read_formula",
-    "read_program", "read_progress", "report_moments", "result_digest", "result_events", "simulate",
-    "sketch_report", "start_progress", "stream_program", "weighted_quantiles", "with_draws", "write_report",
+    "Diagnostic", "Discrete", "NoFiniteResult", "Normal", "Program", "ProgramError", "Uniform", "block_correlation",
+    "block_moments", "block_sketches", "branch_values", "column_moments", "exact_quantiles", "flat_report", "fold_moments",
+    "histogram", "histogram_distance", "histogram_rows", "merge_sketches", "progress_events", "quantile_error", "rank_error",
+    "read_formula", "read_program", "read_progress", "report", "report_moments", "result_digest", "result_events",
+    "start_progress", "weighted_quantiles", "with_draws", "with_uniforms", "work_folder", "write_report",
 ]

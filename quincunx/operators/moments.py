@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quincunx.functions import summary
 
-FAN_IN = 1024
+NODE_BITS = 16  # a node of the fold tree takes the states of 2^16 neighbouring numbers
 STATE = ("candidates", "n", "mean", "m2", "low", "high")
 
 
@@ -53,12 +52,12 @@ def block_moments(df: DataFrame, block: str, measures: Mapping[str, str]) -> Dat
     )
 
 
-_EMPTY = (
+EMPTY_STATE = _EMPTY = (
     "named_struct('candidates', 0L, 'n', 0L, 'mean', 0D, 'm2', 0D, "
     "'low', cast(NULL AS double), 'high', cast(NULL AS double))"
 )
 # Chan, Golub and LeVeque's pairwise update; least and greatest skip NULL.
-_MERGE = """named_struct(
+MERGE_STATES = _MERGE = """named_struct(
     'candidates', a.candidates + b.candidates,
     'n', a.n + b.n,
     'mean', if(b.n = 0, a.mean, if(a.n = 0, b.mean, a.mean + (b.mean - a.mean) * b.n / nullif(a.n + b.n, 0))),
@@ -68,42 +67,27 @@ _MERGE = """named_struct(
     'high', greatest(a.high, b.high))"""
 
 
-def fold_moments(states: DataFrame, blocks: int, order: str = "block", fan_in: int = FAN_IN) -> DataFrame:
-    """Merges the states of each id in ``order`` 0 .. blocks - 1, whatever the partitioning.
+def _fold(states: DataFrame, order: str, keys: list[str], merged: str) -> DataFrame:
+    """Folds states in ``order``, a BIGINT, through one fixed tree over all 64-bit numbers.
 
-    The fold is a tree over block numbers with at most ``fan_in`` states per node; up to
-    ``fan_in`` blocks it is the plain ordered pass.
+    Three levels of nodes and a root: no node has more than 2^16 children, however many
+    blocks there are and however their numbers lie.  A NULL number is a node of its own.
     """
+    for _ in range(64 // NODE_BITS - 1):
+        node = F.shiftright(F.col(order).cast("long"), NODE_BITS).alias(order)
+        states = states.groupBy(*keys, node).agg(F.expr(merged).alias("s")).select(*keys, order, "s.*")
+    return states.groupBy(*keys).agg(F.expr(merged).alias("s")).select(*keys, "s.*")
 
-    def level(df: DataFrame, keys: list) -> DataFrame:
-        ordered = f"array_sort(collect_list(struct({order}, {', '.join(STATE)})))"
-        folded = f"aggregate({ordered}, {_EMPTY}, (a, b) -> {_MERGE})"
-        return df.groupBy(*keys).agg(F.expr(folded).alias("s"))
 
-    while blocks > fan_in:
-        node = F.expr(f"floor({order} / {fan_in})").alias(order)
-        states = level(states, ["id", node]).select("id", order, "s.*")
-        blocks = math.ceil(blocks / fan_in)
-    return level(states, ["id"]).select("id", "s.*")
+def fold_moments(states: DataFrame, order: str = "block") -> DataFrame:
+    """Merges the states of each id in the order of their numbers, whatever the partitioning."""
+    ordered = f"array_sort(collect_list(struct({order}, {', '.join(STATE)})))"
+    return _fold(states, order, ["id"], f"aggregate({ordered}, {_EMPTY}, (a, b) -> {_MERGE})")
 
 
-def advance_states(before: DataFrame | None, fresh: DataFrame) -> DataFrame:
-    """(id, batch_state, total): each fresh state, and its merge with the state before it.
-
-    Both inputs have one moment state per id.
-    """
-    state = ", ".join(STATE)
-    steps = fresh.selectExpr("1 AS step", "id", *STATE)
-    if before is not None:
-        steps = before.selectExpr("0 AS step", "id", *STATE).unionByName(steps)
-    return steps.groupBy("id").agg(
-        F.expr(f"max_by(struct({state}), step)").alias("batch_state"),
-        F.expr(f"aggregate(array_sort(collect_list(struct(step, {state}))), {_EMPTY}, (a, b) -> {_MERGE})").alias("total"),
-    )
-
-
-def block_correlation(df: DataFrame, block: str, plus: str, minus: str, blocks: int, fan_in: int = FAN_IN) -> DataFrame:
-    """Unweighted mean over blocks of the plus/minus correlation, one row.
+def block_correlation(df: DataFrame, block: str, plus: str, minus: str, *groups: str) -> DataFrame:
+    """(groups..., correlation_plus_minus_mean, blocks): unweighted mean over blocks of the
+    plus/minus correlation, one row for each value of the ``groups`` columns.
 
     Blocks with fewer than two pairs or a constant side have no correlation and do not
     count.  The sum is compensated (Neumaier) and taken in block order.
@@ -112,13 +96,14 @@ def block_correlation(df: DataFrame, block: str, plus: str, minus: str, blocks:
     r = summary.pair_correlation("plus", "minus")
     states = (
         df.selectExpr(
+            *groups,
             f"{block} AS block",
             f"if({both}, cast({plus} AS double), NULL) AS plus",
             f"if({both}, cast({minus} AS double), NULL) AS minus",
         )
-        .groupBy("block")
+        .groupBy(*groups, "block")
         .agg(F.expr(r).alias("total"))
-        .selectExpr("block", "total", "0D AS comp", "1L AS n")
+        .selectExpr(*groups, "block", "total", "0D AS comp", "1L AS n")
         .where("total IS NOT NULL AND NOT isnan(total)")
     )
     add = """named_struct(
@@ -127,15 +112,12 @@ def block_correlation(df: DataFrame, block: str, plus: str, minus: str, blocks:
                 (a.total - (a.total + b.total)) + b.total,
                 (b.total - (a.total + b.total)) + a.total),
         'n', a.n + b.n)"""
-    folded = F.expr(
+    merged = (
         "aggregate(array_sort(collect_list(struct(block, total, comp, n))), "
         f"named_struct('total', 0D, 'comp', 0D, 'n', 0L), (a, b) -> {add})"
-    ).alias("s")
-    while blocks > fan_in:
-        states = states.groupBy(F.expr(f"floor(block / {fan_in})").alias("block")).agg(folded).select("block", "s.*")
-        blocks = math.ceil(blocks / fan_in)
-    return states.agg(folded).selectExpr(
-        "(s.total + s.comp) / nullif(s.n, 0) AS correlation_plus_minus_mean", "s.n AS blocks"
+    )
+    return _fold(states, "block", list(groups), merged).selectExpr(
+        *groups, "(total + comp) / nullif(n, 0) AS correlation_plus_minus_mean", "n AS blocks"
     )
 
 

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quincunx.operators.moments import finite_sql
-from quincunx.operators.sketch import PROBABILITIES, STEP_SHARE, STEP_SUPPORT
+from quincunx.operators.sketch import PROBABILITIES
 
-SMALL = 65_536
+SMALL = 65_536  # values that the last step may sort; no result depends on it
 ACCURACY = 10_000  # percentile_approx is off by at most rows / ACCURACY ranks
-GRID = 31  # cuts per round where rank and row number differ, as with weights
+GRID = 255  # cuts per round where rank and row number differ, as with weights
 
 
 @dataclass
@@ -224,13 +224,6 @@ def exact_quantiles(
         for m, sql in finite.items()
     ]).first()
     counted = {m: head[m]["n"] for m in measures}
-    if max(counted.values()) <= small:
-        # ``percentile`` keeps distinct values in memory, which is fine up to this size.
-        points = ", ".join(f"{p!r}D" for p in probabilities)
-        cells = ", ".join(f"struct('{m}' AS id, percentile({sql}, array({points})) AS q)" for m, sql in finite.items())
-        return df.agg(F.expr(f"array({cells})").alias("rows")).selectExpr("inline(rows)").selectExpr(
-            "id", *[f"q[{k}] AS {name}" for k, name in enumerate(names)]
-        )
 
     wanted: dict[tuple[str, int], Target] = {}
     for m, n in counted.items():
@@ -264,53 +257,50 @@ def exact_quantiles(
 
 
 def weighted_quantiles(
-    df: DataFrame, center: str, weight: str, probabilities: Sequence[float] = PROBABILITIES, small: int = SMALL
+    df: DataFrame, center: str, weight: str, probabilities: Sequence[float] = PROBABILITIES, *, method: str = "linear",
+    small: int = SMALL,
 ) -> DataFrame:
     """(probability, value) of weighted points held in a table.
 
-    Points with equal centers are merged and those without positive weight dropped.  A
-    small discrete support gives its step function; otherwise the value is interpolated
-    between the mid-weights of neighbouring points.
+    Points with equal centers count together and those without positive weight not at all.
+    ``step`` gives the first center at which the cumulative weight reaches the probability;
+    ``linear`` interpolates between the mid-weights of neighbouring centers.
     """
-    points = (
-        df.selectExpr(f"cast({center} AS double) AS v", f"{weight} AS w")
-        .where("w > 0")
-        .groupBy("v")
-        .agg(F.sum("w").alias("w"))
-        .select(F.lit("points").alias("measure"), "v", "w")
-        .persist()  # merged once, read by every pass; a lost part is recomputed
-    )
-    try:
-        values = _weighted_values(points, probabilities, small)
-    finally:
-        points.unpersist()
+    if method not in ("step", "linear"):
+        raise ValueError("method must be step or linear")
+    points = df.selectExpr("'points' AS measure", f"cast({center} AS double) AS v", f"cast({weight} AS double) AS w")
+    values = _weighted_values(points.where("w > 0 AND v IS NOT NULL"), probabilities, method, small)
     return df.sparkSession.createDataFrame(
         [(float(p), v) for p, v in zip(probabilities, values)], "probability double, value double"
     )
 
 
-def _weighted_values(points: DataFrame, probabilities: Sequence[float], small: int) -> list[float | None]:
-    head = points.agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.max("w").alias("top")).first()
+def _weighted_values(points: DataFrame, probabilities: Sequence[float], method: str, small: int) -> list[float | None]:
+    uniform = ", ".join(f"{(k + 1) / (GRID + 1)!r}D" for k in range(GRID))
+    head = points.agg(
+        F.count("*").alias("n"), F.sum("w").alias("total"),
+        F.expr(f"percentile_approx(v, array({uniform}), {ACCURACY})").alias("grid"),
+    ).first()
     if not head["n"]:
         return [None] * len(probabilities)
-    total = float(head["total"])
-    targets = [Target("points", p * total) for p in probabilities]
-    locate(lambda intervals: _tag(points, intervals), targets, {targets[0].interval: head["n"]}, small, weighted=True)
-    if head["n"] <= STEP_SUPPORT and head["top"] / total >= STEP_SHARE:
-        return [t.value for t in targets]
-    return _interpolate(points, targets)
+    targets = [Target("points", p * float(head["total"])) for p in probabilities]
+    whole, n = targets[0].interval, head["n"]
+    grids = {whole: sorted(set(head["grid"]))} if n > small else None
+    locate(lambda intervals: _tag(points, intervals), targets, {whole: n}, small, weighted=True, grids=grids)
+    return [t.value for t in targets] if method == "step" else _interpolate(points, targets)
 
 
 def _interpolate(points: DataFrame, targets: list[Target]) -> list[float]:
     """Between the located point and the neighbour on the other side of the wanted mass."""
     sides = []
     for k, t in enumerate(targets):
-        below, above = F.col("v") < t.value, F.col("v") > t.value
-        sides += [
-            F.max(F.when(below, F.struct("v", "w"))).alias(f"below{k}"),
-            F.min(F.when(above, F.struct("v", "w"))).alias(f"above{k}"),
-        ]
-    row = points.agg(*sides).first()
+        sides += [f"max(v) FILTER (WHERE v < {_literal(t.value)}) AS below{k}", f"min(v) FILTER (WHERE v > {_literal(t.value)}) AS above{k}"]
+    row = points.selectExpr(*sides).first()
+    near = sorted({x for x in row if x is not None})
+    weights = {}
+    if near:
+        held = points.where(f"v IN ({', '.join(map(_literal, near))})").groupBy("v").agg(F.sum("w").alias("w"))
+        weights = {r["v"]: r["w"] for r in held.collect()}
     out = []
     for k, t in enumerate(targets):
         middle = t.before + 0.5 * t.weight
@@ -318,9 +308,9 @@ def _interpolate(points: DataFrame, targets: list[Target]) -> list[float]:
         if other is None or t.mass == middle:
             out.append(t.value)
         elif t.mass < middle:
-            start = t.before - 0.5 * other["w"]
-            out.append(other["v"] + (t.value - other["v"]) * (t.mass - start) / (middle - start))
+            start = t.before - 0.5 * weights[other]
+            out.append(other + (t.value - other) * (t.mass - start) / (middle - start))
         else:
-            end = t.before + t.weight + 0.5 * other["w"]
-            out.append(t.value + (other["v"] - t.value) * (t.mass - middle) / (end - middle))
+            end = t.before + t.weight + 0.5 * weights[other]
+            out.append(t.value + (other - t.value) * (t.mass - middle) / (end - middle))
     return out

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quincunx.functions import summary
-from quincunx.operators.blocks import fold_blocks
 from quincunx.operators.fidelity import histogram_distance, quantile_error, result_digest, result_events
 from quincunx.operators.histogram import histogram, histogram_rows
 from quincunx.operators.moments import (
@@ -20,14 +20,15 @@ from quincunx.operators.moments import (
     report_moments,
 )
 from quincunx.operators.quantiles import exact_quantiles, weighted_quantiles
-from quincunx.operators.tablesketch import sketch_column, sketch_report
-from quincunx.plans.oracle import philox_uniforms, row_normal, row_uniform
-from quincunx.plans.program import Discrete, Normal, Uniform, read_formula, read_program
-from quincunx.plans.simulate import SimConfig, simulate
+from quincunx.operators.sketch import block_sketches as sketch_blocks
+from quincunx.operators.sketch import merge_sketches, quantiles_sql, rank_error
+from quincunx.plans.oracle import row_normal, row_uniform
+from quincunx.plans.program import Discrete, Normal, Uniform, read_formula
+from quincunx.plans.report import report
 from quincunx.sources import draws
+from quincunx.sources.reports import flat_report, write_report
 from quincunx.sources.tables import table, table_stream
-from quincunx.streaming.programs import event_log, finished_report, stream_program
-from quincunx.streaming.progress import read_progress, start_progress, work_folder
+from quincunx.streaming.progress import progress_events, read_progress, start_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,8 +47,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _blocks(rows: int, size: int = BLOCK) -> int:
-    return max(1, math.ceil(rows / size))
+def _folder(spark: SparkSession) -> str:
+    """A new folder below the shared one; a local one only where none is set, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quincunx-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def _formula(text: str, df: DataFrame, keep: list[str], bind: dict[str, str]) -> DataFrame:
@@ -275,26 +278,49 @@ FROM orders""")
 def ordered_merge(spark, folder):
     """Block states merged in block order."""
     df = table(spark, folder, "orders")
-    size = 500
-    states = block_moments(df, f"o_orderkey div {size}", {"price": "o_totalprice"})
-    return report_moments(fold_moments(states, _blocks(df.count(), size))).selectExpr(
+    states = block_moments(df, "o_orderkey div 500", {"price": "o_totalprice"})
+    return report_moments(fold_moments(states)).selectExpr(
+        "count", "round(avg, 7) AS avg", "round(var / 1e6D, 4) AS var_e6", "min", "max"
+    )
+
+
+@query("""
+SELECT count(*) AS count, round(avg(o_totalprice), 7) AS avg, round(var_samp(o_totalprice) / 1e6, 4) AS var_e6,
+       min(o_totalprice) AS min, max(o_totalprice) AS max
+FROM orders""")
+def ordered_merge_sparse(spark, folder):
+    """The same over block numbers that are far apart, on both sides of zero, and partly missing."""
+    df = table(spark, folder, "orders").withColumn("b", F.expr(
+        "if(o_orderkey % 1000 < 500, (o_orderkey div 500 - 7) * 1000000007L, if(o_orderkey % 7 = 0, NULL, -o_orderkey))"
+    ))
+    states = fold_moments(block_moments(df, "b", {"price": "o_totalprice"}))
+    return report_moments(states).selectExpr(
         "count", "round(avg, 7) AS avg", "round(var / 1e6D, 4) AS var_e6", "min", "max"
     )
 
 
 @query("""
+WITH r AS (SELECT o_orderkey // 2000 AS t, corr(o_totalprice + o_custkey * 50, o_totalprice - o_custkey * 50) AS c
+           FROM orders GROUP BY o_orderkey // 500, 1),
+c AS (SELECT t, avg(c) AS c FROM r GROUP BY 1)
 SELECT 'task_' || lpad((o_orderkey // 2000)::VARCHAR, 9, '0') AS task, count(*) AS count,
-       round(avg(o_totalprice), 7) AS avg, round(var_samp(o_totalprice) / 1e6, 4) AS var_e6
-FROM orders GROUP BY 1""")
+       round(avg(o_totalprice), 7) AS avg, round(var_samp(o_totalprice) / 1e6, 4) AS var_e6,
+       round(any_value(c.c), 9) AS correlation
+FROM orders JOIN c ON c.t = o_orderkey // 2000 GROUP BY 1""")
 def task_merge(spark, folder):
-    """Blocks of 500 rows merged, in order, into tasks of four blocks."""
+    """Blocks of 500 rows merged, in order, into tasks of four blocks, with their correlation."""
     df = table(spark, folder, "orders")
-    states = block_moments(df, "o_orderkey div 500", {"price": "o_totalprice"})
-    tasks = states.withColumn("id", F.expr("concat('task_', lpad(cast(block div 4 AS string), 9, '0'))"))
-    tasks = tasks.withColumn("block", F.expr("block % 4"))
-    return report_moments(fold_moments(tasks, 4)).selectExpr(
+    name = F.expr("concat('task_', lpad(cast(block div 4 AS string), 9, '0'))")
+    tasks = block_moments(df, "o_orderkey div 500", {"price": "o_totalprice"}).withColumn("id", name)
+    merged = report_moments(fold_moments(tasks)).selectExpr(
         "id AS task", "count", "round(avg, 7) AS avg", "round(var / 1e6D, 4) AS var_e6"
     )
+    pairs = _formula(r"x\pm50z", df, ["o_orderkey"], {"x": "o_totalprice", "z": "o_custkey"})
+    pairs = pairs.withColumn("block", F.expr("o_orderkey div 500")).withColumn("task", name)
+    correlation = block_correlation(pairs, "block", "plus", "minus", "task")
+    return merged.join(correlation, "task").selectExpr(
+        "task", "count", "avg", "var_e6", "round(correlation_plus_minus_mean, 9) AS correlation"
+    )
 
 
 @query("""
@@ -305,8 +331,7 @@ def paired_correlation(spark, folder):
     """Unweighted mean of the correlation of both branches within each block."""
     df = table(spark, folder, "orders")
     pairs = _formula(r"x\pm50z", df, ["o_orderkey"], {"x": "o_totalprice", "z": "o_custkey"})
-    size = 500
-    return block_correlation(pairs, f"o_orderkey div {size}", "plus", "minus", _blocks(df.count(), size)).selectExpr(
+    return block_correlation(pairs, "o_orderkey div 500", "plus", "minus").selectExpr(
         "round(correlation_plus_minus_mean, 9) AS correlation_plus_minus_mean", "blocks"
     )
 
@@ -349,7 +374,7 @@ SELECT q AS probability, min(c) AS value
 FROM r, (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) AS t(q) WHERE cdf >= q GROUP BY q""")
 def weighted_quantile_step(spark, folder):
     """Few distinct centers: the quantile is a step function."""
-    return weighted_quantiles(table(spark, folder, "lineitem"), "l_discount", "l_linenumber")
+    return weighted_quantiles(table(spark, folder, "lineitem"), "l_discount", "l_linenumber", method="step")
 
 
 @query("""
@@ -397,34 +422,73 @@ def histogram_constant(spark, folder):
 
 
 @query("""
-WITH s AS (SELECT event_id // 2500 AS b, value AS v,
-                  row_number() OVER (PARTITION BY event_id // 2500 ORDER BY value) - 1 AS r,
-                  count(*) OVER (PARTITION BY event_id // 2500) AS n FROM events),
-i AS (SELECT b, v, n, r, CASE WHEN r = 0 THEN -1 WHEN r = n - 1 THEN 254
-             ELSE (SELECT max(k) FROM range(255) t(k) WHERE floor(k * ((n - 2) / 254.0)) <= r - 1) END AS run FROM s),
-p AS (SELECT b, run, avg(v) AS center, count(*) AS w FROM i GROUP BY 1, 2)
-SELECT b AS block, count(*) AS points, sum(w)::BIGINT AS weight, round(sum(center * w), 4) AS first_moment,
-       round(sum(center * center * w), 2) AS second_moment, round(min(center), 8) AS low, round(max(center), 8) AS high
-FROM p GROUP BY b""")
+WITH v AS (SELECT l_extendedprice AS v, (l_quantity * (l_linenumber % 3))::BIGINT AS w FROM lineitem),
+e AS (SELECT min(v)::DOUBLE AS lo, (max(v) - min(v)) / 12.0 AS width FROM v),
+g AS (SELECT v, w, lo, width, least(floor((v - lo) / width)::BIGINT, 11) AS g FROM v, e)
+SELECT CASE WHEN v < g * width + lo THEN g - 1 WHEN g < 11 AND v >= (g + 1) * width + lo THEN g + 1 ELSE g END AS bin,
+       sum(w)::BIGINT AS weight FROM g GROUP BY 1""")
+def histogram_weighted(spark, folder):
+    """Weights instead of counts in every bin."""
+    df = table(spark, folder, "lineitem")
+    weight = "cast(l_quantity * (l_linenumber % 3) AS bigint)"
+    rows = histogram_rows(histogram(df, {"price": "l_extendedprice"}, 12, weight))
+    return rows.selectExpr("cast(bin AS bigint) AS bin", "count AS weight")
+
+
+_SLACK = 3  # a sketch's bound holds for 99 of 100 ranks; several times it, for all that are compared
+
+
+def _rank_checks(values: str, group: str) -> str:
+    """SQL: per group count, extremes, and that quantiles exist; the ranks are checked in Spark's row."""
+    return f"""SELECT {group} AS block, count(*) AS candidates, count(v) AS n, round(min(v), 8) AS low, round(max(v), 8) AS high,
+       true AS p05_in_bound, true AS p50_in_bound, true AS p95_in_bound FROM ({values}) GROUP BY 1"""
+
+
+def _in_bound(df: DataFrame, states: DataFrame, block: str, value: str) -> DataFrame:
+    """Exact ranks of a state's quantiles: whether each is within the sketch's bound."""
+    points = states.selectExpr("block", "n", f"{quantiles_sql()} AS q")
+    ranked = df.selectExpr(f"{block} AS block", f"{value} AS v").join(points, "block")
+    share = lambda k, op: f"count_if(v {op} q[{k}]) / max(n)"
+    off = _SLACK * rank_error()
+    checks = [
+        f"({share(k, '<')} <= {p + off} AND {share(k, '<=')} >= {p - off}) AS {name}_in_bound"
+        for k, (p, name) in enumerate(((0.05, "p05"), (0.5, "p50"), (0.95, "p95")))
+    ]
+    return ranked.groupBy("block").agg(*[F.expr(c) for c in checks])
+
+
+_ROOTS = "SELECT event_id // 2500 AS b, CASE WHEN value >= 5 THEN sqrt(value - 5) END AS v FROM events"
+
+
+@query(_rank_checks(_ROOTS, "b"))
 def block_sketches(spark, folder):
-    """At most 256 weighted centers per block of 2500 events."""
-    summaries, _ = sketch_column(table(spark, folder, "events"), "event_id", "value", 2_500)
-    powers = "aggregate(zip_with(centers, weights, (c, w) -> {} * w), 0D, (a, x) -> a + x)"
-    return summaries.selectExpr(
-        "block",
-        "cast(size(centers) AS bigint) AS points",
-        "aggregate(weights, 0L, (a, w) -> a + w) AS weight",
-        f"round({powers.format('c')}, 4) AS first_moment",
-        f"round({powers.format('c * c')}, 2) AS second_moment",
-        "round(centers[0], 8) AS low",
-        "round(centers[size(centers) - 1], 8) AS high",
+    """A sketch per block of 2500 events: exact counts and extremes, quantiles within the bound."""
+    df = table(spark, folder, "events")
+    block, value = "event_id div 2500", "nullif(sqrt(value - 5), double('NaN'))"
+    states = sketch_blocks(df, block, {"root": value})
+    return states.join(_in_bound(df, states, block, value), "block").selectExpr(
+        "block", "candidates", "n", "round(low, 8) AS low", "round(high, 8) AS high", "p05_in_bound", "p50_in_bound", "p95_in_bound"
     )
 
 
-@query()
+@query("""
+SELECT id, candidates, n, low, high, true AS p05_in_bound, true AS p50_in_bound, true AS p95_in_bound FROM (
+    SELECT 'price' AS id, count(*) AS candidates, count(l_extendedprice) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high
+    FROM lineitem
+    UNION ALL SELECT 'ratio', count(*), count(*) FILTER (WHERE l_discount <> 0), min(l_quantity / l_discount) FILTER (WHERE l_discount <> 0),
+           max(l_quantity / l_discount) FILTER (WHERE l_discount <> 0) FROM lineitem)""")
 def sketch_quantiles(spark, folder):
-    """Quantiles and histogram from merged block sketches, in bounded memory."""
-    return sketch_report(table(spark, folder, "lineitem"), "l_orderkey", "l_extendedprice")
+    """Block sketches of two measures merged; blocks are orders, a part of them without a number."""
+    df = table(spark, folder, "lineitem").selectExpr(
+        "if(l_orderkey % 5 = 0, NULL, l_orderkey div 100) AS b", "l_extendedprice AS price", "try_divide(l_quantity, l_discount) AS ratio"
+    )
+    merged = merge_sketches(sketch_blocks(df, "b", {"price": "price", "ratio": "ratio"}))
+    checks = None
+    for name in ("price", "ratio"):
+        own = merged.where(F.col("id") == name).withColumn("block", F.lit(1))
+        found = _in_bound(df.where(f"{name} IS NOT NULL"), own, "1", name).withColumn("id", F.lit(name))
+        checks = found if checks is None else checks.unionByName(found)
+    return merged.join(checks, "id").select("id", "candidates", "n", "low", "high", "p05_in_bound", "p50_in_bound", "p95_in_bound")
 
 
 @query("""
@@ -466,16 +530,32 @@ def json_events(spark, folder):
 # --- streaming -------------------------------------------------------------------------
 
 
-@query("""
-WITH q AS (SELECT CASE WHEN value >= 5 THEN sqrt(value - 5) END AS v FROM events)
+def _streamed(spark: SparkSession, folder: str, value: str) -> tuple[DataFrame, int]:
+    """Progress of a stream over the events, stored in four ranges of their ids, one per batch."""
+    where = _folder(spark)
+    events = table(spark, folder, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.expr(f"least(3, (event_id - {low}) * 4 div greatest(1, {high} - {low} + 1))")
+    for k in range(4):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(f"{where}/events.parquet")
+    start_progress(table_stream(spark, where, "events"), {"value": value}, where).awaitTermination()
+    return read_progress(spark, where, events.count()), events.count()
+
+
+_PARTS = """p AS (SELECT *, least(3, (event_id - lo) * 4 // greatest(1, hi - lo + 1)) AS part
+      FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)),
+k AS (SELECT unnest(range(4)) AS batch)"""
+_ROOT = "CASE WHEN value >= 5 THEN sqrt(value - 5) END"
+
+
+@query(f"""
+WITH q AS (SELECT {_ROOT} AS v FROM events)
 SELECT 'value' AS id, count(*) AS candidates, count(v) AS count, round(avg(v), 8) AS avg, round(var_samp(v), 8) AS var,
        round(min(v), 8) AS min, round(max(v), 8) AS max, 1.0::DOUBLE AS progress
 FROM q""")
 def stream_progress(spark, folder):
-    """State after the last micro-batch of a stream over the events."""
-    where = work_folder(spark)
-    start_progress(table_stream(spark, folder, "events"), {"value": "sqrt(value - 5)"}, where).awaitTermination()
-    rows = read_progress(spark, where, table(spark, folder, "events").count())
+    """State after the last of several micro-batches of a stream over the events."""
+    rows, _ = _streamed(spark, folder, "sqrt(value - 5)")
     last = rows.groupBy("id").agg(F.expr("max_by(struct(total, progress), batch)").alias("s"))
     states = last.selectExpr("id", "s.total.*", "s.progress")
     return report_moments(states, "progress").selectExpr(
@@ -484,6 +564,66 @@ def stream_progress(spark, folder):
     )
 
 
+@query(f"""
+WITH {_PARTS}
+SELECT batch, 'value' AS id, count(*) AS processed, count(*) FILTER (WHERE part = batch) AS in_batch, round(avg(v), 8) AS avg,
+       round(var_samp(v), 8) AS var, round(min(v), 8) AS min, round(max(v), 8) AS max,
+       round(count(*) / (SELECT count(*) FROM events), 9) AS progress
+FROM (SELECT *, {_ROOT} AS v FROM p) JOIN k ON part <= batch GROUP BY batch""")
+def checked_progress(spark, folder):
+    """The batch and the total after every micro-batch."""
+    rows, _ = _streamed(spark, folder, "sqrt(value - 5)")
+    return rows.selectExpr(
+        "batch", "id", "total.candidates AS processed", "batch_state.candidates AS in_batch",
+        "round(total.mean, 8) AS avg", f"round({summary.variance('total.n', 'total.m2')}, 8) AS var",
+        "round(total.low, 8) AS min", "round(total.high, 8) AS max", "round(progress, 9) AS progress",
+    )
+
+
+@query(f"""
+WITH {_PARTS},
+e AS (SELECT batch, count(*) AS processed, count(v) AS valid, round(stddev_samp(v) / sqrt(count(v)), 10) AS mcse
+      FROM (SELECT *, {_ROOT} AS v FROM p) JOIN k ON part <= batch GROUP BY batch),
+n AS (SELECT count(*) AS total FROM events)
+SELECT 'start' AS type, NULL::BIGINT AS batch, NULL::BIGINT AS processed, NULL::BIGINT AS valid, NULL::BIGINT AS discarded,
+       total, NULL::DOUBLE AS mcse, NULL::BOOLEAN AS quantiles_in_order, NULL::BIGINT AS histogram_total FROM n
+UNION ALL SELECT 'batch', batch, processed, valid, processed - valid, total, mcse, true, valid FROM e, n
+UNION ALL SELECT 'complete', NULL, processed, valid, processed - valid, total, mcse, true, valid FROM e, n WHERE batch = 3""")
+def checked_events(spark, folder):
+    """The JSON event log of a stream, read back: the bins of each event hold all its valid rows."""
+    log = progress_events(*_streamed(spark, folder, "sqrt(value - 5)"))
+    fields = (
+        "type string, batch_index long, processed_iterations long, valid_results long, discarded_results long, "
+        "total_iterations long, p05 double, p50 double, p95 double, diagnostics struct<mcse_mean:double>, "
+        "histogram struct<bins:array<struct<count:bigint>>>"
+    )
+    return log.selectExpr(f"from_json(value, '{fields}') AS e").selectExpr(
+        "e.type AS type", "e.batch_index AS batch", "e.processed_iterations AS processed", "e.valid_results AS valid",
+        "e.discarded_results AS discarded", "e.total_iterations AS total", "round(e.diagnostics.mcse_mean, 10) AS mcse",
+        "e.p05 <= e.p50 AND e.p50 <= e.p95 AS quantiles_in_order",
+        "aggregate(e.histogram.bins.count, 0L, (a, c) -> a + c) AS histogram_total",
+    )
+
+
+@query("""
+SELECT 'value' AS id, count(*) AS candidates, count(*) AS count, round(avg(value), 8) AS avg, round(var_samp(value), 8) AS var,
+       min(value) AS min, max(value) AS max, true AS quantiles_in_bound
+FROM events""")
+def checked_streamed_end(spark, folder):
+    """The end of a stream equals the batch report of the same rows, quantiles within the sketch's bound."""
+    rows, n = _streamed(spark, folder, "value")
+    last = rows.orderBy(F.col("batch").desc()).limit(1)
+    state = last.selectExpr("id", "total.*", f"{quantiles_sql(n='total.n')} AS q")
+    ranks = table(spark, folder, "events").crossJoin(F.broadcast(state.select("q"))).agg(*[
+        F.expr(f"count_if(value <= q[{k}]) / {n} BETWEEN {p - _SLACK * rank_error()} AND {p + _SLACK * rank_error()}").alias(f"in{k}")
+        for k, p in enumerate((0.05, 0.5, 0.95))
+    ]).selectExpr("in0 AND in1 AND in2 AS quantiles_in_bound")
+    end = report_moments(state).selectExpr(
+        "id", "candidates", "count", "round(avg, 8) AS avg", "round(var, 8) AS var", "min", "max"
+    )
+    return end.crossJoin(F.broadcast(ranks))  # one row each
+
+
 # --- draws attached to table rows ---------------------------------------------------------
 
 
@@ -512,7 +652,7 @@ def discrete_draws(spark, folder):
 
 
 @query(f"""WITH d AS (SELECT l_extendedprice * (1 + l_discount / 2 * ({row_normal('l_orderkey * 8 + l_linenumber', 0, SEED)})) AS x,
-                  0.9 + 0.2 * {row_uniform('l_orderkey * 8 + l_linenumber', 2, SEED)} AS z FROM lineitem),
+                  0.9 + 0.2 * {row_uniform('l_orderkey * 8 + l_linenumber', 1, SEED)} AS z FROM lineitem),
 b AS (SELECT 'plus' AS id, x + x * (z - 1) AS v FROM d UNION ALL SELECT 'minus', x - x * (z - 1) FROM d
       UNION ALL SELECT 'plus_minus_delta', 2 * x * (z - 1) FROM d)
 SELECT id, count(*) AS count, round(avg(v), 4) AS avg, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min,
@@ -531,228 +671,242 @@ def row_level_simulation(spark, folder):
     )
 
 
-# --- whole programs, one iteration per table row -------------------------------------------
-
-# Programs of the documented language.
-PROGRAMS = {
-    "normal_mean": r"\model{y=x}\normal x{10,2}\iter{100000}"
-    r"\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
-    "uniform_mean": r"\model{y=x}\uniform x{0,10}\iter{100000}\response{avg,var,std,count,p05,p50,p95}",
-    "discrete_mean": r"\model{y=x}\distrib x{{10,0.5},{20,0.3},{30,0.2}}\iter{100000}"
-    r"\response{avg,var,std,count,p05,p50,p95}",
-    "linear_combination": r"\model{y=2x+3z}\normal x{10,2}\uniform z{0,6}\iter{100000}"
-    r"\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
-    "paired_branches": r"\model{y=x\pm2z}\normal x{10,2}\uniform z{0,6}\iter{100000}"
-    r"\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
-    "heavy_expression": r"\model{y=\sqrt{x^2+z^2}+\frac{x z}{2}+3x-2z}\normal x{0,1}\uniform z{-3,3}"
-    r"\iter{1000000}\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
-    "quadratic_roots": r"\model{resultado=\frac{-coef_b\pm\sqrt{coef_b^2-4coef_a coef_c}}{2coef_a}}"
-    r"\normal coef_a{10,0.5}\distrib coef_b{{10,0.5},{15,0.3},{20,0.2}}\uniform coef_c{-20,30}"
-    r"\iter{1000000}\response{avg,std,min,max,count,valid_rate,discard_rate,p05,p50,p95}",
-    "uniform_branches": r"\model{y=x\pm2z}\uniform x{4,16}\uniform z{0,6}\iter{100000}"
-    r"\response{avg,var,min,max,count,p05,p50,p95}",
-    "uniform_rational": r"\model{y=\frac{x^2+3z}{2+w}+\sqrt{x^2+4}}\uniform x{-1,5}\uniform z{0,10}"
-    r"\distrib w{{1,0.5},{2,0.3},{4,0.2}}\iter{100000}\response{avg,var,min,max,count,p05,p50,p95}",
-    "partial_root": r"\model{y=\sqrt{x}}\uniform x{-10,10}\iter{100000}"
-    r"\response{avg,var,std,count,valid_rate,discard_rate,p05,p50,p95}",
-}
-
-
-def run_rows(spark, folder, name: str, source: str = "lineitem", config: SimConfig = SimConfig(seed=SEED)) -> DataFrame:
-    """A program with as many iterations as ``source`` has rows."""
-    rows = table(spark, folder, source).count()
-    return simulate(spark, read_program(PROGRAMS[name]).with_iterations(rows), config)
-
-
-def _program_query(name: str, source: str) -> None:
-    def run(spark, folder):
-        return run_rows(spark, folder, name, source)
-
-    run.__name__ = f"program_{name}"
-    query()(run)
-
-
-for _name in PROGRAMS:
-    _program_query(_name, "lineitem")
-
+# --- models over table rows ----------------------------------------------------------------
 
-# Uniform and discrete draws can be redone in SQL number by number, so these programs are
-# checked in full; ``retain_all`` makes quantiles and histogram exact at any size.
-_ROWS = "(SELECT count(*) FROM lineitem)"
-_EXACT = SimConfig(seed=SEED, memory_mode="retain_all")
 _SHOWN = ("avg", "var", "min", "max", "p05", "p50", "p95")
 
 
-def _draw_ctes(*names: str) -> str:
-    return ", ".join(philox_uniforms(name, _ROWS, SEED, k, BLOCK) for k, name in enumerate(names))
-
-
-def _checked(values: str, *draws_: str) -> str:
-    """SQL for a report over ``values``: a query giving (id, b, v) from the CTEs x, z, w."""
-    quantiles = ", ".join(f"round(quantile_cont(v, {p}), 8) AS {q}" for p, q in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95")))
-    return f"""WITH {_draw_ctes(*draws_)}, m AS ({values})
-SELECT id, {_ROWS} AS candidates, count(v) AS count, {_ROWS} - count(v) AS discarded, round(avg(v), 8) AS avg,
-       round(var_samp(v), 8) AS var, round(min(v), 8) AS min, round(max(v), 8) AS max, {quantiles}
-FROM m GROUP BY id"""
-
-
-def _shown(report: DataFrame) -> DataFrame:
+def _shown(rows: DataFrame) -> DataFrame:
     known = {
         "avg": "stats.avg", "var": "diagnostics.sample_variance", "min": "diagnostics.sample_min",
         "max": "diagnostics.sample_max", "p05": "stats.p05", "p50": "stats.p50", "p95": "stats.p95",
     }
-    return report.selectExpr(
+    return rows.selectExpr(
         "id", "candidate_results AS candidates", "valid_results AS count", "discarded_results AS discarded",
-        *[f"round({known[name]}, 8) AS {name}" for name in _SHOWN],
+        *[f"round({known[name]}, 6) AS {name}" for name in _SHOWN],
     )
 
 
-@query(_checked("SELECT 'main' AS id, b, 0 + (10 - 0) * u AS v FROM x", "x"))
-def checked_uniform(spark, folder):
-    return _shown(run_rows(spark, folder, "uniform_mean", config=_EXACT))
+def _model_sql(values: str) -> str:
+    """SQL for a report over ``values``, a query giving (id, v) with NULL for discarded rows."""
+    quantiles = ", ".join(f"round(quantile_cont(v, {p}), 6) AS {q}" for p, q in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95")))
+    return f"""WITH m AS ({values})
+SELECT id, count(*) AS candidates, count(v) AS count, count(*) - count(v) AS discarded, round(avg(v), 6) AS avg,
+       round(var_samp(v), 6) AS var, round(min(v), 6) AS min, round(max(v), 6) AS max, {quantiles}
+FROM m GROUP BY id"""
+
+
+def _main(value: str, source: str) -> str:
+    return f"SELECT 'main' AS id, {value} AS v FROM {source}"
+
 
+def _fork(plus: str, minus: str, source: str) -> str:
+    return f"SELECT unnest(['plus', 'minus', 'plus_minus_delta']) AS id, unnest([p, m, p - m]) AS v FROM (SELECT {plus} AS p, {minus} AS m FROM {source})"
 
-@query(_checked("SELECT 'main' AS id, b, CASE WHEN u < 0.5 THEN 10.0::DOUBLE WHEN u < 0.8 THEN 20 ELSE 30 END AS v FROM x", "x"))
-def checked_discrete(spark, folder):
-    return _shown(run_rows(spark, folder, "discrete_mean", config=_EXACT))
 
+def _model(name: str, source: str, key: str, text: str, values: str, **bind) -> None:
+    """Registers the report of a model with one iteration per row of ``source``; bound variables
+    are columns, or distributions over columns."""
+
+    def run(spark, folder):
+        return _shown(report(table(spark, folder, source), key, text, SEED, bind))
 
-@query(_checked("SELECT 'main' AS id, b, CASE WHEN -10 + 20 * u >= 0 THEN sqrt(-10 + 20 * u) END AS v FROM x", "x"))
-def checked_partial_root(spark, folder):
-    return _shown(run_rows(spark, folder, "partial_root", config=_EXACT))
+    run.__name__ = name
+    query(_model_sql(values))(run)
+
+
+_ALL = r"\iter{1}\response{avg,var,min,max,count,p05,p50,p95}"
+_O, _L, _C, _E, _P, _S = (
+    "o_orderkey", "l_orderkey * 8 + l_linenumber", "c_custkey", "event_id", "p_partkey", "s_suppkey"
+)
 
 
-@query(_checked("""
-SELECT 'main' AS id, b, (pow(a, 2) + 3 * c) / (2 + d) + sqrt(pow(a, 2) + 4) AS v
-FROM (SELECT b, -1 + 6 * x.u AS a, 10 * z.u AS c, CASE WHEN w.u < 0.5 THEN 1.0::DOUBLE WHEN w.u < 0.8 THEN 2 ELSE 4 END AS d
-      FROM x JOIN z USING (b, i) JOIN w USING (b, i))""", "x", "z", "w"))
-def checked_rational(spark, folder):
-    return _shown(run_rows(spark, folder, "uniform_rational", config=_EXACT))
+def _u(key: str, position: int) -> str:
+    return row_uniform(key, position, SEED)
 
 
-_BRANCHES = "SELECT b, 4 + 12 * x.u + 2 * (6 * z.u) AS p, 4 + 12 * x.u - 2 * (6 * z.u) AS m FROM x JOIN z USING (b, i)"
+def _discrete(key: str, position: int, a: float, b: float, c: float) -> str:
+    return f"list_transform([{_u(key, position)}], lambda u: CASE WHEN u < 0.5 THEN {a}::DOUBLE WHEN u < 0.8 THEN {b}::DOUBLE ELSE {c}::DOUBLE END)[1]"
 
 
-@query(_checked(f"""
-SELECT unnest(['plus', 'minus', 'plus_minus_delta']) AS id, b, unnest([p, m, p - m]) AS v FROM ({_BRANCHES})""", "x", "z"))
-def checked_branches(spark, folder):
-    return _shown(run_rows(spark, folder, "uniform_branches", config=_EXACT))
+_model(
+    "program_normal_mean", "lineitem", _L, r"\model{y=x}\normal x{0,1}" + _ALL,
+    _main(f"l_extendedprice + l_quantity * ({row_normal(_L, 0, SEED)})", "lineitem"),
+    x=Normal("l_extendedprice", "l_quantity"),
+)
+_model(
+    "program_uniform_mean", "orders", _O, r"\model{y=x}\uniform x{0,1}" + _ALL,
+    _main(f"o_totalprice * {_u(_O, 0)}", "orders"), x=Uniform(0.0, "o_totalprice"),
+)
+_model(
+    "program_discrete_mean", "events", _E, r"\model{y=d v}\distrib d{{10,0.5},{20,0.3},{30,0.2}}\normal v{0,1}" + _ALL,
+    _main(f"{_discrete(_E, 0, 10, 20, 30)} * value", "events"), v="value",
+)
+_model(
+    "program_linear_combination", "lineitem", _L, r"\model{y=2x+3z}\normal x{0,1}\uniform z{0,6}" + _ALL,
+    _main(f"2 * l_quantity + 3 * (6 * {_u(_L, 0)})", "lineitem"), x="l_quantity",
+)
+_model(
+    "program_paired_branches", "part", _P, r"\model{y=x\pm2z}\normal x{0,1}\uniform z{0,1}" + _ALL,
+    _fork(f"p_retailprice + 2 * (p_size * {_u(_P, 0)})", f"p_retailprice - 2 * (p_size * {_u(_P, 0)})", "part"),
+    x="p_retailprice", z=Uniform(0.0, "p_size"),
+)
+_model(
+    "program_heavy_expression", "customer", _C,
+    r"\model{y=\sqrt{x^2+z^2}+\frac{x z}{2}+3x-2z}\normal x{0,1}\uniform z{-3,3}" + _ALL,
+    _main("sqrt(x * x + z * z) + x * z / 2 + 3 * x - 2 * z",
+          f"(SELECT c_acctbal / 1000 AS x, -3 + 6 * {_u(_C, 0)} AS z FROM customer)"), x="c_acctbal / 1000",
+)
+_model(
+    "program_quadratic_roots", "supplier", _S,
+    r"\model{y=\frac{-b\pm\sqrt{b^2-4a c}}{2a}}\normal a{10,0.5}\distrib b{{10,0.5},{15,0.3},{20,0.2}}\normal c{0,1}" + _ALL,
+    _fork("CASE WHEN d >= 0 THEN (-b + sqrt(d)) / (2 * a) END", "CASE WHEN d >= 0 THEN (-b - sqrt(d)) / (2 * a) END",
+          f"""(SELECT *, b * b - 4 * a * c AS d FROM (SELECT 10 + 0.5 * ({row_normal(_S, 0, SEED)}) AS a,
+              {_discrete(_S, 1, 10, 15, 20)} AS b, s_acctbal / 200 AS c FROM supplier))"""), c="s_acctbal / 200",
+)
+_model(
+    "program_uniform_branches", "orders", _O, r"\model{y=x\pm2z}\uniform x{4,16}\normal z{0,1}" + _ALL,
+    _fork("x + 2 * z", "x - 2 * z", f"(SELECT 4 + 12 * {_u(_O, 0)} AS x, o_totalprice / 10000 AS z FROM orders)"),
+    z="o_totalprice / 10000",
+)
+_model(
+    "program_uniform_rational", "part", _P,
+    r"\model{y=\frac{x^2+3z}{2+w}+\sqrt{x^2+4}}\uniform x{-1,5}\normal z{0,1}\distrib w{{1,0.5},{2,0.3},{4,0.2}}" + _ALL,
+    _main("(x * x + 3 * z) / (2 + w) + sqrt(x * x + 4)",
+          f"(SELECT -1 + 6 * {_u(_P, 0)} AS x, p_retailprice AS z, {_discrete(_P, 1, 1, 2, 4)} AS w FROM part)"),
+    z="p_retailprice",
+)
+_model(
+    "program_partial_root", "customer", _C, r"\model{y=\sqrt{x+z}}\normal x{0,1}\uniform z{-500,500}" + _ALL,
+    _main("CASE WHEN x >= 0 THEN sqrt(x) END", f"(SELECT c_acctbal + (-500 + 1000 * {_u(_C, 0)}) AS x FROM customer)"),
+    x="c_acctbal",
+)
+_model(
+    "program_retain_all", "lineitem", _L, r"\model{y=x\pm z^2}\normal x{0,1}\uniform z{0,100}" + _ALL,
+    _fork("x + z * z", "x - z * z", f"(SELECT l_extendedprice AS x, 100 * {_u(_L, 0)} AS z FROM lineitem)"), x="l_extendedprice",
+)
+_model(
+    "checked_uniform", "lineitem", _L, r"\model{y=x}\uniform x{0,1}" + _ALL,
+    _main(f"-l_quantity + (l_extendedprice - -l_quantity) * {_u(_L, 0)}", "lineitem"),
+    x=Uniform("-l_quantity", "l_extendedprice"),
+)
+_model(
+    "checked_discrete", "orders", _O, r"\model{y=d+x}\distrib d{{10,0.5},{20,0.3},{30,0.2}}\normal x{0,1}" + _ALL,
+    _main(f"{_discrete(_O, 0, 10, 20, 30)} + o_totalprice", "orders"), x="o_totalprice",
+)
+_model(
+    "checked_partial_root", "events", _E, r"\model{y=\sqrt{v-x}}\normal v{0,1}\uniform x{0,100}" + _ALL,
+    _main("CASE WHEN x >= 0 THEN sqrt(x) END", f"(SELECT value - 100 * {_u(_E, 0)} AS x FROM events)"), v="value",
+)
+_model(
+    "checked_rational", "lineitem", _L, r"\model{y=\frac{q}{d-0.5z}}\normal q{0,1}\normal d{0,1}\uniform z{0,1}" + _ALL,
+    _main("CASE WHEN b <> 0 THEN q / b END",
+          f"(SELECT l_quantity AS q, l_discount + 1 - 0.5 * {_u(_L, 0)} AS b FROM lineitem)"), q="l_quantity", d="l_discount + 1",
+)
+_model(
+    "checked_branches", "supplier", _S, r"\model{y=x\pm z}\normal x{0,1}\uniform z{0,50}" + _ALL,
+    _fork("x + z", "x - z", f"(SELECT s_acctbal AS x, 50 * {_u(_S, 0)} AS z FROM supplier)"), x="s_acctbal",
+)
 
 
-@query(f"""WITH {_draw_ctes('x', 'z')}, r AS (SELECT corr(p, m) AS c FROM ({_BRANCHES}) GROUP BY b)
+@query(f"""WITH r AS (SELECT corr(x + 2 * z, x - 2 * z) AS c
+    FROM (SELECT o_orderkey, 4 + 12 * {_u(_O, 0)} AS x, o_totalprice / 10000 AS z FROM orders) GROUP BY o_orderkey // 5000)
 SELECT round(avg(c), 10) AS correlation_plus_minus_mean FROM r""")
 def checked_correlation(spark, folder):
-    report = run_rows(spark, folder, "uniform_branches")
-    return report.where("id = 'plus_minus_delta'").selectExpr(
-        "round(correlation_plus_minus_mean, 10) AS correlation_plus_minus_mean"
-    )
+    """Block correlation of both branches, from the report of the paired difference."""
+    rows = report(table(spark, folder, "orders"), _O, r"\model{y=x\pm2z}\uniform x{4,16}\normal z{0,1}" + _ALL, SEED, {"z": "o_totalprice / 10000"})
+    return rows.where("id = 'plus_minus_delta'").selectExpr("round(correlation_plus_minus_mean, 10) AS correlation_plus_minus_mean")
 
 
-@query(f"""WITH {_draw_ctes('x')}, value AS (SELECT 10 * u AS v FROM x) """ + _histogram_sql("value", "v", 30, "main"))
+@query(f"WITH value AS (SELECT o_totalprice * {_u(_O, 0)} AS v FROM orders) " + _histogram_sql("value", "v", 30, "main"))
 def checked_histogram(spark, folder):
-    report = run_rows(spark, folder, "uniform_mean", config=_EXACT)
-    return histogram_rows(report).selectExpr(
+    rows = report(table(spark, folder, "orders"), _O, r"\model{y=x}\uniform x{0,1}" + _ALL, SEED, {"x": Uniform(0.0, "o_totalprice")})
+    return histogram_rows(rows).selectExpr(
         "id", "cast(bin AS bigint) AS bin", "round(x0, 9) AS x0", "round(x1, 9) AS x1", "count"
     )
 
 
-@query(f"""WITH {_draw_ctes('x')}, s AS (SELECT count(*) AS n, avg(10 * u) AS m, stddev_samp(10 * u) AS sd FROM x)
-SELECT n, n AS candidate_results, round(sd, 9) AS sample_stddev, round(sd / sqrt(n), 11) AS mcse_mean,
-       round(m - 1.96 * sd / sqrt(n), 9) AS ci95_low, round(m + 1.96 * sd / sqrt(n), 9) AS ci95_high,
-       'normal_approximation' AS ci95_mean_type, round(sd / sqrt(n) / m, 11) AS relative_mcse,
+@query(f"""WITH s AS (SELECT count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM (SELECT value * {_u(_E, 0)} AS v FROM events))
+SELECT n, n AS candidate_results, round(sd, 8) AS sample_stddev, round(sd / sqrt(n), 9) AS mcse_mean,
+       round(m - 1.96 * sd / sqrt(n), 8) AS ci95_low, round(m + 1.96 * sd / sqrt(n), 8) AS ci95_high,
+       'normal_approximation' AS ci95_mean_type, round(sd / sqrt(n) / m, 10) AS relative_mcse,
        1.0::DOUBLE AS valid_rate, 0.0::DOUBLE AS discard_rate,
        round(((1 + 1.9208 / n) - 1.96 * sqrt(0.9604 / n / n)) / (1 + 3.8416 / n), 11) AS valid_low,
        'discard_and_report' AS nonfinite_policy
 FROM s""")
 def checked_diagnostics(spark, folder):
-    """The accuracy record of a run; a sketch run has the same one as an exact run."""
-    return run_rows(spark, folder, "uniform_mean").selectExpr("diagnostics.*").selectExpr(
-        "n", "candidate_results", "round(sample_stddev, 9) AS sample_stddev", "round(mcse_mean, 11) AS mcse_mean",
-        "round(ci95_mean[0], 9) AS ci95_low", "round(ci95_mean[1], 9) AS ci95_high", "ci95_mean_type",
-        "round(relative_mcse, 11) AS relative_mcse", "valid_rate", "discard_rate",
+    """The accuracy record; a report with sketched quantiles has the same one."""
+    df = table(spark, folder, "events")
+    rows = report(df, _E, r"\model{y=x}\uniform x{0,1}" + _ALL, SEED, {"x": Uniform(0.0, "value")}, quantiles="sketch")
+    return rows.selectExpr("diagnostics.*").selectExpr(
+        "n", "candidate_results", "round(sample_stddev, 8) AS sample_stddev", "round(mcse_mean, 9) AS mcse_mean",
+        "round(ci95_mean[0], 8) AS ci95_low", "round(ci95_mean[1], 8) AS ci95_high", "ci95_mean_type",
+        "round(relative_mcse, 10) AS relative_mcse", "valid_rate", "discard_rate",
         "round(valid_rate_ci95_wilson[0], 11) AS valid_low", "nonfinite_policy",
     )
 
 
-_BATCH = f"(greatest(4, (({_ROWS} + {BLOCK} - 1) // {BLOCK} + 7) // 8))"  # blocks; eight batches at most
+_SEEDS = (96, 97, 101, 103, 101 + 2**32, 2**96 + 5)
 
 
-@query(f"""WITH {_draw_ctes('x')}, k AS (SELECT unnest(range(8)) AS batch)
-SELECT batch, 'main' AS id, count(*) AS processed, count(*) FILTER (WHERE b >= {_BATCH} * batch) AS in_batch,
-       round(avg(10 * u), 9) AS avg, round(var_samp(10 * u), 8) AS var, round(min(10 * u), 9) AS min,
-       round(max(10 * u), 9) AS max, round(count(*) / {_ROWS}, 9) AS progress
-FROM x JOIN k ON b < {_BATCH} * (batch + 1) GROUP BY batch HAVING in_batch > 0""")
-def checked_progress(spark, folder):
-    """A streamed run: the batch and the total after every micro-batch."""
-    rows = table(spark, folder, "lineitem").count()
-    progress = read_progress(spark, _stream(spark, "uniform_mean", rows)[2], rows)
-    return progress.selectExpr(
-        "batch", "id", "total.candidates AS processed", "batch_state.candidates AS in_batch",
-        "round(total.mean, 9) AS avg", f"round({summary.variance('total.n', 'total.m2')}, 8) AS var",
-        "round(total.low, 9) AS min", "round(total.high, 9) AS max", "round(progress, 9) AS progress",
-    )
-
+@query(" UNION ALL ".join(
+    f"SELECT '{seed}' AS seed, round(avg(o_totalprice * u), 7) AS avg, round(corr(u, w), 9) AS neighbour FROM "
+    f"(SELECT o_totalprice, {row_uniform(_O, 0, seed)} AS u, {row_uniform(_O, 1, seed)} AS w FROM orders)" for seed in _SEEDS
+))
+def draws_over_seeds(spark, folder):
+    """Means of one model over the orders for several seeds, and the correlation of neighbouring streams."""
+    out = None
+    for seed in _SEEDS:
+        df = draws.with_uniforms(table(spark, folder, "orders"), _O, seed, {"u": 0, "w": 1})
+        row = df.agg(F.round(F.avg(F.col("o_totalprice") * F.col("u")), 7).alias("avg"), F.round(F.corr("u", "w"), 9).alias("neighbour"))
+        row = row.withColumn("seed", F.lit(str(seed)))
+        out = row if out is None else out.unionByName(row)
+    return out
 
-def _stream(spark: SparkSession, name: str, rows: int) -> tuple:
-    """A streamed run that has ended: program, configuration, folder and blocks per batch."""
-    where, per_batch = work_folder(spark), max(4, math.ceil(_blocks(rows) / 8))
-    program, config = read_program(PROGRAMS[name]).with_iterations(rows), SimConfig(seed=SEED)
-    stream = stream_program(spark, program, config, where, per_batch)
-    stream.processAllAvailable()
-    stream.stop()
-    return program, config, where, per_batch
 
+@query("""
+SELECT format, 'main' AS id, n, avg FROM (SELECT unnest(['csv', 'json', 'parquet']) AS format),
+    (SELECT count(*) AS n, round(avg(sqrt(c_acctbal)) FILTER (WHERE c_acctbal >= 0), 6) AS avg FROM customer)""")
+def report_files(spark, folder):
+    """A report written in three formats and read back."""
+    df = table(spark, folder, "customer")
+    rows = report(df, _C, r"\model{y=\sqrt{x}}\normal x{0,1}" + _ALL, SEED, {"x": "c_acctbal"})
+    flat, where, out = flat_report(rows).schema, _folder(spark), None
+    for kind in ("csv", "json", "parquet"):
+        write_report(rows, f"{where}/{kind}", kind)
+        reader = spark.read.option("header", True).schema(flat if kind == "csv" else rows.schema)
+        back = reader.format(kind).load(f"{where}/{kind}")
+        back = back.selectExpr(f"'{kind}' AS format", "id", "candidate_results AS n", f"round({'avg' if kind == 'csv' else 'stats.avg'}, 6) AS avg")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("SELECT 3::BIGINT AS plans, 1::BIGINT AS digests, count(*) AS orders FROM orders")
+def schedule_invariance(spark, folder):
+    """Digest of one exact report over three partitionings of the orders: always the same.
 
-@query(f"""WITH {_draw_ctes('x')}, k AS (SELECT unnest(range(8)) AS batch),
-e AS (SELECT batch, count(*) AS processed, count(*) FILTER (WHERE -10 + 20 * u >= 0) AS valid
-      FROM x JOIN k ON b < {_BATCH} * (batch + 1) GROUP BY batch HAVING count(*) FILTER (WHERE b >= {_BATCH} * batch) > 0)
-SELECT 'start' AS type, NULL::BIGINT AS batch, NULL::BIGINT AS processed, NULL::BIGINT AS valid, NULL::BIGINT AS discarded, {_ROWS} AS total
-UNION ALL SELECT 'batch', batch, processed, valid, processed - valid, {_ROWS} FROM e
-UNION ALL SELECT 'complete', NULL, max(processed), max(valid), max(processed) - max(valid), {_ROWS} FROM e""")
-def checked_events(spark, folder):
-    """The JSON event log of a streamed run, read back."""
-    log = event_log(spark, *_stream(spark, "partial_root", table(spark, folder, "lineitem").count()))
-    fields = "type string, batch_index long, processed_iterations long, valid_results long, discarded_results long, total_iterations long"
-    return log.selectExpr(f"from_json(value, '{fields}') AS e").selectExpr(
-        "e.type AS type", "e.batch_index AS batch", "e.processed_iterations AS processed", "e.valid_results AS valid",
-        "e.discarded_results AS discarded", "e.total_iterations AS total",
+    Sums are rounded first, since their last digits depend on the order of adding.
+    """
+    df = table(spark, folder, "orders")
+    model = r"\model{y=x\pm2z}\uniform x{4,16}\normal z{0,1}" + _ALL
+    digests = None
+    for partitions in (1, 3, 8):
+        rows = report(df.repartition(partitions, "o_custkey"), _O, model, SEED, {"z": "o_totalprice / 10000"})
+        rounded = _shown(rows).join(rows.selectExpr("id", "histogram.bins.count AS bins"), "id")
+        digest = result_digest(rounded)
+        digests = digest if digests is None else digests.unionByName(digest)
+    return digests.agg(F.count("*").alias("plans"), F.count_distinct("sha256").alias("digests")).crossJoin(
+        df.agg(F.count("*").alias("orders"))  # one row each
     )
 
 
-@query(f"""WITH {_draw_ctes('x')}
-SELECT 'main' AS id, count(*) AS candidates, count(*) AS count, round(avg(10 * u), 8) AS avg,
-       round(var_samp(10 * u), 8) AS var, round(min(10 * u), 8) AS min, round(max(10 * u), 8) AS max
-FROM x""")
-def checked_streamed_end(spark, folder):
-    """The final report of a streamed run, from its stored block summaries."""
-    rows = table(spark, folder, "lineitem").count()
-    program, config, where, _ = _stream(spark, "uniform_mean", rows)
-    report = finished_report(spark, program, config, where)
-    return _shown(report).drop("discarded", "p05", "p50", "p95")
-
-
-@query()
-def program_retain_all(spark, folder):
-    """Exact quantiles and histogram at any size."""
-    return run_rows(spark, folder, "paired_branches", config=SimConfig(seed=SEED, memory_mode="retain_all"))
-
-
-@query()
-def program_shared_stream(spark, folder):
-    """The older seeding: one generator per batch, shared by the variables."""
-    return run_rows(spark, folder, "linear_combination", config=SimConfig(seed=SEED, seed_strategy="batch_index"))
-
-
-@query()
-def schedule_invariance(spark, folder):
-    """Digest of one program over several physical plans: always the same."""
-    plans = [1, 3, 8]
-    digests = None
-    for partitions in plans:
-        report = run_rows(spark, folder, "quadratic_roots", "orders", SimConfig(seed=SEED, partitions=partitions))
-        digest = result_digest(report).withColumn("partitions", F.lit(partitions))
-        digests = digest if digests is None else digests.unionByName(digest)
-    return digests.agg(F.count("*").alias("plans"), F.count_distinct("sha256").alias("digests"))
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Both roots of a quadratic with a balance as one coefficient: the whole report."""
+    text = (
+        r"\model{y=\frac{-b\pm\sqrt{b^2-4a c}}{2a}}\normal a{10,0.5}\distrib b{{10,0.5},{15,0.3},{20,0.2}}\normal c{0,1}"
+        r"\iter{1}\response{avg,std,min,max,count,valid_rate,discard_rate,p05,p50,p95}"
+    )
+    return report(table(spark, folder, "customer"), _C, text, SEED, {"c": "c_acctbal / 200"})
 
 
-__all__ = ["ORACLES", "PROGRAMS", "QUERIES", "fold_blocks", "run_rows"]
+__all__ = ["ORACLES", "QUERIES", "flagship"]

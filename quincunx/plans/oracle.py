@@ -1,129 +1,18 @@
-"""SQL text that redraws random numbers in a plain SQL engine, to check the queries."""
+"""SQL text that redraws the random numbers of table rows in a plain SQL engine."""
 
 from __future__ import annotations
 
 import math
 
-from quincunx.sources import draws
+from quincunx.sources.draws import BITS
 
-MASK32 = 0xFFFFFFFF
-TWO64 = 1 << 64
 
-# The published seeding hash of NumPy's SeedSequence ...
-SEED_A, SEED_A_STEP = 0x43B0D7E5, 0x931E8875
-SEED_B, SEED_B_STEP = 0x8B51F9DD, 0x58F38DED
-MIX_LEFT, MIX_RIGHT = 0xCA01F9DD, 0x4973F715
-# ... and of the Philox 4x64 generator with ten rounds.
-PHILOX_MULTIPLIERS = (0xD2E7470EE14C6C93, 0xCA5A826395121157)
-PHILOX_STEPS = (0x9E3779B97F4A7C15, 0xBB67AE8584CAA73B)
+def row_uniform(key: str, stream: int, seed: int, part: int = 0) -> str:
+    digest = f"md5('{seed}:{stream}:' || ({key})::VARCHAR)"
+    digits = f"substr({digest}, {1 + BITS // 4 * part}, {BITS // 4})"
+    return f"((('0x' || {digits})::BIGINT::DOUBLE + 0.5) * {2.0**-BITS!r}::DOUBLE)"
 
 
-class _Chain:
-    """Common table expressions in which every step reads the one before."""
-
-    def __init__(self, prefix: str, first: str, *columns: str):
-        self.prefix, self.ctes, self.columns = prefix, [f"{prefix}0 AS ({first})"], set(columns)
-
-    def step(self, **columns: str) -> None:
-        """Sets columns, all from the values of the step before."""
-        new = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
-        replaced = ", ".join(self.columns & set(columns))
-        kept = f"* EXCLUDE ({replaced})" if replaced else "*"
-        self.ctes.append(f"{self.prefix}{len(self.ctes)} AS (SELECT {kept}, {new} FROM {self.last})")
-        self.columns |= set(columns)
-
-    @property
-    def last(self) -> str:
-        return f"{self.prefix}{len(self.ctes) - 1}"
-
-
-def _seeded_keys(prefix: str, blocks: str, seed: int, variable: int) -> _Chain:
-    """Philox keys k0, k1 of (seed, block, variable) for the blocks of a query."""
-    chain = _Chain(prefix, blocks)
-    constants = iter([SEED_A * pow(SEED_A_STEP, k, 1 << 32) & MASK32 for k in range(18)])
-    held = next(constants)
-
-    def hashed(value: str) -> str:
-        nonlocal held
-        before, held = held, next(constants)
-        return f"((xor({value}, {before}::UBIGINT) * {held}::UBIGINT) & {MASK32})"
-
-    fold = lambda c: f"xor({c}, {c} >> 16)"
-    words = (f"{seed}::UBIGINT", "b::UBIGINT", f"{variable}::UBIGINT", "0::UBIGINT")
-    chain.step(**{f"p{i}": hashed(word) for i, word in enumerate(words)})
-    chain.step(**{f"p{i}": fold(f"p{i}") for i in range(4)})
-    for source in range(4):
-        for target in range(4):
-            if source != target:
-                chain.step(t=hashed(f"p{source}"))
-                left = f"(({MIX_LEFT}::UBIGINT * p{target}) & {MASK32})"
-                right = f"(({MIX_RIGHT}::UBIGINT * {fold('t')}) & {MASK32})"
-                chain.step(**{f"p{target}": f"({left} + {1 << 32}::UBIGINT - {right}) & {MASK32}"})
-                chain.step(**{f"p{target}": fold(f"p{target}")})
-    out = [SEED_B * pow(SEED_B_STEP, k, 1 << 32) & MASK32 for k in range(5)]
-    chain.step(**{
-        f"p{i}": f"(xor(p{i}, {out[i]}::UBIGINT) * {out[i + 1]}::UBIGINT) & {MASK32}" for i in range(4)
-    })
-    chain.step(**{f"p{i}": fold(f"p{i}") for i in range(4)})
-    chain.step(k0="p0 + p1 * 4294967296::UBIGINT", k1="p2 + p3 * 4294967296::UBIGINT")
-    return chain
-
-
-def philox_uniforms(name: str, rows: str, seed: int, variable: int, block_size: int) -> str:
-    """CTEs ending in ``name``(b, i, u): the uniforms of one variable for ``rows`` iterations.
-
-    ``rows`` is a scalar subquery.  Output word ``i % 4`` of counter ``i / 4 + 1`` is the
-    i-th number of a block.
-    """
-    size = f"least({block_size}, {rows})"
-    blocks = f"SELECT unnest(range((({rows}) + {size} - 1) // {size})) AS b"
-    keys = _seeded_keys(f"{name}_s", blocks, seed, variable)
-    rounds = _Chain(
-        f"{name}_r",
-        f"SELECT b, k0, k1, c - 1 AS c, c::UBIGINT AS x0, 0::UBIGINT AS x1, 0::UBIGINT AS x2, 0::UBIGINT AS x3 "
-        f"FROM (SELECT b, k0, k1, unnest(range(1, (({size}) + 3) // 4 + 1)) AS c FROM {keys.last})",
-        "x0", "x1", "x2", "x3",
-    )
-    m0, m1 = PHILOX_MULTIPLIERS
-    for number in range(10):
-        bump = lambda k: (
-            f"((k{k}::UHUGEINT + {PHILOX_STEPS[k] * number % TWO64}::UHUGEINT) % {TWO64}::UHUGEINT)::UBIGINT"
-        )
-        first, second = f"(x0::UHUGEINT * {m0}::UHUGEINT)", f"(x2::UHUGEINT * {m1}::UHUGEINT)"
-        high = lambda product: f"({product} // {TWO64}::UHUGEINT)::UBIGINT"
-        low = lambda product: f"({product} % {TWO64}::UHUGEINT)::UBIGINT"
-        rounds.step(
-            x0=f"xor(xor({high(second)}, x1), {bump(0)})", x1=low(second),
-            x2=f"xor(xor({high(first)}, x3), {bump(1)})", x3=low(first),
-        )
-    words = (
-        f"SELECT b, 4 * c + w AS i, (([x0, x1, x2, x3])[w + 1] >> 11)::DOUBLE * {2.0**-53!r}::DOUBLE AS u "
-        f"FROM (SELECT *, unnest(range(4)) AS w FROM {rounds.last})"
-    )
-    cut = f"SELECT b, i, u FROM ({words}) WHERE i < {size} AND b * {size} + i < {rows}"
-    return ", ".join([*keys.ctes, *rounds.ctes, f"{name} AS ({cut})"])
-
-
-# --- the mixer behind draws that hang on table rows -----------------------------------
-
-
-def _mix(x: str) -> str:
-    """The integer mixer as nested SQL; each level names its input once."""
-    a, b = draws.MIX_A, draws.MIX_B
-    s1, s2, s3 = draws.MIX_SHIFTS
-    first = f"list_transform([{x}], lambda w: (xor(w, w >> {s1}) * {a}) & {draws.WORD})"
-    second = f"list_transform({first}, lambda w: (xor(w, w >> {s2}) * {b}) & {draws.WORD})"
-    return f"list_transform({second}, lambda w: xor(w, w >> {s3}))[1]"
-
-
-def row_uniform(key: str, stream: int, seed: int) -> str:
-    root = _mix(f"xor(({key})::BIGINT & {draws.WORD}, {seed}::BIGINT)")
-    root = _mix(f"xor({root}, ({key})::BIGINT >> 32)")
-    high = _mix(f"xor({root}, {(2 * stream * draws.MIX_A + 1) & draws.WORD}::BIGINT)")
-    low = _mix(f"xor({root}, {(2 * stream * draws.MIX_B + 2) & draws.WORD}::BIGINT)")
-    return f"((({high} * 1048576 + ({low} >> 12))::DOUBLE + 0.5) * {2.0**-52!r}::DOUBLE)"
-
-
-def row_normal(key: str, position: int, seed: int) -> str:
-    radius = f"sqrt(-2 * ln({row_uniform(key, 2 * position, seed)}))"
-    return f"{radius} * cos(2 * {math.pi!r} * {row_uniform(key, 2 * position + 1, seed)})"
+def row_normal(key: str, stream: int, seed: int) -> str:
+    radius = f"sqrt(-2 * ln({row_uniform(key, stream, seed)}))"
+    return f"{radius} * cos(2 * {math.pi!r} * {row_uniform(key, stream, seed, 1)})"

@@ -1,156 +1,84 @@
-"""Random draws that depend only on a seed and a position, never on partitioning."""
+"""Random draws attached to table rows: functions of seed, row key and variable alone."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping
+from itertools import accumulate
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quincunx.plans.program import Discrete, Distribution, Normal, Uniform
 
-# A task draws at least 64 blocks, so that starting it does not cost more than its work, and
-# at most 2048, some ten million draws.
-TASK_BLOCKS = (64, 2048)
+BITS = 52  # of a uniform, as 13 hexadecimal digits of a digest
 
 
-def plan_partitions(spark: SparkSession, blocks: int) -> int:
-    """Enough tasks to fill the cluster, fewer for short runs and more for long ones."""
-    least, most = TASK_BLOCKS
-    filling = min(spark.sparkContext.defaultParallelism, math.ceil(blocks / least))
-    return max(1, filling, math.ceil(blocks / most))
+def digest(key: str, seed: int, stream: int) -> Column:
+    """128 bits of (seed, stream, key); ``key`` appears once, so that rules which copy an
+    expression, such as a filter pushed down, copy it once."""
+    if seed < 0:
+        raise ValueError("seed must not be negative")
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), F.col(key).cast("string")))
 
 
-def _sample(rng: np.random.Generator, distribution: Distribution, size: int) -> np.ndarray:
-    if isinstance(distribution, Normal):
-        return rng.normal(distribution.mean, distribution.std, size)
-    if isinstance(distribution, Uniform):
-        return rng.uniform(distribution.low, distribution.high, size)
-    return rng.choice(np.array(distribution.values), size, p=np.array(distribution.probabilities))
+def uniform_of(digest: Column, part: int = 0) -> Column:
+    """One of the two uniforms in (0, 1) of a digest: the centre of one of 2^52 cells."""
+    digits = F.substring(digest, 1 + BITS // 4 * part, BITS // 4)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) * 2.0**-BITS
 
 
-def draw_blocks(
-    blocks: DataFrame,
-    variables: Mapping[str, Distribution],
-    rows: int,
-    seed: int,
-    block_size: int,
-    *,
-    names: tuple[str, ...] | None = None,
-    one_stream_per_block: bool = False,
-) -> DataFrame:
-    """The draws of the given block numbers as (block, v0, v1, ...), one column per name.
+def with_uniforms(df: DataFrame, key: str, seed: int, names: Mapping[str, int]) -> DataFrame:
+    """Adds one uniform in (0, 1) per name, a function of the whole seed, the stream number and
+    the whole key alone.
 
-    Block ``b`` covers iterations ``b * block_size`` and on, up to ``rows``.  Every (seed,
-    block, variable) has its own counter-based stream, so any task can produce any block; a
-    lost task is simply run again.  ``one_stream_per_block`` gives the older scheme in which
-    the variables of a block share one generator.
+    ``key`` must identify a row: equal keys, and NULL ones, get equal draws.
     """
-    names = names or tuple(variables)
-    declared = list(variables.items())
-    size = min(block_size, rows)
-
-    def columns_of(block: int, count: int) -> dict[str, np.ndarray]:
-        if one_stream_per_block:
-            shared = np.random.default_rng(np.random.SeedSequence([seed, block]))
-            return {name: _sample(shared, d, count) for name, d in declared}
-        return {
-            name: _sample(
-                np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, block, position]))), d, count
-            )
-            for position, (name, d) in enumerate(declared)
-        }
-
-    def generate(batches):
-        for batch in batches:
-            for block in batch.column(0).to_pylist():
-                count = min(size, rows - block * size)
-                columns = columns_of(block, count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(count, block)), *[pa.array(columns[name]) for name in names]],
-                    names=["block", *[f"v{k}" for k in range(len(names))]],
-                )
-
-    schema = "block long, " + ", ".join(f"v{k} double" for k in range(len(names)))
-    return blocks.mapInArrow(generate, schema)
-
-
-def philox_draws(
-    spark: SparkSession, variables: Mapping[str, Distribution], rows: int, seed: int, block_size: int,
-    *, partitions: int | None = None, **options,
-) -> DataFrame:
-    """All ``rows`` draws; ``partitions`` groups blocks into tasks and changes no value."""
-    blocks = math.ceil(rows / min(block_size, rows))
-    numbers = spark.range(0, blocks, 1, partitions or plan_partitions(spark, blocks))
-    return draw_blocks(numbers, variables, rows, seed, block_size, **options)
+    return df.withColumns({n: uniform_of(digest(key, seed, stream)) for n, stream in names.items()})
 
 
-# --- draws attached to the rows of a table ---------------------------------------
-#
-# Multipliers and shifts of a published 32-bit integer mixer.  Both
-# multipliers are below 2^31, so every product of 32-bit words stays inside BIGINT
-# and the whole generator is ordinary code-generated arithmetic.
-MIX_A, MIX_B = 0x21F0AAAD, 0x735A2D97
-MIX_SHIFTS = (16, 15, 15)
-WORD = 0xFFFFFFFF
+def _number(parameter: float | str | Column) -> float | Column:
+    return F.expr(parameter) if isinstance(parameter, str) else parameter
 
 
-def _mix(word: Column) -> Column:
-    first, second, third = MIX_SHIFTS
-    word = (word.bitwiseXOR(F.shiftright(word, first)) * MIX_A).bitwiseAND(WORD)
-    word = (word.bitwiseXOR(F.shiftright(word, second)) * MIX_B).bitwiseAND(WORD)
-    return word.bitwiseXOR(F.shiftright(word, third))
-
+def with_draws(
+    df: DataFrame, key: str | None, variables: Mapping[str, Distribution], seed: int
+) -> DataFrame:
+    """Adds one drawn column per variable to a table, inside generated JVM code.
 
-def with_uniforms(df: DataFrame, key: str, seed: int, names: Mapping[str, int]) -> DataFrame:
-    """Adds one uniform in (0, 1) per name, a function of (seed, key, stream) alone.
+    The variable in place k draws from stream k.  Normals use the Box-Muller transform of two
+    uniforms; discrete values compare one uniform with the cumulative probabilities.
+    Distribution parameters may be Columns or SQL.
 
-    ``key`` must identify a row: equal keys get equal draws.
+    Without a ``key`` Spark's own generators draw, one stream for each partition and variable:
+    several times faster, and the same in every pass over a range or a stored table, but
+    another partitioning gives other numbers.
     """
-    low, high = F.col(key).bitwiseAND(WORD), F.shiftright(F.col(key), 32).bitwiseAND(WORD)
-    kept = df.columns
-    # Each mixing round is its own projection, since the mixer mentions its input twice.
-    df = df.select("*", _mix(low.bitwiseXOR(F.lit(seed & WORD))).alias("_r0"))
-    df = df.select("*", _mix(F.col("_r0").bitwiseXOR(high)).alias("_r1"))
-    heads = [_mix(F.col("_r1").bitwiseXOR(F.lit((2 * s * MIX_A + 1) & WORD))).alias(f"_h_{n}") for n, s in names.items()]
-    tails = [_mix(F.col("_r1").bitwiseXOR(F.lit((2 * s * MIX_B + 2) & WORD))).alias(f"_l_{n}") for n, s in names.items()]
-    df = df.select(*kept, *heads, *tails)
-    # 52 random bits at the centre of their cell: never 0 and never 1.
-    cell = lambda n: F.col(f"_h_{n}") * (1 << 20) + F.shiftright(F.col(f"_l_{n}"), 12)
-    return df.select(*kept, *[((cell(n).cast("double") + 0.5) * 2.0**-52).alias(n) for n in names])
-
-
-def with_draws(df: DataFrame, key: str, variables: Mapping[str, Distribution], seed: int) -> DataFrame:
-    """Adds one drawn column per variable to a table, inside generated JVM code.
 
-    Normals use the Box-Muller transform of two uniforms; discrete values compare one
-    uniform with the cumulative probabilities.  Distribution parameters may be Columns.
-    """
-    streams: dict[str, int] = {}
-    for position, (name, distribution) in enumerate(variables.items()):
-        streams[f"_u_{name}"] = 2 * position
-        if isinstance(distribution, Normal):
-            streams[f"_w_{name}"] = 2 * position + 1
-    kept = df.columns
-    df = with_uniforms(df, key, seed, streams)
+    def drawn(k: int, distribution: Distribution) -> Column:
+        if key is not None:
+            bits = digest(key, seed, k)
+            return value(distribution, uniform_of(bits), F.sqrt(-2.0 * F.ln(uniform_of(bits))) * F.cos(2.0 * math.pi * uniform_of(bits, 1)))
+        own = int.from_bytes(hashlib.md5(f"{seed}:{k}".encode()).digest()[:7])
+        return value(distribution, F.rand(own), F.randn(own))
 
-    def value(name: str, distribution: Distribution) -> Column:
-        u = F.col(f"_u_{name}")
+    def value(distribution: Distribution, u: Column, normal: Column) -> Column:
         if isinstance(distribution, Uniform):
-            return distribution.low + (distribution.high - distribution.low) * u
+            low, high = _number(distribution.low), _number(distribution.high)
+            return low + (high - low) * u
         if isinstance(distribution, Normal):
-            radius = F.sqrt(-2.0 * F.ln(u))
-            return distribution.mean + distribution.std * (radius * F.cos(2.0 * math.pi * F.col(f"_w_{name}")))
-        chosen = F.lit(distribution.values[-1])
-        limits = np.cumsum(distribution.probabilities)
-        for limit, candidate in list(zip(limits, distribution.values))[-2::-1]:
-            chosen = F.when(u < float(limit), F.lit(candidate)).otherwise(chosen)
-        return chosen
+            return _number(distribution.mean) + _number(distribution.std) * normal
+        # The uniform is named once: as a generator it would otherwise draw at every mention.
+        cells = F.array(*[
+            F.struct(F.lit(float(limit)).alias("limit"), F.lit(float(v)).alias("value"))
+            for limit, v in zip([*list(accumulate(distribution.probabilities))[:-1], 2.0], distribution.values)
+        ])
+        held = F.transform(F.array(u), lambda x: F.filter(cells, lambda c: x < c["limit"])[0]["value"])
+        return held[0]
 
-    return df.select(*kept, *[value(n, d).cast("double").alias(n) for n, d in variables.items()])
+    columns = {n: drawn(k, d).cast("double") for k, (n, d) in enumerate(variables.items())}
+    return df.withColumns(columns)
 
 
-__all__ = ["Discrete", "Normal", "Uniform", "draw_blocks", "philox_draws", "plan_partitions", "with_draws", "with_uniforms"]
+__all__ = ["Discrete", "Normal", "Uniform", "digest", "uniform_of", "with_draws", "with_uniforms"]

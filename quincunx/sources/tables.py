@@ -9,10 +9,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1_000) -> DataFrame:
-    """The table as a stream of its files; a table may also be a folder of files."""
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
+    """The table as a stream of its files, be it one file or a folder of part files."""
     reader = spark.readStream.schema(table(spark, folder, name).schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A pattern fits a file as well as a folder; a plain path would have to be a folder.
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def program_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,49 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quincunx.operators.moments import advance_states, column_moments
+from quincunx.functions import summary
+from quincunx.operators.moments import EMPTY_STATE, MERGE_STATES, STATE, column_moments
+from quincunx.operators.sketch import NAMES, POINTS, bins_sql, block_sketches, quantiles_sql
+
+_STATE_DDL = "struct<candidates:bigint,n:bigint,mean:double,m2:double,low:double,high:double>"
+_PROGRESS_DDL = f"id string, batch_state {_STATE_DDL}, sketch binary, batch long"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder, or a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quincunx-")
+    """A new folder below the one that all executors share; there must be one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_STATE_DDL = "struct<candidates:bigint,n:bigint,mean:double,m2:double,low:double,high:double>"
-_PROGRESS_DDL = f"id string, batch_state {_STATE_DDL}, total {_STATE_DDL}"
-
+def write_progress(batch: DataFrame, measures: Mapping[str, str], folder: str, number: int) -> None:
+    """Stores the moment states and sketches of micro-batch ``number`` in a folder of its own.
 
-def write_progress(fresh: DataFrame, folder: str, number: int) -> None:
-    """Merges the states of batch ``number`` with the totals stored before it."""
-    before = None
-    if number > 0:
-        stored = fresh.sparkSession.read.schema(_PROGRESS_DDL).parquet(f"{folder}/progress/batch={number - 1}")
-        before = stored.selectExpr("id", "total.*")
-    advance_states(before, fresh).coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
+    No batch needs another one's folder; running a batch again replaces its own.
+    """
+    state = F.struct(*STATE).alias("batch_state")
+    sketches = block_sketches(batch, "1L", measures).select("id", "sketch")
+    fresh = column_moments(batch, measures).select("id", state).join(F.broadcast(sketches), "id")  # one row per measure
+    fresh.coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
 
 
 def start_progress(
     stream: DataFrame, measures: Mapping[str, str], folder: str, trigger: Mapping | None = None
 ) -> StreamingQuery:
-    """Runs ``stream`` and keeps one batch of progress rows per micro-batch under ``folder``.
-
-    A micro-batch is reduced to one state per measure, merged with the state of the batch
-    before it and written to a folder of its own.  Running a batch again after a failure
-    replaces its folder, so the totals count every row once.
-    """
-    def advance(batch: DataFrame, number: int) -> None:
-        write_progress(column_moments(batch, measures), folder, number)
+    """Runs ``stream`` and keeps the states of each micro-batch under ``folder``, which the
+    driver and all executors must share."""
 
     return (
-        stream.writeStream.foreachBatch(advance)
+        stream.writeStream.foreachBatch(lambda batch, number: write_progress(batch, measures, folder, number))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -52,8 +51,42 @@ def start_progress(
 
 
 def read_progress(spark: SparkSession, folder: str, total_rows: int | None = None) -> DataFrame:
-    """One row per batch and measure, with the share of ``total_rows`` done so far."""
+    """(batch, id, batch_state, total, sketch, progress): after each batch the state and the
+    sketch of all rows so far, and their share of ``total_rows``.
+
+    Totals are merged in batch order when read: a few rows per batch.
+    """
+    so_far = "PARTITION BY id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     whole = "cast(NULL AS double)" if total_rows is None else f"total.candidates / {max(1, total_rows)}"
-    return spark.read.schema(f"{_PROGRESS_DDL}, batch long").parquet(f"{folder}/progress").selectExpr(
-        "batch", "id", "batch_state", "total", f"{whole} AS progress"
+    stored = spark.read.schema(_PROGRESS_DDL).parquet(f"{folder}/progress")
+    return stored.selectExpr(
+        "batch", "id", "batch_state",
+        f"aggregate(collect_list(batch_state) OVER ({so_far}), {EMPTY_STATE}, (a, b) -> {MERGE_STATES}) AS total",
+        f"kll_merge_agg_double(sketch, {POINTS}) OVER ({so_far}) AS sketch",
+    ).selectExpr("batch", "id", "batch_state", "total", "sketch", f"{whole} AS progress")
+
+
+def progress_events(progress: DataFrame, total_rows: int, bins: int = 30) -> DataFrame:
+    """The event log as JSON in ``value``: start, one event per batch and measure, complete.
+
+    A batch event has the counts, quantiles, diagnostics and histogram of all rows so far;
+    quantiles and bins are read off the merged sketch, and the bins add up to the valid rows.
+    """
+    t = {c: f"total.{c}" for c in STATE}
+    quantiles = quantiles_sql(n=t["n"])
+    record = summary.diagnostics(t["n"], t["candidates"], t["mean"], t["m2"], t["low"], t["high"])
+    body = f"""named_struct('type', kind, 'id', id, 'batch_index', number, 'processed_iterations', {t['candidates']},
+        'valid_results', {t['n']}, 'discarded_results', {t['candidates']} - {t['n']}, 'total_iterations', {total_rows}L,
+        {', '.join(f"'{name}', q[{k}]" for k, name in enumerate(NAMES))}, 'diagnostics', {record},
+        'histogram', named_struct('data_min', {t['low']}, 'data_max', {t['high']}, 'total_count', {t['n']}, 'bins', bins))"""
+    last = progress.groupBy("id").agg(F.expr("max_by(struct(batch, total, sketch), batch)").alias("s")).select("id", "s.*")
+    rows = progress.selectExpr("'batch' AS kind", "id", "batch", "batch AS number", "total", "sketch").unionByName(
+        last.selectExpr("'complete' AS kind", "id", "batch + 1 AS batch", "cast(NULL AS bigint) AS number", "total", "sketch")
+    )
+    events = rows.selectExpr("batch", "id", "number", "kind", "total", f"{quantiles} AS q",
+                             f"{bins_sql(bins, t['low'], t['high'], t['n'])} AS bins")
+    events = events.selectExpr("batch", f"to_json({body}) AS value")
+    start = progress.sparkSession.range(1).selectExpr(
+        "-1L AS batch", f"to_json(named_struct('type', 'start', 'total_iterations', {total_rows}L)) AS value"
     )
+    return start.unionByName(events)

@@ -105,7 +105,6 @@ def test_fractional_power_of_a_negative_constant_is_left_to_the_run():
         (r"\model{y=x}\distrib x{{1,.5},{1.0,.5}}" + TAIL, ["SEM014"]),
         (r"\model{y=x}\normal x{0,1}\iter{1.5}\response{avg}", ["SEM020"]),
         (r"\model{y=x}\normal x{0,1}\iter{0}\response{avg}", ["SEM021"]),
-        (r"\model{y=x}\normal x{0,1}\iter{1000001}\response{avg}", ["SEM021"]),
         (r"\model{y=x}\normal x{0,1}\iter{1}\response{avg,avg}", ["SEM030"]),
         (r"\model{y=x}\uniform x{1,1.00000000000000000001}" + TAIL, ["GEN005"]),
         (r"\model{y=x}\distrib x{{1,.5},{1.00000000000000000001,.5}}" + TAIL, ["GEN006"]),
@@ -128,9 +127,9 @@ def test_a_whole_program():
     assert (program.iterations, program.response) == (2000, ("max", "avg", "min"))
 
 
-def test_limit_can_be_raised():
-    text = r"\model{y=x}\normal x{0,1}\iter{2000000}\response{avg}"
-    assert read_program(text, max_iterations=10**7).iterations == 2_000_000
+def test_programs_have_no_size_limit():
+    text = r"\model{y=x" + "+x" * 40_000 + r"}\normal x{0,1}\iter{20000000000}\response{avg}"
+    assert read_program(text).iterations == 20_000_000_000
 
 
 def test_probabilities_are_summed_exactly():
@@ -148,12 +147,6 @@ def test_diagnostic_position():
     )
 
 
-def test_size_limit():
-    for text in ("", " " * 65_537):
-        with pytest.raises(ValueError):
-            read_program(text)
-
-
 def test_statistic_names_are_special_in_the_response_only():
     kinds = [t.kind for t in scan(r"avg\response{avg}avg")]
     assert kinds == ["name", "directive", "symbol", "statistic", "symbol", "name", "end"]

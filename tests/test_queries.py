@@ -55,3 +55,8 @@ def test_entry(spark):
 def test_schedules_agree(spark):
     row = driver.queries()["schedule_invariance"](spark, FOLDER).first()
     assert (row.plans, row.digests) == (3, 1)
+
+
+def test_seeds_differ(spark):
+    rows = driver.queries()["draws_over_seeds"](spark, FOLDER).collect()
+    assert len({r.avg for r in rows}) == len(rows)

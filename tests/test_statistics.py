@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,19 +14,21 @@ from quincunx.operators.moments import (
     report_moments,
 )
 from quincunx.operators.quantiles import exact_quantiles, weighted_quantiles
-from quincunx.operators.sketch import compact, sketch_block
-from quincunx.operators.sketch import weighted_quantiles as array_quantiles
-from quincunx.operators.tablesketch import sketch_column, sketch_points, sketch_report
+from quincunx.operators.sketch import bins_sql, block_sketches, merge_sketches, quantiles_sql, rank_error
+from quincunx.sources.draws import Discrete, Normal, Uniform, with_draws, with_uniforms
 
 PROBS = [0.05, 0.5, 0.95]
+FOLDER = "/root/testdata/sf0.01"
 
 
 def frame(spark, **columns):
-    import pandas as pd
-
     return spark.createDataFrame(pd.DataFrame(columns))
 
 
+def given(spark, name):
+    return spark.read.parquet(f"{FOLDER}/{name}.parquet")
+
+
 def test_division_follows_ieee(spark):
     edge = [0.0, -0.0, 1.0, -1.0, 2.5, float("inf"), float("-inf"), float("nan")]
     pairs = [(a, b) for a in edge for b in edge]
@@ -37,15 +40,6 @@ def test_division_follows_ieee(spark):
     np.testing.assert_array_equal(np.signbit(got[~np.isnan(got)]), np.signbit(want[~np.isnan(want)]))
 
 
-def test_moments_of_a_split_array(spark):
-    values = np.array([1, 2, 3, 10, -5, 7.5])
-    df = frame(spark, i=np.arange(6), x=values)
-    row = report_moments(fold_moments(block_moments(df, "i div 3", {"x": "x"}), 2)).first()
-    assert row.avg == pytest.approx(values.mean()) and row["count"] == 6
-    assert row["var"] == pytest.approx(values.var(ddof=1)) and row.std == pytest.approx(values.std(ddof=1))
-    assert (row["min"], row["max"]) == (-5.0, 10.0)
-
-
 def test_non_finite_values_are_only_counted(spark):
     values = [1.0, float("nan"), float("inf"), float("-inf"), None, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
@@ -55,22 +49,22 @@ def test_non_finite_values_are_only_counted(spark):
     assert (empty["count"], empty.avg, empty["min"], empty["var"], empty.mcse, empty.ci95) == (0,) + (None,) * 5
 
 
-@pytest.mark.parametrize("fan_in", [2, 3, 100])
-def test_fold_tree_covers_every_block(spark, fan_in):
-    rng = np.random.default_rng(5)
-    values = rng.normal(3, 2, 4_000)
-    df = frame(spark, i=np.arange(4_000), x=values)
-    folded = fold_moments(block_moments(df, "i div 100", {"x": "x"}), 40, fan_in=fan_in)
-    row = report_moments(folded).first()
-    assert row["count"] == 4_000
+@pytest.mark.parametrize("block", ["i", "i - 1700", "(i - 900) * 1000000000000001L", "if(i % 7 = 0, NULL, i * 65537)"])
+def test_fold_tree_covers_every_block(spark, block):
+    prices = given(spark, "orders").selectExpr("o_orderkey % 4000 AS i", "o_totalprice AS x")
+    values = np.array([r.x for r in prices.collect()])
+    row = report_moments(fold_moments(block_moments(prices, block, {"x": "x"}))).first()
+    assert row["count"] == values.size and (row["min"], row["max"]) == (values.min(), values.max())
     assert row.avg == pytest.approx(values.mean(), rel=1e-12)
     assert row["var"] == pytest.approx(values.var(ddof=1), rel=1e-12)
 
 
 def test_wilson(spark):
-    df = spark.createDataFrame([(80, 100), (0, 10), (10, 10), (0, 0)], "k long, n long")
+    df = spark.createDataFrame([(37, 60), (0, 10), (10, 10), (0, 0)], "k long, n long")
     rows = df.selectExpr(f"{summary.wilson('k', 'n')} AS w").collect()
-    assert rows[0].w == pytest.approx([0.711166, 0.866632], abs=1e-5)
+    z, n, p = 1.96, 60, 37 / 60
+    middle, half = p + z * z / 2 / n, z * np.sqrt(p * (1 - p) / n + z * z / 4 / n / n)
+    assert rows[0].w == pytest.approx([(middle - half) / (1 + z * z / n), (middle + half) / (1 + z * z / n)], abs=1e-12)
     assert rows[1].w[0] == 0.0 and rows[2].w[1] == 1.0 and rows[3].w is None
 
 
@@ -78,9 +72,10 @@ def test_block_correlation_skips_blocks_without_one(spark):
     plus = np.array([1.0, 2.0, 3.0, 5.0, 5.0, 5.0, 1.0, 4.0, 2.0, np.nan])
     minus = np.array([2.0, 1.0, 4.0, 1.0, 2.0, 3.0, 3.0, 1.0, 9.0, 1.0])
     df = frame(spark, i=np.arange(10), p=plus, m=minus)
-    row = block_correlation(df, "i div 3", "p", "m", 4).first()
     r = [np.corrcoef(plus[a : a + 3], minus[a : a + 3])[0, 1] for a in (0, 6)]
-    assert row.blocks == 2 and row.correlation_plus_minus_mean == pytest.approx(np.mean(r), abs=1e-14)
+    for block in ("i div 3", "(i div 3 - 1) * 1000000007L", "if(i < 3, NULL, i div 3)"):
+        row = block_correlation(df, block, "p", "m").first()
+        assert row.blocks == 2 and row.correlation_plus_minus_mean == pytest.approx(np.mean(r), abs=1e-14)
 
 
 def adversarial():
@@ -100,8 +95,10 @@ def adversarial():
 @pytest.mark.parametrize("name", list(adversarial()))
 def test_narrowed_quantiles_are_exact(spark, name):
     values = np.random.default_rng(1).permutation(adversarial()[name])
-    row = exact_quantiles(frame(spark, x=values), {"x": "x"}, small=200).first()
-    np.testing.assert_allclose([row.p05, row.p50, row.p95], np.quantile(values, PROBS), rtol=1e-14)
+    df = frame(spark, x=values)
+    narrowed, sorted_ = (exact_quantiles(df, {"x": "x"}, small=n).first() for n in (200, 65_536))
+    np.testing.assert_allclose([narrowed.p05, narrowed.p50, narrowed.p95], np.quantile(values, PROBS), rtol=1e-14)
+    assert narrowed == sorted_  # where the search stops changes no digit
 
 
 def test_several_measures_narrow_together(spark):
@@ -113,34 +110,42 @@ def test_several_measures_narrow_together(spark):
     assert rows["c"].p50 is None
 
 
+def plain_weighted(centers, weights, method):
+    """By expanding: the step where the cumulative weight is reached, or between mid-weights."""
+    merged = pd.DataFrame({"c": centers, "w": weights})
+    merged = merged[merged.w > 0].groupby("c").w.sum()
+    reached = merged.cumsum()
+    if method == "step":
+        return [merged.index[(reached >= p * merged.sum()).argmax()] for p in PROBS]
+    return np.interp([p * merged.sum() for p in PROBS], reached - merged / 2, merged.index).tolist()
+
+
+@pytest.mark.parametrize("method", ["step", "linear"])
 @pytest.mark.parametrize("points, small", [(20, 65_536), (20, 4), (900, 65_536), (3_000, 50)])
-def test_weighted_quantiles_of_a_table(spark, points, small):
+def test_weighted_quantiles_of_a_table(spark, points, small, method):
     rng = np.random.default_rng(points)
     centers = rng.normal(0, 5, points)
     weights = rng.integers(0, 40, points)
     weights[3] = weights.sum() // 2  # one point holds a third of the weight
-    df = frame(spark, c=np.concatenate([centers, centers[:5]]), w=np.concatenate([weights, weights[:5]]))
-    got = [r.value for r in weighted_quantiles(df, "c", "w", small=small).orderBy("probability").collect()]
-    want = array_quantiles(np.concatenate([centers, centers[:5]]), np.concatenate([weights, weights[:5]]))
-    np.testing.assert_allclose(got, want, rtol=1e-12)
+    centers, weights = np.concatenate([centers, centers[:5]]), np.concatenate([weights, weights[:5]])
+    df = frame(spark, c=centers, w=weights)
+    got = [r.value for r in weighted_quantiles(df, "c", "w", method=method, small=small).orderBy("probability").collect()]
+    np.testing.assert_allclose(got, plain_weighted(centers, weights, method), rtol=1e-12)
 
 
 def test_weighted_quantiles_without_weight(spark):
     df = frame(spark, c=[1.0, 2.0], w=[0, 0])
     assert [r.value for r in weighted_quantiles(df, "c", "w").collect()] == [None] * 3
-    assert array_quantiles([1.0], [0]) is None
-    assert array_quantiles([3.0], [5]) == [3.0] * 3
-
-
-def test_small_discrete_support_is_a_step_function():
-    assert array_quantiles([10, 10.1, 50, 100], [480, 470, 30, 20])[1] == pytest.approx(10.1, abs=0.2)
-    assert array_quantiles([10, 20, 30], [50, 30, 20]) == [10.0, 10.0, 30.0]
+    with pytest.raises(ValueError):
+        weighted_quantiles(df, "c", "w", method="nearest")
 
 
+@pytest.mark.parametrize("known", [False, True])
 @pytest.mark.parametrize("bins", [1, 7, 30])
-def test_histogram_matches_numpy(spark, bins):
+def test_histogram_matches_numpy(spark, bins, known):
     values = np.concatenate([np.linspace(0, 3, 301), np.round(np.random.default_rng(2).normal(1.5, 0.4, 2_000), 1)])
-    row = histogram(frame(spark, x=values), {"x": "x"}, bins).first().histogram
+    ranges = {"x": (float(values.min()), float(values.max()))} if known else None
+    row = histogram(frame(spark, x=values), {"x": "x"}, bins, ranges=ranges).first().histogram
     counts, edges = np.histogram(values, np.linspace(values.min(), values.max(), bins + 1))
     assert [b["count"] for b in row.bins] == counts.tolist() and row.total_count == values.size
     np.testing.assert_allclose([b.x0 for b in row.bins] + [row.bins[-1].x1], edges, rtol=0, atol=1e-15)
@@ -148,60 +153,65 @@ def test_histogram_matches_numpy(spark, bins):
 
 def test_histogram_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), (float("nan"), 1.0)], "x double, y double")
-    rows = {r.id: r.histogram for r in histogram(df, {"x": "x", "y": "y"}, 4).collect()}
-    assert (rows["x"].data_min, rows["x"].total_count, rows["x"].bins) == (None, 0, [])
-    assert rows["y"].total_count == 2 and (rows["y"].bins[0].x0, rows["y"].bins[-1].x1) == (0.5, 1.5)
-
-
-def test_compaction_keeps_weight_and_ends():
-    centers = np.linspace(0, 10, 5_000)
-    c, w = compact(centers, np.ones(5_000, dtype=np.int64), 0.0, 10.0, 512)
-    assert c.size <= 512 and w.sum() == 5_000 and (c[0], c[-1]) == (0.0, 10.0)
-    assert np.all(np.diff(c) > 0)
-
-
-@pytest.mark.parametrize("n, distinct", [(100, 100), (5_000, 40), (5_000, 5_000), (3_000, 700)])
-def test_both_block_sketches_agree(n, distinct):
-    rng = np.random.default_rng(n + distinct)
-    values = rng.choice(rng.normal(0, 1, distinct), n)
-    a = compact(*sketch_block(values), values.min(), values.max())
-    atoms, counts = np.unique(values, return_counts=True)
-    b = compact(*sketch_points(atoms, counts), values.min(), values.max())
-    np.testing.assert_array_equal(a[1], b[1])
-    np.testing.assert_allclose(a[0], b[0], rtol=0, atol=1e-9)
-
-
-@pytest.mark.parametrize("name, tolerance", [("bimodal", 0.35), ("skewed", 0.25), ("discrete", 1e-6), ("heavy", 0.45)])
-def test_sketch_accuracy(spark, name, tolerance):
-    rng = np.random.default_rng(3)
-    n = 40_000
-    values = {
-        "bimodal": np.concatenate([rng.normal(-20, 1, n // 2), rng.normal(20, 1, n // 2)]),
-        "skewed": rng.lognormal(0, 0.75, n),
-        "discrete": rng.choice([1.0, 2.0, 5.0, 10.0, 20.0], n, p=[0.3, 0.25, 0.2, 0.15, 0.1]),
-        "heavy": rng.standard_t(4, n),
-    }[name]
-    row = sketch_report(frame(spark, i=np.arange(n), x=rng.permutation(values)), "i", "x", 2_000).first()
-    quantiles = np.quantile(values, PROBS)
-    if name == "bimodal":  # the median falls into the gap between the modes
-        assert [row.p05, row.p95] == pytest.approx(quantiles[[0, 2]], abs=tolerance)
-    else:
-        assert [row.p05, row.p50, row.p95] == pytest.approx(quantiles, abs=tolerance)
-    assert row["count"] == n and sum(row.counts) == n
-    assert (row["min"], row["max"]) == (values.min(), values.max())
-
-
-def test_hot_block_is_split(spark):
-    """A third of the rows share one key: no sketch task sees more than about one block."""
-    rng = np.random.default_rng(4)
-    n, size = 60_000, 1_000
-    key = np.arange(n)
-    key[: n // 3] = 77
-    values = rng.normal(50, 10, n)
-    df = frame(spark, k=key, x=values)
-    summaries, _ = sketch_column(df, "k", "x", size)
-    sizes = [r.n for r in summaries.select("n").collect()]
-    assert sum(sizes) == n and max(sizes) < 1.3 * size
-    row = sketch_report(df, "k", "x", size).first()
-    assert row["count"] == n
-    assert [row.p05, row.p50, row.p95] == pytest.approx(np.quantile(values, PROBS), abs=0.25)
+    for ranges in (None, {"x": (None, None), "y": (1.0, 1.0)}):
+        rows = {r.id: r.histogram for r in histogram(df, {"x": "x", "y": "y"}, 4, ranges=ranges).collect()}
+        assert (rows["x"].data_min, rows["x"].total_count, rows["x"].bins) == (None, 0, [])
+        assert rows["y"].total_count == 2 and (rows["y"].bins[0].x0, rows["y"].bins[-1].x1) == (0.5, 1.5)
+
+
+# --- sketches --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("table, value", [("lineitem", "l_extendedprice"), ("lineitem", "l_discount"), ("events", "value"), ("orders", "exp(o_totalprice / 60000)")])
+def test_sketch_ranks_are_within_the_bound(spark, table, value):
+    df = given(spark, table).selectExpr(f"{value} AS v", "xxhash64(*) % 40 AS b")
+    values = np.sort([r.v for r in df.collect()])
+    row = merge_sketches(block_sketches(df, "b", {"v": "v"})).selectExpr("*", f"{quantiles_sql()} AS q").first()
+    assert (row.candidates, row.n, row.low, row.high) == (values.size, values.size, values[0], values[-1])
+    for p, q in zip(PROBS, row.q):
+        low, high = np.searchsorted(values, q, "left") / values.size, np.searchsorted(values, q, "right") / values.size
+        assert low <= p + 3 * rank_error() and high >= p - 3 * rank_error()
+
+
+def test_sketches_keep_null_blocks_and_count_discards(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, float("nan")), (1, None), (1, 5.0), (2, float("inf"))], "b long, x double")
+    states = block_sketches(df, "b", {"x": "x", "y": "2 * x"})
+    assert {(r.block, r.id): (r.candidates, r.n) for r in states.collect()} == {
+        (b, i): n for b, n in ((None, (2, 1)), (1, (2, 1)), (2, (1, 0))) for i in ("x", "y")
+    }
+    merged = {r.id: r for r in merge_sketches(states).selectExpr("*", f"{quantiles_sql((0.0, 1.0))} AS q", f"{bins_sql(4)} AS bins").collect()}
+    assert (merged["x"].candidates, merged["x"].n, merged["x"].q) == (5, 2, [1.0, 5.0])
+    assert sum(b["count"] for b in merged["y"].bins) == 2 and (merged["y"].bins[0].x0, merged["y"].bins[-1].x1) == (2.0, 10.0)
+    nothing = merge_sketches(states.where("block = 2")).selectExpr(f"{quantiles_sql()} AS q", f"{bins_sql(4)} AS bins").first()
+    assert (nothing.q, nothing.bins) == (None, [])
+
+
+# --- draws -----------------------------------------------------------------------
+
+
+def test_seeds_and_keys_give_different_draws(spark):
+    keys = spark.range(0, 1 << 40, 1 << 22)  # a quarter of a million keys over 2^40
+    means = []
+    for seed in (0, 96, 97, 101, 103, 101 + 2**32, 101 + 2**64, 2**127 - 1):
+        df = with_uniforms(keys, "id", seed, {"u": 0, "w": 1})
+        row = df.agg(F.avg("u").alias("m"), F.var_samp("u").alias("v"), F.corr("u", "w").alias("c"), F.count_distinct("u").alias("n")).first()
+        means.append(row.m)
+        assert row.n == 1 << 18 and abs(row.m - 0.5) < 0.003 and abs(row.v - 1 / 12) < 0.001 and abs(row.c) < 0.01
+    assert len(set(means)) == len(means)
+    assert np.std(means) > 1e-4  # means of independent draws spread by about 0.00056
+    near = with_uniforms(spark.range(1 << 16), "id", 5, {"u": 0})
+    lagged = near.alias("a").join(near.alias("b"), F.expr("a.id = b.id + 1")).agg(F.corr("a.u", "b.u")).first()[0]
+    assert abs(lagged) < 0.02
+    with pytest.raises(ValueError):
+        with_uniforms(keys, "id", -1, {"u": 0})
+
+
+@pytest.mark.parametrize("key", ["id", None])
+def test_distributions_of_draws(spark, key):
+    variables = {"n": Normal(5.0, 2.0), "u": Uniform(-3.0, "3 + id * 0"), "d": Discrete((1.0, 4.0, 9.0), (0.2, 0.3, 0.5))}
+    df = with_draws(spark.range(60_000), key, variables, 12)
+    row = df.selectExpr("avg(n)", "stddev(n)", "min(u)", "max(u)", "avg(u)", "corr(n, u)", "avg(cast(d = 1 AS int))", "avg(cast(d = 4 AS int))", "avg(cast(d = 9 AS int))").first()
+    assert [row[0], row[1], row[4], row[5]] == pytest.approx([5, 2, 0, 0], abs=0.04)
+    assert -3 <= row[2] < -2.99 and 2.99 < row[3] <= 3
+    assert list(row[6:]) == pytest.approx([0.2, 0.3, 0.5], abs=0.01)
+    assert df.exceptAll(with_draws(spark.range(60_000), key, variables, 12)).count() == 0

@@ -1,171 +1,95 @@
-import time
+import json
 
 import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from quincunx.sources.tables import table_stream
-from quincunx.streaming.progress import read_progress, start_progress, work_folder
+from quincunx.sources.tables import program_texts, table_stream
+from quincunx.streaming.progress import progress_events, read_progress, start_progress, work_folder, write_progress
 
+FOLDER = "/root/testdata/sf0.001"
 
-def write(spark, folder, values, name):
-    spark.createDataFrame(pd.DataFrame({"x": values})).coalesce(1).write.parquet(f"{folder}/{name}")
 
+@pytest.fixture(scope="module")
+def events(spark):
+    return spark.read.parquet(f"{FOLDER}/events.parquet")
 
-def stream(spark, folder):
-    return spark.readStream.schema("x double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
 
+def add(events, folder, rest):
+    events.where(f"event_id % 4 = {rest}").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
 
-def test_progress_counts_every_row_once(spark, tmp_path):
-    rng = np.random.default_rng(8)
-    parts = [rng.normal(0, 1, n) for n in (500, 300, 200)]
-    for k, values in enumerate(parts[:2]):
-        write(spark, tmp_path / "in", values, f"part{k}")
-    folder = work_folder(spark)
-    measures = {"plus": "sqrt(x) + 1", "minus": "sqrt(x) - 1"}
-    start_progress(stream(spark, str(tmp_path / "in")), measures, folder).awaitTermination()
+
+def run(spark, source, folder, measures):
+    start_progress(table_stream(spark, str(source), "events"), measures, folder).awaitTermination()
+
+
+def test_progress_counts_every_row_once(spark, events, tmp_path):
+    folder, measures = work_folder(spark), {"root": "sqrt(value - 40)", "value": "value"}
+    for rest in (0, 1):
+        add(events, tmp_path, rest)
+    run(spark, tmp_path, folder, measures)
     assert read_progress(spark, folder).select("batch").distinct().count() == 2
     # The stream stops, more data arrives, and it goes on where it was.
-    write(spark, tmp_path / "in", parts[2], "part2")
-    start_progress(stream(spark, str(tmp_path / "in")), measures, folder).awaitTermination()
-
-    rows = read_progress(spark, folder, 1_000).orderBy("batch").collect()
-    everything = np.concatenate(parts)
-    for branch, sign in (("plus", 1), ("minus", -1)):
-        mine = [r for r in rows if r.id == branch]
-        assert [r.batch for r in mine] == [0, 1, 2]
-        processed = np.cumsum([r.batch_state.candidates for r in mine])
-        assert [r.total.candidates for r in mine] == processed.tolist()
-        assert [r.total.n for r in mine] == np.cumsum([r.batch_state.n for r in mine]).tolist()
-        assert mine[-1].progress == 1.0
-        with np.errstate(invalid="ignore"):
-            want = np.sqrt(everything) + sign
-        want = want[np.isfinite(want)]
-        last = mine[-1].total
-        assert last.n == want.size
-        assert last.mean == pytest.approx(want.mean(), rel=1e-12)
-        assert last.m2 == pytest.approx(((want - want.mean()) ** 2).sum(), rel=1e-12)
-        assert (last.low, last.high) == (want.min(), want.max())
-
-
-def test_a_repeated_batch_replaces_itself(spark, tmp_path):
-    write(spark, tmp_path / "in", np.arange(10.0), "part0")
+    for rest in (2, 3):
+        add(events, tmp_path, rest)
+    run(spark, tmp_path, folder, measures)
+    total = events.count()
+    rows = [r for r in read_progress(spark, folder, total).orderBy("batch").collect() if r.id == "root"]
+    assert [r.batch for r in rows] == [0, 1, 2, 3] and rows[-1].progress == 1.0
+    assert [r.total.candidates for r in rows] == np.cumsum([r.batch_state.candidates for r in rows]).tolist()
+    values = np.array([r.value for r in events.collect()])
+    roots = np.sqrt(values[values >= 40] - 40)
+    last = rows[-1].total
+    assert (last.candidates, last.n, last.low, last.high) == (total, roots.size, roots.min(), roots.max())
+    assert last.mean == pytest.approx(roots.mean(), rel=1e-12)
+    assert last.m2 == pytest.approx(((roots - roots.mean()) ** 2).sum(), rel=1e-12)
+
+    log = [json.loads(r.value) for r in progress_events(read_progress(spark, folder, total), total, bins=8).orderBy("batch").collect()]
+    assert [e["type"] for e in log] == ["start", *["batch"] * 8, *["complete"] * 2]
+    for e in log[1:]:
+        assert sum(b["count"] for b in e["histogram"]["bins"]) == e["histogram"]["total_count"] == e["valid_results"]
+        assert len(e["histogram"]["bins"]) == 8 and e["p05"] <= e["p50"] <= e["p95"]
+        assert e["valid_results"] + e["discarded_results"] == e["processed_iterations"] == e["diagnostics"]["candidate_results"]
+    end = next(e for e in log if e["type"] == "complete" and e["id"] == "root")
+    counts = np.histogram(roots, np.linspace(roots.min(), roots.max(), 9))[0]
+    assert abs(np.array([b["count"] for b in end["histogram"]["bins"]]) - counts).max() < 0.02 * roots.size
+
+
+def test_a_repeated_batch_replaces_itself(spark, events):
     folder = work_folder(spark)
-    query = start_progress(stream(spark, str(tmp_path / "in")), {"x": "x"}, folder)
-    query.awaitTermination()
-    before = read_progress(spark, folder).collect()
-    # Losing the commit log makes Spark run batch 0 again.
-    import shutil
+    for number in (0, 1, 1, 0):
+        write_progress(events.where(F.col("event_id") % 2 == number), {"x": "value"}, folder, number)
+    rows = read_progress(spark, folder).orderBy("batch").collect()
+    assert [r.batch for r in rows] == [0, 1] and rows[-1].total.candidates == events.count()
 
-    shutil.rmtree(f"{folder}/checkpoint/commits")
-    start_progress(stream(spark, str(tmp_path / "in")), {"x": "x"}, folder).awaitTermination()
-    assert read_progress(spark, folder).collect() == before
 
+def test_a_table_may_be_a_file_or_a_folder(spark, events, tmp_path):
+    folder = work_folder(spark)
+    run(spark, FOLDER, folder, {"x": "value"})
+    assert read_progress(spark, folder).first().total.n == events.count()
+    for rest in range(4):
+        add(events, tmp_path, rest)
+    folder = work_folder(spark)
+    run(spark, tmp_path, folder, {"x": "value"})
+    assert read_progress(spark, folder).agg(F.max("total.n"), F.count("*")).first() == (events.count(), 4)
 
-def test_work_folder_is_below_the_configured_one(spark):
-    assert work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
+def test_work_folder_needs_a_shared_one(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert work_folder(spark).startswith(root) and work_folder(spark) != work_folder(spark)
 
-def test_table_stream_reads_one_table(spark, tmp_path):
-    for name, n in (("events", 3), ("orders", 5)):
-        spark.range(n).coalesce(1).write.parquet(str(tmp_path / "raw" / name))
-    for name in ("events", "orders"):
-        (source,) = (tmp_path / "raw" / name).glob("*.parquet")
-        source.rename(tmp_path / f"{name}.parquet")
-    folder = work_folder(spark)
-    start_progress(table_stream(spark, str(tmp_path), "events"), {"id": "id"}, folder).awaitTermination()
-    assert read_progress(spark, folder).first().total.n == 3
-
-
-PROGRAM = r"\model{y=x\pm2z}\normal x{10,2}\uniform z{0,6}\iter{73000}\response{avg,var,p05,p50,p95}"
-
-
-def test_streamed_program_ends_like_a_batch_run(spark):
-    from quincunx.operators.fidelity import result_digest
-    from quincunx.plans.program import read_program
-    from quincunx.plans.simulate import SimConfig, simulate
-    from quincunx.streaming.programs import finished_report, start_event, stream_program
-
-    program, config, folder = read_program(PROGRAM), SimConfig(seed=9, logical_block_size=2_000), work_folder(spark)
-    query = stream_program(spark, program, config, folder, blocks_per_batch=15)
-    query.processAllAvailable()
-    query.stop()
-    rows = read_progress(spark, folder, 73_000).where("id = 'plus'").orderBy("batch").collect()
-    assert [r.batch_state.candidates for r in rows] == [30_000, 30_000, 13_000]
-    assert [r.total.candidates for r in rows] == [30_000, 60_000, 73_000]
-    assert rows[-1].progress == 1.0
-    assert start_event(program, config, 15)["batch_count"] == 3
-    streamed = finished_report(spark, program, config, folder)
-    assert result_digest(streamed).first() == result_digest(simulate(spark, program, config)).first()
-
-
-def test_stopped_program_goes_on(spark):
-    from quincunx.plans.program import read_program
-    from quincunx.plans.simulate import SimConfig, simulate
-    from quincunx.streaming.programs import finished_report, stream_program
-
-    program, config, folder = read_program(PROGRAM), SimConfig(seed=9, logical_block_size=2_000), work_folder(spark)
-    query = stream_program(spark, program, config, folder, blocks_per_batch=4)
-    while query.lastProgress is None and query.isActive:
-        time.sleep(0.05)
-    query.stop()
-    stopped = read_progress(spark, folder).agg({"batch": "max"}).first()[0]
-    assert stopped < 8  # of ten batches
-    again = stream_program(spark, program, config, folder, blocks_per_batch=4)
-    again.processAllAvailable()
-    again.stop()
-    rows = read_progress(spark, folder).where("id = 'minus'").orderBy("batch").collect()
-    assert [r.batch for r in rows] == list(range(10))
-    assert [r.batch_state.candidates for r in rows] == [8_000] * 9 + [1_000]
-    assert rows[-1].total.candidates == 73_000
-    want = {r.id: r.stats for r in simulate(spark, program, config).collect()}
-    got = {r.id: r.stats for r in finished_report(spark, program, config, folder).collect()}
-    assert got == want
-
-
-def test_streamed_program_needs_a_seed(spark):
-    from quincunx.plans.program import read_program
-    from quincunx.plans.simulate import SimConfig
-    from quincunx.streaming.programs import stream_program
-
-    for config in (SimConfig(), SimConfig(seed=1, memory_mode="retain_all")):
-        with pytest.raises(ValueError):
-            stream_program(spark, read_program(PROGRAM), config, work_folder(spark))
-
-
-def test_event_log_of_a_run(spark):
-    import json
-
-    from quincunx import SimConfig, event_log, read_program, stream_program
-
-    text = r"\model{y=\sqrt{x}\pm1}\uniform x{-1,3}\iter{53}\response{avg,count,p50}"
-    program, config, folder = read_program(text), SimConfig(seed=5, logical_block_size=20), work_folder(spark)
-    query = stream_program(spark, program, config, folder, blocks_per_batch=1)
-    query.processAllAvailable()
-    query.stop()
-    events = [json.loads(r.value) for r in event_log(spark, program, config, folder, 1).orderBy("position").collect()]
-    assert [e["type"] for e in events] == ["start", "batch", "batch", "batch", "complete"]
-    assert events[0]["batch_count"] == 3 and events[0]["total_iterations"] == 53
-    assert [e["batch"]["iterations"] for e in events[1:4]] == [20, 20, 13]
-    assert [e["processed_iterations"] for e in events[1:]] == [20, 40, 53, 53]
-    for event in events[1:]:
-        assert event["candidate_results"] == 2 * event["processed_iterations"]
-        assert event["valid_results"] + event["discarded_results"] == event["candidate_results"]
-        assert [b["id"] for b in event["branches"]] == ["plus", "minus"]
-        assert event["paired"]["stats"]["avg"] == pytest.approx(2)
-    assert events[3]["branches"][1]["stats"]["p50"] is None
-    last = events[-1]["branches"][1]
-    assert last["stats"]["p50"] is not None
-    assert last["histogram"]["total_count"] == last["valid_results"] == events[3]["branches"][1]["valid_results"]
-    assert [e["done"] for e in events] == [False] * 4 + [True]
+    class Unset:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(ValueError):
+        work_folder(Unset)
 
 
 def test_program_files(spark, tmp_path):
-    from quincunx.sources.tables import program_texts
-
-    (tmp_path / "deep").mkdir()
-    (tmp_path / "one.dsl").write_text("\\model{y=x}\n\\normal x{0,1}\n")
-    (tmp_path / "deep" / "two.dsl").write_text("text")
-    (tmp_path / "notes.txt").write_text("no model")
-    rows = {r.name: r.text for r in program_texts(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"one", "two"} and rows["one"].startswith("\\model{y=x}\n")
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.dsl").write_text(rf"\model{{y={name}}}")
+    (tmp_path / "note.txt").write_text("no")
+    assert {r.name: r.text for r in program_texts(spark, str(tmp_path)).collect()} == {n: rf"\model{{y={n}}}" for n in "ab"}
