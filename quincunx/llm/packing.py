@@ -23,9 +23,10 @@ from tokenizers import Tokenizer
 from quincunx.llm.common import held_by_worker, keyed_texts, slices
 from quincunx.llm.tokencount import ODD_CONTROL, byte_symbols, pieces
 
-BATCH_BYTES = 8 << 20  # of text tokenised at a time in one task
+BATCH_BYTES = 4 << 20  # of text tokenised at a time in one task
 BUCKET_BYTES = 4 << 20  # of text whose tails are packed together
-KNOWN_CHUNKS = 800_000  # chunks whose ids a worker remembers
+WORDS_AT_ONCE = 4_096  # the library's own records of a word are far larger than its ids
+KNOWN_CHUNKS = 600_000  # chunks whose ids a worker remembers
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -55,8 +56,10 @@ class TextEncoder:
         split = [pieces(c) for c in chunks]
         words = list({w for ws in split for w in ws})
         spelled = [w.decode("latin-1").translate(self.symbols) for w in words]
-        found = self.words.encode_batch_fast(spelled, add_special_tokens=False)
-        ids = {w: np.array(e.ids, self.store).tobytes() for w, e in zip(words, found, strict=True)}
+        ids: dict[bytes, bytes] = {}
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            found = self.words.encode_batch_fast(spelled[k : k + WORDS_AT_ONCE], add_special_tokens=False)
+            ids.update((w, np.array(e.ids, self.store).tobytes()) for w, e in zip(words[k : k + WORDS_AT_ONCE], found, strict=True))
         self.known.update(zip(chunks, [b"".join(map(ids.__getitem__, ws)) for ws in split], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
