@@ -97,4 +97,50 @@ QUERIES = {
         op10_urls,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _weight_sql(names: list[str]) -> str:
+    cases = [
+        "WHEN " + " AND ".join(f"{n} = '{part}'" for n, part in zip(names, path, strict=True)) + f" THEN {float(w)!r}::DOUBLE"
+        for path, w in WEIGHTS.items() if len(path) == len(names)
+    ]
+    return f"CASE {' '.join(cases)} ELSE 1.0::DOUBLE END"
+
+
+def _mixing_sql() -> str:
+    """The mixture in plain SQL: budgets level by level, then one running sum for each leaf."""
+    names = list(LEVELS)
+    columns = ", ".join(f"coalesce({sql}, '') AS {n}" for n, sql in LEVELS.items())
+    word = r"[^\x20\x09-\x0D]+"
+    parts = [
+        f"r AS (SELECT doc_id, {columns}, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS tokens FROM documents)",
+        f"leaf AS (SELECT {', '.join(names)}, sum(tokens)::BIGINT AS tokens FROM r WHERE tokens > 0 GROUP BY ALL)",
+        f"b0 AS (SELECT floor(sum(tokens) * {MIX_SHARE})::DOUBLE AS budget FROM leaf)",
+    ]
+    for k, name in enumerate(names):
+        own, parent = names[: k + 1], names[:k]
+        by = f"PARTITION BY {', '.join(parent)} " if parent else ""
+        order = f"{by}ORDER BY capacity / weight, {name}"
+        joined = f"JOIN b{k} USING ({', '.join(parent)})" if parent else "CROSS JOIN b0"
+        given = "budget" if parent else "least(budget, sum(capacity) OVER ())"
+        parts += [
+            f"n{k} AS (SELECT *, {given} AS given, {_weight_sql(own)} AS weight FROM (SELECT {', '.join(own)}, "
+            f"sum(tokens * {float(MIX_EPOCHS)!r}::DOUBLE) AS capacity FROM leaf GROUP BY ALL) {joined})",
+            f"f{k} AS (SELECT *, capacity / weight * sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= "
+            f"given - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM n{k})",
+            f"b{k + 1} AS (SELECT {', '.join(own)}, CASE WHEN filled THEN capacity ELSE "
+            f"(given - coalesce(sum(capacity) FILTER (WHERE filled) OVER ({by}), 0)) * weight / sum(weight) FILTER (WHERE NOT filled) OVER ({by}) "
+            f"END AS budget FROM f{k})",
+        ]
+    leaf = ", ".join(names)
+    return f"""WITH {', '.join(parts)},
+p AS (SELECT {leaf}, floor(budget + 1e-6)::BIGINT AS budget, tokens AS available FROM leaf JOIN b{len(names)} USING ({leaf})),
+o AS (SELECT r.*, budget // available AS epochs, budget % available AS partial,
+             ('0x' || substr(md5('{SEED}:' || (budget // available)::VARCHAR || ':' || doc_id::VARCHAR), 1, {mixing.ORDER_HEX}))::BIGINT AS place
+      FROM r JOIN p USING ({leaf}) WHERE tokens > 0),
+t AS (SELECT *, greatest(0, least(tokens, partial - coalesce(sum(tokens) OVER (PARTITION BY {leaf} ORDER BY place, doc_id, tokens
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken FROM o)
+SELECT doc_id, {leaf}, tokens, epochs, taken, epochs * tokens + taken AS mixed_tokens FROM t WHERE epochs * tokens + taken > 0"""
+
+
+ORACLES = {"op1_mixing": _mixing_sql()}
