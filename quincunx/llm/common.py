@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import sys
 import tempfile
 import types
@@ -60,6 +62,17 @@ def held_by_worker(name: str, make: Callable):
     return place[name]
 
 
+@contextlib.contextmanager
+def collector_paused():
+    """For work that makes millions of small lists without cycles, which Python's collector of
+    cycles would go through again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece has at most about ``most`` bytes of ``column``, or one row."""
     for batch in batches:

@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quincunx.llm.common import held_by_worker, keyed_texts, slices
-from quincunx.llm.tokencount import ODD_CONTROL, byte_symbols, pieces
+from quincunx.llm.common import collector_paused, held_by_worker, keyed_texts, slices
+from quincunx.llm.tokencount import ODD_CONTROLS, byte_symbols, pieces
 
 BATCH_BYTES = 4 << 20  # of text tokenised at a time in one task
 BUCKET_BYTES = 4 << 20  # of text whose tails are packed together
 WORDS_AT_ONCE = 4_096  # the library's own records of a word are far larger than its ids
-KNOWN_CHUNKS = 600_000  # chunks whose ids a worker remembers
+KNOWN_CHUNKS = 500_000  # chunks whose ids a worker remembers
+KNOWN_WORDS = 300_000  # and words: new chunks are often known words in another case, or with a comma
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -51,21 +52,26 @@ class TextEncoder:
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.symbols = dict(enumerate(byte_symbols()))
         self.known: dict[str, bytes] = {}
+        self.ids: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
         split = [pieces(c) for c in chunks]
-        words = list({w for ws in split for w in ws})
-        spelled = [w.decode("latin-1").translate(self.symbols) for w in words]
-        ids: dict[bytes, bytes] = {}
-        for k in range(0, len(words), WORDS_AT_ONCE):
-            found = self.words.encode_batch_fast(spelled[k : k + WORDS_AT_ONCE], add_special_tokens=False)
-            ids.update((w, np.array(e.ids, self.store).tobytes()) for w, e in zip(words[k : k + WORDS_AT_ONCE], found, strict=True))
-        self.known.update(zip(chunks, [b"".join(map(ids.__getitem__, ws)) for ws in split], strict=True))
+        words = {w for ws in split for w in ws}
+        fresh = words - self.ids.keys()
+        if len(self.ids) + len(fresh) > KNOWN_WORDS:
+            self.ids = {w: self.ids[w] for w in words & self.ids.keys()}
+        fresh = list(fresh)
+        for k in range(0, len(fresh), WORDS_AT_ONCE):
+            some = fresh[k : k + WORDS_AT_ONCE]
+            spelled = [w.decode("latin-1").translate(self.symbols) for w in some]
+            found = self.words.encode_batch_fast(spelled, add_special_tokens=False)
+            self.ids.update((w, np.array(e.ids, self.store).tobytes()) for w, e in zip(some, found, strict=True))
+        self.known.update(zip(chunks, [b"".join(map(self.ids.__getitem__, ws)) for ws in split], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [bool("<" in t and self.special.search(t) or ODD_CONTROL.search(t)) for t in texts]
+        odd = [bool("<" in t and self.special.search(t) or any(map(t.__contains__, ODD_CONTROLS))) for t in texts]
         parts = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        fresh = {c for p in parts if p for c in p}
+        fresh = set().union(*filter(None, parts))
         if len(self.known) + len(fresh) > KNOWN_CHUNKS:
             self.known = {c: self.known[c] for c in fresh & self.known.keys()}
         self.learn(fresh - self.known.keys())
@@ -92,7 +98,9 @@ def encoded(docs: DataFrame, path: str, end_id: int, length: int) -> DataFrame:
         encoder = text_encoder(path)
         for batch in slices(batches, 1, BATCH_BYTES):
             sizes, full, tails = [], [], []
-            for raw in encoder.encode(batch.column(1).to_pylist()):
+            with collector_paused():
+                encoded_texts = encoder.encode(batch.column(1).to_pylist())
+            for raw in encoded_texts:
                 ids = np.append(np.frombuffer(raw, encoder.store), encoder.store.type(end_id))
                 whole = len(ids) // length * length
                 sizes.append(len(ids))

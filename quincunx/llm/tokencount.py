@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quincunx.llm.common import held_by_worker, keyed_texts, slices
+from quincunx.llm.common import collector_paused, held_by_worker, keyed_texts, slices
 
 BATCH_BYTES = 8 << 20  # of text worked on at a time in one task
 KNOWN_CHUNKS = 600_000  # counts a worker remembers; beyond that it keeps those of the latest batch
 
 # White space as the vocabulary's normaliser sees it, and its special strings.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-ODD_CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split alone
+ODD_CONTROLS = "\x1c\x1d\x1e\x1f"  # white space to str.split alone
 # The split pattern of the vocabulary inside a chunk without white space.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -159,7 +159,8 @@ class TextCounter:
         self.known: dict[str, int] = {}
 
     def chunks(self, text: str) -> list[str]:
-        return [c for c in SPACE.split(text) if c] if ODD_CONTROL.search(text) else text.split()
+        odd = any(map(text.__contains__, ODD_CONTROLS))
+        return [c for c in SPACE.split(text) if c] if odd else text.split()
 
     def learn(self, chunks: set[str]) -> None:
         split = [pieces(c) for c in chunks]
@@ -173,7 +174,7 @@ class TextCounter:
             cut = self.merges.special.split(text) if "<" in text else [text]
             extra.append(len(cut) - 1)
             parts.append([c for part in cut for c in self.chunks(part)])
-        fresh = {c for p in parts for c in p}
+        fresh = set().union(*parts)
         if len(self.known) + len(fresh) > KNOWN_CHUNKS:
             self.known = {c: self.known[c] for c in fresh & self.known.keys()}
         self.learn(fresh - self.known.keys())
@@ -195,7 +196,8 @@ def token_counts(docs: DataFrame, path: str, limit: int, key: str = "doc_id", te
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = text_counter(path)
         for batch in slices(batches, 1, BATCH_BYTES):
-            n = counter.count(batch.column(1).to_pylist())
+            with collector_paused():
+                n = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["a", "b", "c"])
 
     rows = keyed_texts(docs, key, text).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes"))
