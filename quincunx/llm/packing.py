@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quincunx.llm.common import collector_paused, held_by_worker, keyed_texts, slices
-from quincunx.llm.tokencount import ODD_CONTROLS, byte_symbols, pieces
+from quincunx.llm.tokencount import ODD_CONTROLS, byte_symbols, latin, pieces
 
 BATCH_BYTES = 4 << 20  # of text tokenised at a time in one task
 BUCKET_BYTES = 4 << 20  # of text whose tails are packed together
 WORDS_AT_ONCE = 4_096  # the library's own records of a word are far larger than its ids
-KNOWN_CHUNKS = 500_000  # chunks whose ids a worker remembers
-KNOWN_WORDS = 300_000  # and words: new chunks are often known words in another case, or with a comma
+KNOWN_CHUNKS = 700_000  # chunks whose ids a worker remembers
+KNOWN_WORDS = 400_000  # and words: new chunks are often known words in another case, or with a comma
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -70,7 +70,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool("<" in t and self.special.search(t) or any(map(t.__contains__, ODD_CONTROLS))) for t in texts]
-        parts = [None if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        parts = [None if o else (t.lower() if latin(t) else t).split() for t, o in zip(texts, odd, strict=True)]
         fresh = set().union(*filter(None, parts))
         if len(self.known) + len(fresh) > KNOWN_CHUNKS:
             self.known = {c: self.known[c] for c in fresh & self.known.keys()}

@@ -140,11 +140,25 @@ def _from_the_left(places: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.array(taken)
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are below 256: such text is composed, and its characters lower alone."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def pieces(chunk: str) -> list[bytes]:
     """The words of a chunk without white space, normalised, as UTF-8."""
-    if chunk.isascii():
+    if latin(chunk):
         lowered = chunk.lower()
-        return [lowered.encode()] if lowered.isalpha() else [p.encode() for p in PLAIN_PIECE.findall(lowered)]
+        if lowered.isalpha():
+            return [lowered.encode()]
+        if lowered[:-1].isalpha() and not lowered[-1].isalnum():  # a word and a mark
+            return [lowered[:-1].encode(), lowered[-1].encode()]
+        if lowered.isascii():
+            return [p.encode() for p in PLAIN_PIECE.findall(lowered)]
     composed = unicodedata.normalize("NFC", chunk)
     # The vocabulary lowers each character alone; str.lower looks around a sigma.
     lowered = "".join(map(str.lower, composed)) if "\u03a3" in composed else composed.lower()
