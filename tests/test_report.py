@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quincunx.operators.fidelity import result_events
 from quincunx.operators.sketch import rank_error
@@ -93,7 +94,7 @@ def test_partitions_change_no_draw(customers):
 
 
 def test_clashing_columns_and_wrong_arguments(customers):
-    df = customers.withColumns({"main": F.lit(1), "key": F.lit(2), "plus": F.lit(3), "v0": F.lit(4), "x": F.lit(5)})
+    df = customers.withColumns({n: F.lit(1) for n in ("main", "key", "plus", "v0", "x")})
     model = r"\model{y=x}\uniform x{2,3}" + TAIL
     assert 2 < report(df, "c_custkey", model, 1).first().stats.max < 3
     assert report(df, "c_custkey", model, 1, {"x": Uniform("c_acctbal", "c_acctbal + 1")}).first().valid_results == customers.count()
