@@ -27,18 +27,25 @@ TILE = 4096
 BLOCK = 256  # rows of a tile compared at once
 
 
-def fingerprint(text: str, words: int, seed: int) -> int:
-    """The 64-bit SimHash of a text's word shingles, each hashed with XXH64."""
+def shingles(text: str, words: int, seed: int) -> np.ndarray:
+    """The XXH64 hashes of a text's word shingles, in order; none of a text without a word."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.append(0, ends[:-1] + 1)
     last = min(words, len(tokens)) - 1
     spans = zip(starts[: len(tokens) - last].tolist(), ends[last:].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str, words: int, seed: int) -> int:
+    """The 64-bit SimHash of a text's word shingles, each hashed with XXH64."""
+    hashes = shingles(text, words, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -177,7 +184,11 @@ def first_of_each(docs: DataFrame, *, words: int = 5, seed: int = 42, most: int
     Rows of one doc_id are one document, of which one row stays.  Rows with a null doc_id
     can't name a component and stay as they are.
     """
-    groups = near_duplicates(docs, words=words, seed=seed, most=most, key=key, text=text)
+    return named(docs, near_duplicates(docs, words=words, seed=seed, most=most, key=key, text=text), key)
+
+
+def named(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component in ``groups``(doc_id, component_id)."""
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     twice = docs.groupBy(key).count().where(f"count > 1 AND {key} IS NOT NULL").select(key)
     left = docs.join(written(gone, "gone"), key, "left_anti")
