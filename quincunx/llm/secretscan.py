@@ -2,8 +2,8 @@
 
 Spans come from patterns; the position of each match is the length of what lies before it.
 A candidate's hash is counted over distinct owners and repositories of the whole corpus: a
-value that many owners hold is a widely copied example, one that stays with its owner and
-looks random is live.
+value that many owners hold is a widely copied example, one that stays with its owner is live
+if it is named as a secret (an assignment, an access key, a vendor's prefix) or looks random.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 # A run of hexadecimal digits is matched whole, so asking for 16 drops the same runs as a later test.
 HEX = r"[0-9a-f]{16,}"
 # A wider candidate, of which only live ones count: a long unbroken run, vendor prefix or not.
-WIDE = r"(?:gh[pousr]_|sk_live_|xox[abp]-)?[A-Za-z0-9]{24,}"
+VENDOR = r"(?:gh[pousr]_|sk_live_|xox[abp]-)"
+WIDE = VENDOR + r"?[A-Za-z0-9]{24,}"
+EXAMPLE = r"(?i)example|placeholder|changeme|xxxxxx"
+EVENNESS = 0.65  # of the largest entropy that a run's length and alphabet allow
 
 KINDS = ("assign", "access", "hex", "live")
 COPIED_OWNERS = 3  # a value with so many owners is an example
@@ -51,14 +54,36 @@ def spans_of(text: Column, pattern: str, kind: int, group: int, accept) -> Colum
     return F.when(text.rlike(pattern), F.aggregate(matches, start, step, lambda s: s["spans"])).otherwise(none)
 
 
-def live_looking(value: Column) -> Column:
-    """Random enough: letters, four digits or more, and at least ten different characters."""
+def random_run(value: Column) -> Column:
+    """Letters and digits, with characters as evenly spread as in a random text of that length
+    and alphabet; other runs than hexadecimal ones also change kind of character three times."""
+    chars = F.filter(F.array_distinct(F.split(value, "")), lambda c: c != "")
+    n = F.length(value)
+
+    def term(total: Column, c: Column) -> Column:
+        k = (n - F.length(F.replace(value, c, F.lit("")))).cast("double")
+        return total + k * F.log2(k)
+
+    entropy = F.log2(n) - F.aggregate(chars, F.lit(0.0), term) / n
+    hexadecimal = value.rlike("^([0-9a-f]+|[0-9A-F]+)$")
+    size = lambda pattern, many: F.when(value.rlike(pattern), many).otherwise(0)
+    alphabet = F.when(hexadecimal, 16).otherwise(size("[0-9]", 10) + size("[a-z]", 26) + size("[A-Z]", 26))
+    changes = F.regexp_count(value, F.lit("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]"))
     return (
-        value.rlike("[A-Za-z]") & (F.regexp_count(value, F.lit("[0-9]")) >= 4)
-        & (F.size(F.array_distinct(F.split(value, ""))) >= 10) & ~F.lower(value).contains("example")
+        value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (hexadecimal | (changes >= 3))
+        & (entropy >= EVENNESS * F.log2(F.least(n, alphabet)))
     )
 
 
+def live_looking(value: Column, kind: Column) -> Column:
+    """Not marked as an example and, where only its shape speaks for a bare run, random.
+
+    What an assignment, an access key's or a vendor's prefix names as a secret needs no test.
+    """
+    named = kind.isin(0, 1) | value.rlike(f"^{VENDOR}")
+    return ~value.rlike(EXAMPLE) & (named | random_run(value))
+
+
 def base_spans(text: Column) -> Column:
     found = [
         spans_of(text, ASSIGN, 0, 2, lambda v: F.length(v) >= 12),
@@ -70,7 +95,7 @@ def base_spans(text: Column) -> Column:
 
 def wide_spans(text: Column, base: Column) -> Column:
     """Wide candidates that touch no base span."""
-    found = spans_of(text, WIDE, 3, 0, live_looking)
+    found = spans_of(text, WIDE, 3, 0, lambda v: live_looking(v, F.lit(3)))
     return F.filter(found, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
 
 
@@ -100,7 +125,7 @@ def classified(found: DataFrame, copied: int) -> DataFrame:
     Rows are numbered in the stored table ``found``; a row's own spans come together again.
     """
     spans = found.select("_row", F.explode("_spans").alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    live = (F.col("owners") < copied) & live_looking(F.col("s.value"))
+    live = (F.col("owners") < copied) & live_looking(F.col("s.value"), F.col("s.kind"))
     judged = spans.join(ownership(found), "hash").select(
         "_row", F.struct("s.start", "s.kind", "s.end", "owners", "repositories", live.alias("live")).alias("j")
     )
