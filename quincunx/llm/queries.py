@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quincunx.llm import mixing, packing, quality, secretscan, sharding, simhash, suffixes, tokencount, urls, vectors
+from quincunx.llm import alignment, bpe, mixing, orchard, packing, quality, secretscan, sharding, simhash, suffixes, tokencount, urls, vectors
 from quincunx.llm.common import n_bytes, table
 
 VOCABULARY = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 END_ID = 2
 SEED = 2024
 
@@ -90,11 +91,27 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged_urls(table(spark, folder, "pages"), RULES)
 
 
+CLUSTERING = {"clusters": 40, "rounds": 5, "seed": 2, "size": 64, "scale": 256}
+
+
+def op11_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.clustered(table(spark, folder, "embeddings"), **CLUSTERING)
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ALIGNED]
+    return alignment.token_alignment(table(spark, folder, "documents"), *paths)
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_repeats, op3_token_counts, op4_packing, op5_near_vectors, op6_sharding, op7_secrets, op8_simhash, op9_quality,
-        op10_urls,
+        op10_urls, op11_clustering, op12_alignment, op13_bpe,
     )
 }
 
@@ -143,4 +160,4 @@ t AS (SELECT *, greatest(0, least(tokens, partial - coalesce(sum(tokens) OVER (P
 SELECT doc_id, {leaf}, tokens, epochs, taken, epochs * tokens + taken AS mixed_tokens FROM t WHERE epochs * tokens + taken > 0"""
 
 
-ORACLES = {"op1_mixing": _mixing_sql()}
+ORACLES = {"op1_mixing": _mixing_sql(), "op11_clustering": orchard.clustering_sql("embeddings", **CLUSTERING)}
