@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quincunx.llm.common import keyed_texts
+from quincunx.llm.common import keyed_texts, slices
 from quincunx.llm.trees import Forest, fit
 
 WINDOW = 8
@@ -25,6 +25,7 @@ FEATURES = {
     "digit_share": 0, "marks_per_word": 0, "distinct_share": 0, "words_per_line": 0,
 }
 TRAINING_ROWS = 8_000
+BATCH_BYTES = 4 << 20  # of text worked on at a time in one task
 
 
 def statistics(text: str) -> tuple[tuple[int, ...], list[float]]:
@@ -87,17 +88,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, seed: int, key:
         .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality").limit(most)
     )
     # At most ``most`` pairs of numbers.
-    rows = keyed_texts(docs, key, text).join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    rows = keyed_texts(docs, key, text).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column(1)]
+        for batch in slices(batches, 2, BATCH_BYTES):
+            found = [statistics(t.as_py()) for t in batch.column(2)]
             keep = [not base_failed(c[0], c[4]) for c, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f for _, f in found], pa.list_(pa.float64())), pa.array(keep)], ["y", "x", "used"]
+                [batch.column(0), batch.column(1), pa.array([f for _, f in found], pa.list_(pa.float64())), pa.array(keep)],
+                ["doc_id", "y", "x", "used"],
             )
 
-    got = rows.mapInArrow(run, "y int, x array<double>, used boolean").where("used").collect()
+    got = rows.mapInArrow(run, "doc_id long, y int, x array<double>, used boolean").where("used")
+    # One row for each document and label, however often its doc_id repeats.
+    got = got.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()
     got = sorted((r.x, r.y) for r in got)  # the same model whatever the order of rows
     x = np.array([r[0] for r in got], float).reshape(len(got), len(FEATURES))
     return x, np.array([r[1] for r in got], float)
@@ -120,7 +124,7 @@ def judged(docs: DataFrame, model: Forest, *, threshold: float = 0.0, key: str =
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, BATCH_BYTES):
             found = [statistics(t.as_py()) for t in batch.column(1)]
             score = model.score(np.array([f for _, f in found], float).reshape(len(found), len(FEATURES)))
             failed = np.array([base_failed(c[0], c[4]) for c, _ in found], bool)
@@ -139,7 +143,7 @@ def keep_good(docs: DataFrame, model: Forest, *, threshold: float = 0.0, text: s
     place = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, place, BATCH_BYTES):
             found = [statistics(t.as_py() or "") for t in batch.column(place)]
             score = model.score(np.array([f for _, f in found], float).reshape(len(found), len(FEATURES)))
             failed = np.array([base_failed(c[0], c[4]) for c, _ in found], bool)

@@ -188,10 +188,12 @@ def first_of_each(docs: DataFrame, *, words: int = 5, seed: int = 42, most: int
 
 
 def named(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component in ``groups``(doc_id, component_id)."""
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    twice = docs.groupBy(key).count().where(f"count > 1 AND {key} IS NOT NULL").select(key)
-    left = docs.join(written(gone, "gone"), key, "left_anti")
-    twice = written(twice, "twice")
-    again = left.join(twice, key, "left_semi").dropDuplicates([key])
-    return left.join(twice, key, "left_anti").unionByName(again).select(*docs.columns)
+    """The rows of ``docs`` whose doc_id names their component in ``groups``(doc_id, component_id),
+    one of each doc_id; rows with a null one stay.  The rows are shuffled once."""
+    marks = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), (F.count("*") > 1).alias("_twice")
+    )
+    marks = written(marks.where("_gone OR _twice").withColumnRenamed("doc_id", "_key"), "marks")
+    left = docs.join(marks, docs[key] == marks["_key"], "left").where("_gone IS NULL OR NOT _gone")
+    again = left.where("_twice").dropDuplicates([key])
+    return left.where("_twice IS NULL").select(*docs.columns).unionByName(again.select(*docs.columns))
