@@ -17,6 +17,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, compress
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,11 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 class Aligner:
     """Tokens of both tokenizers on each other, for pieces of text; pieces are remembered.
 
@@ -85,6 +92,9 @@ class Aligner:
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
             for i in b_ids
         ]
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
+        self.b_size = np.fromiter(map(len, self.b_bytes), np.int64)
         # A's ids to B's ids with the same bytes; of two, the one that isn't a stand-in for a byte.
         by_bytes = {self.b_bytes[i]: i for i in sorted(b_ids, key=self.b.is_byte, reverse=True)}
         self.size = max(self.a_bytes) + 1
@@ -93,40 +103,53 @@ class Aligner:
             self.same[i] = by_bytes.get(raw, -1)
         self.known: dict[str, tuple | None] = {}
 
-    def aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
-            return None
-        if len(a) == 1 and len(b) == 1:
-            return f"{a[0]}|{b[0]}", (a[0] << A_SHIFT | b[0]).to_bytes(8, "little"), 1, 1, 1
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-        while True:
-            links.append(a[i] << A_SHIFT | b[j])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len(a_bytes[a[i]]), end_b + len(b_bytes[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(a_bytes[a[i]])
-            else:
-                j += 1
-                end_b += len(b_bytes[b[j]])
-        return ";".join(groups), np.array(links, "<i8").tobytes(), len(a), len(b), len(groups)
-
     def learn(self, fresh: list[str]) -> None:
         for k in range(0, len(fresh), PIECES_AT_ONCE):
             some = fresh[k : k + PIECES_AT_ONCE]
-            spaced = [" " + s for s in some]
-            for s, raw, a, b in zip(
-                some, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(some, num_threads=1), strict=True
-            ):
-                self.known[s] = self.aligned(raw.encode(), a.ids, b)
+            a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in some], add_special_tokens=False)]
+            b = self.b.encode(some, num_threads=1)
+            true = self._kept([" " + s for s in some], a, b)
+            self.known.update((s, None) for s, t in zip(some, true, strict=True) if not t)
+            some, a, b = (list(compress(x, true)) for x in (some, a, b))
+            if some:
+                self.known.update(zip(some, self._aligned(a, b), strict=True))
+
+    def _kept(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Of each text whether both sides' bytes are its own: mostly seen from all texts at once."""
+        raw = [t.encode() for t in texts]
+        spelled = [[b"".join(map(own.__getitem__, ids)) for ids in side] for own, side in ((self.a_bytes, a), (self.b_bytes, b))]
+        if spelled[0] == raw == spelled[1]:
+            return [True] * len(raw)
+        return [x == r == y for x, r, y in zip(spelled[0], raw, spelled[1], strict=True)]
+
+    def _aligned(self, a_lists: list[list[int]], b_lists: list[list[int]]) -> list[tuple]:
+        """What is known of pieces with these tokens, whose bytes lie one after another here.
+
+        Between two neighbouring token ends, of whichever side, lies what one A token and one
+        B token share: a link, and all links are found so.  Ends of both sides end a group.
+        """
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_lists, b_lists))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_lists, b_lists))
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.sort(np.concatenate([ends_a, ends_b]))
+        again = ends[1:] == ends[:-1]
+        both, ends = ends[1:][again], ends[np.append(True, ~again)]
+        links = a[np.searchsorted(ends_a, ends)] << A_SHIFT | b[np.searchsorted(ends_b, ends)]
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        # Spelled tokens with the mark after them: each group's A tokens, then its B tokens.
+        last_a, last_b = both[group_a] == ends_a, both[group_b] == ends_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        marks = np.concatenate([np.where(last_a, 1, 0), np.where(last_b, 2, 0)])
+        spelled = np.char.add(np.concatenate([a, b]).astype("U"), np.array([",", "|", ";"])[marks])[order].tolist()
+        piece_ends = ends_a[np.cumsum(n_a) - 1]
+        upto = [np.searchsorted(x, piece_ends, side="right").tolist() for x in (ends, both)]
+        raw = links.astype("<i8").tobytes()
+        out, at = [], (0, 0, 0)
+        for x, y, to_link, to_group in zip(n_a.tolist(), n_b.tolist(), *upto, strict=True):
+            token, link, group = at
+            out.append(("".join(spelled[token : token + x + y])[:-1], raw[8 * link : 8 * to_link], x, y, to_group - group))
+            at = (token + x + y, to_link, to_group)
+        return out
 
     def block(self, keys: pa.Array, texts: list[str], number: int, vector: np.ndarray) -> pa.RecordBatch:
         """The stored rows of a block: each document's pieces, and what the pieces link.
@@ -145,25 +168,25 @@ class Aligner:
         found = [known[s] for s in names]
         place = {s: k for k, s in enumerate(names)}
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        words = np.fromiter((place[s] for p in parts for s in p), np.int64, int(lengths.sum()))
+        words = np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
         digests = [hashlib.sha256(";".join([known[s][0] for s in p]).encode()).hexdigest() if p else "" for p in parts]
 
         links = np.frombuffer(b"".join([f[1] for f in found]), "<i8")
         sizes = np.fromiter((len(f[1]) // 8 for f in found), np.int64, len(found))
         pairs, link_pair = np.unique(links, return_inverse=True)
         documents = np.repeat(np.arange(len(parts)), lengths)
-        held = np.unique(documents * max(1, len(names)) + words)
+        held = distinct(documents * max(1, len(names)) + words)
         held_doc, held_word = np.divmod(held, max(1, len(names)))
         starts = np.cumsum(sizes) - sizes
         met = link_pair[spread(starts[held_word], sizes[held_word])]
-        met = np.unique(np.repeat(held_doc, sizes[held_word]) * max(1, len(pairs)) + met) % max(1, len(pairs))
+        met = distinct(np.repeat(held_doc, sizes[held_word]) * max(1, len(pairs)) + met) % max(1, len(pairs))
         docs = np.bincount(met, minlength=len(pairs))
         a = pairs >> A_SHIFT
         alike = self.same[a] == (pairs & 0xFFFFFFFF)
         vector[a[alike]] += docs[alike]
         codes = np.where(alike, -1 - a, np.cumsum(~alike) - 1)  # an A id, or a place among the irregular pairs
 
-        counts = [sums(np.fromiter((f[c] for f in found), np.int64, len(found))[words], lengths) for c in (2, 3, 4)]
+        counts = [sums(np.fromiter(map(itemgetter(c), found), np.int64, len(found))[words], lengths) for c in (2, 3, 4)]
         kind = np.dtype("<u2" if len(names) < 1 << 16 else "<u4")
         ends = np.cumsum(lengths)
         spelled = words.astype(kind)
