@@ -1,9 +1,11 @@
 """Times the headline queries and prints one JSON line.
 
 Each query runs once cold and then a few times warm; the reported number is the warm
-median.  Table queries read whole tables; the published models draw one iteration per row of
-a range, in generated JVM code from one stream per partition, with sketched quantiles, as the
-published runs have blocks and sketches.
+median.  Table queries read whole tables.  The published models draw one iteration per row of
+a range, in generated JVM code, in two ways: under their own names from one stream per
+partition, with sketched quantiles and plain sums, as the published runs have streams, blocks
+and sketches; and as ``keyed_...`` from row keys, with exact quantiles and reproducible sums,
+as the registered queries run.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ MODEL_RUNS = {  # metric -> (model, iterations)
 TABLE_QUERIES = (
     "moments", "branches_and_delta", "division_discards", "paired_correlation", "ordered_merge", "quantiles_exact",
     "quantiles_narrowed", "weighted_quantile_interpolated", "histogram_bins", "histogram_weighted", "block_sketches",
-    "sketch_quantiles", "row_level_simulation", "program_normal_mean", "program_retain_all", "stream_progress",
+    "sketch_quantiles", "task_quantiles", "bootstrap_balance", "coverage_over_seeds", "row_level_simulation", "program_normal_mean", "program_retain_all", "stream_progress",
 )
 
 
@@ -70,6 +72,10 @@ def main() -> None:
         name: (lambda p=MODELS[model], n=rows: report(spark.range(n), "id", p, 101, quantiles="sketch", keyed=False))
         for name, (model, rows) in MODEL_RUNS.items()
     }
+    runs |= {
+        f"keyed_{name}": (lambda p=MODELS[model], n=rows: report(spark.range(n), "id", p, 101))
+        for name, (model, rows) in MODEL_RUNS.items() if rows <= 1_000_000
+    }
     wanted = set(filter(None, os.environ.get("BENCH_ONLY", "").split(",")))
 
     warm, cold = {}, {}

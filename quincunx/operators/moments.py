@@ -94,7 +94,7 @@ def block_correlation(df: DataFrame, block: str, plus: str, minus: str, *groups:
     """
     both = f"abs({plus}) < double('infinity') AND abs({minus}) < double('infinity')"
     r = summary.pair_correlation("plus", "minus")
-    states = (
+    return fold_correlations(
         df.selectExpr(
             *groups,
             f"{block} AS block",
@@ -102,10 +102,14 @@ def block_correlation(df: DataFrame, block: str, plus: str, minus: str, *groups:
             f"if({both}, cast({minus} AS double), NULL) AS minus",
         )
         .groupBy(*groups, "block")
-        .agg(F.expr(r).alias("total"))
-        .selectExpr(*groups, "block", "total", "0D AS comp", "1L AS n")
-        .where("total IS NOT NULL AND NOT isnan(total)")
+        .agg(F.expr(r).alias("r")),
+        *groups,
     )
+
+
+def fold_correlations(blocks: DataFrame, *groups: str) -> DataFrame:
+    """(groups..., correlation_plus_minus_mean, blocks) of (groups..., block, r), in block order."""
+    states = blocks.selectExpr(*groups, "block", "r AS total", "0D AS comp", "1L AS n").where("total IS NOT NULL AND NOT isnan(total)")
     add = """named_struct(
         'total', a.total + b.total,
         'comp', a.comp + b.comp + if(abs(a.total) >= abs(b.total),

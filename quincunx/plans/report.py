@@ -13,8 +13,10 @@ from quincunx.operators.histogram import histogram
 from quincunx.operators.moments import STATE, block_correlation, column_moments
 from quincunx.operators.quantiles import exact_quantiles
 from quincunx.operators.sketch import block_sketches, merge_sketches, quantiles_sql
+from quincunx.operators.sums import reproducible_correlation, reproducible_moments
 from quincunx.plans.program import Distribution, Program, read_program
 from quincunx.sources.draws import with_draws
+from quincunx.sources.stored import stored
 
 BRANCHES = {  # id -> label
     "main": "result",
@@ -63,13 +65,16 @@ def branch_values(
 
 def report(
     df: DataFrame, key: str, program: Program | str, seed: int, bind: Mapping[str, str | Distribution] | None = None,
-    *, quantiles: str = "exact", bins: int = 30, block_rows: int = 5_000, keyed: bool = True,
+    *, quantiles: str = "exact", bins: int = 30, block_rows: int = 5_000, keyed: bool = True, reproducible: bool | None = None,
 ) -> DataFrame:
     """One row per branch: counts, requested statistics, diagnostics, correlation and histogram.
 
-    The passes over ``df`` are moments, then quantiles, the histogram and, for a fork, the
-    block correlation, with blocks of ``block_rows`` neighbouring keys.  ``exact`` quantiles
-    take further narrowing passes; ``sketch`` takes one, within the sketch's rank error.
+    Keyed values are drawn once, into a stored table of one column per branch, and all passes
+    read that: moments, quantiles, the histogram and, for a fork, the block correlation, with
+    blocks of ``block_rows`` neighbouring keys.  Streams (``keyed=False``) are cheap enough to
+    draw anew in each pass.  ``exact`` quantiles take further narrowing passes; ``sketch``
+    takes one, within the sketch's rank error.  ``reproducible`` sums, the default with keys,
+    give the same bits for every partitioning in two more passes.
     What reaches the driver is one state per branch, and counts per bin and piece.
     A model without any finite result raises NoFiniteResult here and now.
     """
@@ -77,9 +82,13 @@ def report(
         raise ValueError(f"quantiles must be one of {MODES}")
     program = read_program(program) if isinstance(program, str) else program
     spark, ids = df.sparkSession, measure_ids(program)
+    reproducible = keyed if reproducible is None else reproducible
     values = branch_values(df, key, program, seed, bind, keyed)
+    if keyed:
+        values = stored(values if len(ids) > 1 else values.drop("key"), "values")
     measures = {i: i for i in ids}
-    states = {r["id"]: r for r in column_moments(values, measures).collect()}
+    moments = reproducible_moments if reproducible else column_moments
+    states = {r["id"]: r for r in moments(values, measures).collect()}
     if not any(s["n"] for s in states.values()):
         raise NoFiniteResult("the model produced no finite result")
     if quantiles == "exact":
@@ -92,7 +101,11 @@ def report(
     shapes = {r["id"]: r["histogram"] for r in histogram(values, measures, bins, ranges=ranges).collect()}
     correlation = None
     if len(ids) > 1:
-        pairs = block_correlation(values, f"floor(key / {block_rows})", "plus", "minus").first()
+        block = f"floor(key / {block_rows})"
+        if reproducible:
+            pairs = reproducible_correlation(values, block, "plus", "minus", states).first()
+        else:
+            pairs = block_correlation(values, block, "plus", "minus").first()
         correlation = pairs["correlation_plus_minus_mean"] if pairs else None
     rows = [
         (i, *[states[i][c] for c in STATE], points[i], correlation if i == "plus_minus_delta" else None, shapes[i].asDict(True))

@@ -15,12 +15,12 @@ from quincunx.plans.program import Discrete, Distribution, Normal, Uniform
 BITS = 52  # of a uniform, as 13 hexadecimal digits of a digest
 
 
-def digest(key: str, seed: int, stream: int) -> Column:
-    """128 bits of (seed, stream, key); ``key`` appears once, so that rules which copy an
-    expression, such as a filter pushed down, copy it once."""
-    if seed < 0:
+def digest(key: str, seed: int | Column, stream: int | Column) -> Column:
+    """128 bits of (seed, stream, key); a Column of seeds or streams has one for each row."""
+    if isinstance(seed, int) and seed < 0:
         raise ValueError("seed must not be negative")
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(stream)), F.col(key).cast("string")))
+    text = lambda part: F.lit(str(part)) if isinstance(part, int) else part.cast("string")
+    return F.md5(F.concat_ws(":", text(seed), text(stream), F.col(key).cast("string")))
 
 
 def uniform_of(digest: Column, part: int = 0) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,28 +11,38 @@ from pyspark.sql.streaming import StreamingQuery
 from quincunx.functions import summary
 from quincunx.operators.moments import EMPTY_STATE, MERGE_STATES, STATE, column_moments
 from quincunx.operators.sketch import NAMES, POINTS, bins_sql, block_sketches, quantiles_sql
+from quincunx.sources.stored import new_folder
 
 _STATE_DDL = "struct<candidates:bigint,n:bigint,mean:double,m2:double,low:double,high:double>"
-_PROGRESS_DDL = f"id string, batch_state {_STATE_DDL}, sketch binary, batch long"
+_STORED_DDL = f"id string, batch_state {_STATE_DDL}, total {_STATE_DDL}, sketch binary"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; there must be one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that the driver and all executors share."""
+    return new_folder(spark)
 
 
 def write_progress(batch: DataFrame, measures: Mapping[str, str], folder: str, number: int) -> None:
-    """Stores the moment states and sketches of micro-batch ``number`` in a folder of its own.
+    """Stores the moment states of micro-batch ``number``, and the states and sketches of all rows
+    up to it: those of the batch before, merged with its own.
 
-    No batch needs another one's folder; running a batch again replaces its own.
+    A batch costs the same however many came before.  Running one again, after a restart,
+    reads the same batch before it and replaces its own folder, so that it counts once.
     """
-    state = F.struct(*STATE).alias("batch_state")
+    spark, state = batch.sparkSession, f"struct({', '.join(STATE)})"
     sketches = block_sketches(batch, "1L", measures).select("id", "sketch")
-    fresh = column_moments(batch, measures).select("id", state).join(F.broadcast(sketches), "id")  # one row per measure
-    fresh.coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
+    fresh = column_moments(batch, measures).join(F.broadcast(sketches), "id").selectExpr("id", f"{state} AS s", "sketch")  # one row per measure
+    if number:
+        before = spark.read.schema(_STORED_DDL).parquet(f"{folder}/progress/batch={number - 1}")
+        before = before.selectExpr("id", "0 AS place", "total AS s", "sketch")
+    else:
+        before = fresh.where("false").selectExpr("id", "0 AS place", "s", "sketch")
+    both = before.unionByName(fresh.selectExpr("id", "1 AS place", "s", "sketch")).groupBy("id").agg(
+        F.expr("max_by(s, place)").alias("batch_state"),
+        F.expr(f"aggregate(transform(array_sort(collect_list(struct(place, s))), x -> x.s), {EMPTY_STATE}, (a, b) -> {MERGE_STATES})").alias("total"),
+        F.expr(f"kll_merge_agg_double(sketch, {POINTS})").alias("sketch"),
+    )
+    both.coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
 
 
 def start_progress(
@@ -54,16 +63,11 @@ def read_progress(spark: SparkSession, folder: str, total_rows: int | None = Non
     """(batch, id, batch_state, total, sketch, progress): after each batch the state and the
     sketch of all rows so far, and their share of ``total_rows``.
 
-    Totals are merged in batch order when read: a few rows per batch.
+    Totals were merged, in batch order, as the batches came.
     """
-    so_far = "PARTITION BY id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     whole = "cast(NULL AS double)" if total_rows is None else f"total.candidates / {max(1, total_rows)}"
-    stored = spark.read.schema(_PROGRESS_DDL).parquet(f"{folder}/progress")
-    return stored.selectExpr(
-        "batch", "id", "batch_state",
-        f"aggregate(collect_list(batch_state) OVER ({so_far}), {EMPTY_STATE}, (a, b) -> {MERGE_STATES}) AS total",
-        f"kll_merge_agg_double(sketch, {POINTS}) OVER ({so_far}) AS sketch",
-    ).selectExpr("batch", "id", "batch_state", "total", "sketch", f"{whole} AS progress")
+    rows = spark.read.schema(f"{_STORED_DDL}, batch long").parquet(f"{folder}/progress")
+    return rows.selectExpr("batch", "id", "batch_state", "total", "sketch", f"{whole} AS progress")
 
 
 def progress_events(progress: DataFrame, total_rows: int, bins: int = 30) -> DataFrame:
