@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quincunx.llm.common import collector_paused, held_by_worker, keyed_texts, slices, written
-from quincunx.llm.tokencount import byte_symbols
+from quincunx.llm.words import byte_symbols
 
 BLOCK_BYTES = 4 << 20  # of text in a block
 PIECES_AT_ONCE = 4_096  # the libraries' own records of a piece are far larger than its ids

@@ -4,9 +4,6 @@ A word's symbols form a doubly linked list.  A priority queue holds the merge ra
 adjacent pairs; the lowest is popped, skipped if one of its halves has changed meanwhile, and
 merged otherwise, and the ranks of the two new pairs are pushed.  Decoding concatenates the
 vocabulary's strings of the ids.
-
-Words of ASCII and Latin letters are split here; where tables of characters may differ
-between versions of Unicode, the vocabulary's own normaliser and splitter are asked.
 """
 
 from __future__ import annotations
@@ -23,38 +20,13 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from quincunx.llm.common import collector_paused, held_by_worker, keyed_texts, slices
-from quincunx.llm.tokencount import ODD_CONTROLS, SPACE, byte_symbols, latin
+from quincunx.llm.words import Splitter, byte_symbols
 
 BATCH_BYTES = 4 << 20  # of text worked on at a time in one task
 KNOWN_CHUNKS = 500_000  # chunks between white space whose ids a worker remembers
 KNOWN_WORDS = 400_000  # and words
 
 ID = np.dtype("<u4")
-# The split pattern of the vocabulary within Latin letters.
-LATIN_PIECE = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
-)
-
-
-class Splitter:
-    """Texts to chunks without white space, and chunks to words, as one vocabulary has them."""
-
-    def __init__(self, library: Tokenizer):
-        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
-        self.bytes = {c: b for b, c in enumerate(byte_symbols())}
-
-    def chunks(self, text: str) -> list[str]:
-        """The library lowers each character alone, and no character joins others across white space."""
-        if latin(text):
-            text = text.lower()
-        return [c for c in SPACE.split(text) if c] if any(map(text.__contains__, ODD_CONTROLS)) else text.split()
-
-    def words(self, chunk: str) -> list[bytes]:
-        """The words of a chunk, normalised, as UTF-8."""
-        if latin(chunk):
-            return [p.encode() for p in LATIN_PIECE.findall(chunk.lower())]
-        pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
-        return [bytes(map(self.bytes.__getitem__, spelled)) for spelled, _ in pieces]
 
 
 class Coder:

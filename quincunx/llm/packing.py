@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quincunx.llm.common import collector_paused, held_by_worker, keyed_texts, slices
-from quincunx.llm.tokencount import ODD_CONTROLS, byte_symbols, latin, pieces
+from quincunx.llm.words import ODD_CONTROLS, Splitter, byte_symbols, latin
 
 BATCH_BYTES = 4 << 20  # of text tokenised at a time in one task
 BUCKET_BYTES = 4 << 20  # of text whose tails are packed together
@@ -46,6 +46,7 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
+        self.split = Splitter(self.whole)
         self.words = Tokenizer(self.whole.model)  # the same merges for words split here
         self.store = np.dtype("<u2") if self.whole.get_vocab_size() <= 1 << 16 else ID
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
@@ -55,7 +56,7 @@ class TextEncoder:
         self.ids: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[str]) -> None:
-        split = [pieces(c) for c in chunks]
+        split = [self.split.words(c) for c in chunks]
         words = {w for ws in split for w in ws}
         fresh = words - self.ids.keys()
         if len(self.ids) + len(fresh) > KNOWN_WORDS:

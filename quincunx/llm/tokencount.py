@@ -13,35 +13,21 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quincunx.llm.common import collector_paused, held_by_worker, keyed_texts, slices
+from quincunx.llm.words import Splitter, byte_symbols
 
 BATCH_BYTES = 8 << 20  # of text worked on at a time in one task
 KNOWN_CHUNKS = 600_000  # counts a worker remembers; beyond that it keeps those of the latest batch
 
-# White space as the vocabulary's normaliser sees it, and its special strings.
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-ODD_CONTROLS = "\x1c\x1d\x1e\x1f"  # white space to str.split alone
-# The split pattern of the vocabulary inside a chunk without white space.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
-PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return [chr(b if b in set(printable) else 256 + rest.index(b)) for b in range(256)]
-
 
 class MergeTable:
     """The merges of one vocabulary file, in arrays."""
@@ -140,44 +126,16 @@ def _from_the_left(places: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.array(taken)
 
 
-def latin(text: str) -> bool:
-    """Whether all characters are below 256: such text is composed, and its characters lower alone."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def pieces(chunk: str) -> list[bytes]:
-    """The words of a chunk without white space, normalised, as UTF-8."""
-    if latin(chunk):
-        lowered = chunk.lower()
-        if lowered.isalpha():
-            return [lowered.encode()]
-        if lowered[:-1].isalpha() and not lowered[-1].isalnum():  # a word and a mark
-            return [lowered[:-1].encode(), lowered[-1].encode()]
-        if lowered.isascii():
-            return [p.encode() for p in PLAIN_PIECE.findall(lowered)]
-    composed = unicodedata.normalize("NFC", chunk)
-    # The vocabulary lowers each character alone; str.lower looks around a sigma.
-    lowered = "".join(map(str.lower, composed)) if "\u03a3" in composed else composed.lower()
-    return [p.encode() for p in PIECE.findall(lowered)]
-
-
 class TextCounter:
     """Counts texts by chunks between white space, remembering each chunk's count."""
 
     def __init__(self, path: str):
         self.merges = MergeTable(path)
+        self.split = Splitter(Tokenizer.from_file(path))
         self.known: dict[str, int] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        odd = any(map(text.__contains__, ODD_CONTROLS))
-        return [c for c in SPACE.split(text) if c] if odd else text.split()
-
     def learn(self, chunks: set[str]) -> None:
-        split = [pieces(c) for c in chunks]
+        split = [self.split.words(c) for c in chunks]
         words = list({w for ws in split for w in ws})
         count = dict(zip(words, self.merges.count(words).tolist(), strict=True))
         self.known.update(zip(chunks, [sum(map(count.__getitem__, ws)) for ws in split], strict=True))
@@ -187,7 +145,7 @@ class TextCounter:
         for text in texts:
             cut = self.merges.special.split(text) if "<" in text else [text]
             extra.append(len(cut) - 1)
-            parts.append([c for part in cut for c in self.chunks(part)])
+            parts.append([c for part in cut for c in self.split.chunks(part)])
         fresh = set().union(*parts)
         if len(self.known) + len(fresh) > KNOWN_CHUNKS:
             self.known = {c: self.known[c] for c in fresh & self.known.keys()}

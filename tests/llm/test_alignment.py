@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quincunx.llm import alignment, queries
-from quincunx.llm.tokencount import byte_symbols
+from quincunx.llm.words import byte_symbols
 
 A, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 FOLDER = "/root/testdata/sf0.001"

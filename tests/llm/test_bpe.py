@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quincunx.llm import bpe, queries
+from quincunx.llm import bpe, packing, queries, tokencount
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 FOLDER = "/root/testdata/sf0.001"
@@ -48,6 +48,7 @@ def test_any_text(own, library, text):
 
 
 def test_every_code_point(own, library):
+    counter, encoder = tokencount.TextCounter(PATH), packing.TextEncoder(PATH)
     # No later plane has a character that is assigned, but for tags and variation selectors.
     points = [chr(k) for k in (*range(0x33480), *range(0xE0000, 0xE0200)) if not 0xD800 <= k < 0xE000]
     for form in ("{} ", "a{}b "):
@@ -55,6 +56,8 @@ def test_every_code_point(own, library):
             text = "".join(form.format(c) for c in points[k : k + 50_000])
             ids = np.frombuffer(own.encode([text])[0], "<u4").tolist()
             assert ids == library.encode(text, add_special_tokens=False).ids
+            assert counter.count([text]) == [len(ids)]
+            assert np.frombuffer(encoder.encode([text])[0], encoder.store).tolist() == ids
 
 
 def test_stale_entries_are_skipped(own):
