@@ -95,6 +95,7 @@ class Aligner:
         self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
         self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
         self.b_size = np.fromiter(map(len, self.b_bytes), np.int64)
+        self.spelled = [f"{i}{mark}" for i in range(max(len(self.a_size), len(self.b_size))) for mark in ",|;"]
         # A's ids to B's ids with the same bytes; of two, the one that isn't a stand-in for a byte.
         by_bytes = {self.b_bytes[i]: i for i in sorted(b_ids, key=self.b.is_byte, reverse=True)}
         self.size = max(self.a_bytes) + 1
@@ -140,7 +141,8 @@ class Aligner:
         last_a, last_b = both[group_a] == ends_a, both[group_b] == ends_b
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
         marks = np.concatenate([np.where(last_a, 1, 0), np.where(last_b, 2, 0)])
-        spelled = np.char.add(np.concatenate([a, b]).astype("U"), np.array([",", "|", ";"])[marks])[order].tolist()
+        codes = (3 * np.concatenate([a, b]) + marks)[order].tolist()
+        spelled = list(map(self.spelled.__getitem__, codes))
         piece_ends = ends_a[np.cumsum(n_a) - 1]
         upto = [np.searchsorted(x, piece_ends, side="right").tolist() for x in (ends, both)]
         raw = links.astype("<i8").tobytes()
@@ -163,8 +165,10 @@ class Aligner:
             self.known = {s: self.known[s] for s in names & self.known.keys()}
         self.learn(list(fresh))
         known = self.known
-        parts = [p if all(map(known.__getitem__, p)) else [] for p in parts]
-        names = list(set().union(*parts))
+        if not all(map(known.__getitem__, names)):  # texts with a piece that a tokenizer changes have no tokens
+            parts = [p if all(map(known.__getitem__, p)) else [] for p in parts]
+            names = set().union(*parts)
+        names = list(names)
         found = [known[s] for s in names]
         place = {s: k for k, s in enumerate(names)}
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
