@@ -74,7 +74,7 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secretscan.labelled(base), 256).alias("base_sha256"), secretscan.labelled(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("spans", lambda s: s["owners"] >= secretscan.COPIED_OWNERS)).cast("long").alias("n_copied"),
+        F.size(F.filter("spans", lambda s: secretscan.widely_held(s["owners"], s["repositories"]))).cast("long").alias("n_copied"),
     )
 
 

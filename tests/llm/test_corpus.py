@@ -326,7 +326,7 @@ def test_base_spans(docs, plain):
 def test_base_spans_of_any_text(spark, parts):
     text = "".join(parts)
     df = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
-    found = secretscan.with_spans(df).select(secretscan.labelled(F.filter("_spans", lambda s: s["kind"] < 3)).alias("b")).first().b
+    found = secretscan.scanned(df).select(secretscan.labelled(F.filter("spans", lambda s: s["kind"] < 3)).alias("b")).first().b
     assert found == ",".join(base_spans(text))
 
 
