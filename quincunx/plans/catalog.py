@@ -20,6 +20,7 @@ from quincunx.operators.moments import (
     report_moments,
 )
 from quincunx.operators.quantiles import exact_quantiles, weighted_quantiles
+from quincunx.operators.regression import linear_fit
 from quincunx.operators.resampling import POISSON, bootstrap_intervals, interval_coverage
 from quincunx.operators.sketch import block_sketches as sketch_blocks
 from quincunx.operators.sketch import bin_error, merge_sketches, quantiles_sql, rank_error
@@ -1044,6 +1045,50 @@ def schedule_invariance(spark, folder):
     )
 
 
+def _normal_equations_sql(source: str, by: str, target: str, terms: dict[str, str]) -> str:
+    """Coefficients by elimination in the normal equations, one pivot at a time."""
+    names, columns = ["intercept", *terms], ["1.0", *terms.values(), target]
+    p = len(names)
+    cells = [(i, j) for i in range(p) for j in range(p + 1)]
+    sums = ", ".join(f"sum(({columns[i]})::DOUBLE * ({columns[j]})::DOUBLE) AS m{i}_{j}" for i, j in cells)
+    steps = [f"e0 AS (SELECT {by}, count(*) AS n, {sums} FROM {source} GROUP BY {by})"]
+    for k in range(p):
+        kept = [f"m{k}_{j} / m{k}_{k} AS m{k}_{j}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k} AS m{i}_{j}" for i, j in cells]
+        steps.append(f"e{k + 1} AS (SELECT {by}, n, {', '.join(kept)} FROM e{k})")
+    parts = [f"SELECT {by}, n, '{t}' AS term, round(m{i}_{p}, 3) AS coefficient, {p} AS rank FROM e{p}" for i, t in enumerate(names)]
+    return f"WITH {', '.join(steps)} {' UNION ALL '.join(parts)}"
+
+
+_PRICE = {"quantity": "l_quantity", "discount": "l_discount", "tax": "l_tax", "line": "l_linenumber"}
+
+
+@query(_normal_equations_sql("lineitem", "l_returnflag", "l_extendedprice", _PRICE))
+def price_fit(spark, folder):
+    """Prices on four columns by least squares, for each return flag."""
+    fit = linear_fit(table(spark, folder, "lineitem"), "l_extendedprice", _PRICE, by=["l_returnflag"])
+    return fit.selectExpr("l_returnflag", "n", "term", "round(coefficient, 3) AS coefficient", "rank")
+
+
+@query("""
+WITH g AS (SELECT l_returnflag, count(*) AS n, 1.01 * sum(q * q) AS h11, sum(q * d) AS h12, 1.01 * sum(d * d) AS h22, sum(q * y) AS g1, sum(d * y) AS g2
+           FROM (SELECT l_returnflag, l_quantity AS q, l_discount AS d, l_extendedprice * (1 - l_discount) AS y FROM lineitem) GROUP BY 1),
+faces AS (SELECT *, unnest([
+    {'a': (g1 * h22 - g2 * h12) / (h11 * h22 - h12 * h12), 'b': (g2 * h11 - g1 * h12) / (h11 * h22 - h12 * h12), 'ca': false, 'cb': false},
+    {'a': g1 / h11, 'b': 0.0, 'ca': false, 'cb': true}, {'a': 0.0, 'b': g2 / h22, 'ca': true, 'cb': false},
+    {'a': 0.0, 'b': 0.0, 'ca': true, 'cb': true}]) AS f FROM g),
+best AS (SELECT l_returnflag, n, arg_min(f, f.a * f.a * h11 + 2 * f.a * f.b * h12 + f.b * f.b * h22 - 2 * f.a * g1 - 2 * f.b * g2) AS f
+         FROM faces WHERE f.a >= 0 AND f.b >= 0 GROUP BY 1, 2)
+SELECT l_returnflag, n, 'quantity' AS term, round(f.a, 4) AS coefficient, f.ca AS bounded FROM best
+UNION ALL SELECT l_returnflag, n, 'discount', round(f.b, 4), f.cb FROM best""")
+def bounded_price_fit(spark, folder):
+    """A ridge fit whose coefficients may not be negative: discounts lower a price, so theirs lies on its bound."""
+    fit = linear_fit(
+        table(spark, folder, "lineitem"), "l_extendedprice * (1 - l_discount)", {"quantity": "l_quantity", "discount": "l_discount"},
+        by=["l_returnflag"], ridge=0.01, lower={"quantity": 0.0, "discount": 0.0}, intercept=False,
+    )
+    return fit.selectExpr("l_returnflag", "n", "term", "round(coefficient, 4) AS coefficient", "bounded")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Both roots of a quadratic with a balance as one coefficient: the whole report."""
     text = (
