@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quincunx.llm.common import written
 
 TRAINING_ROWS = 20_000
+HALVES = 5  # seed of the hash that parts the urls of the trees from those of the suffix statistics
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters",
@@ -55,12 +56,17 @@ def with_features(rows: DataFrame) -> DataFrame:
     """Adds the lexical features; those of the suffix come from all rows.
 
     ``suffix_share`` is the share of blocked ones among the suffix's labelled rows, drawn to
-    one half where there are few, and ``suffix_pages`` the log of its pages.
+    one half where there are few, and ``suffix_pages`` the log of its pages.  Half of all urls,
+    by a hash, give that share and the others (``learns``) teach the trees, so that no url
+    learns from its own label.
     """
-    rows = rows.withColumn("_suffix", F.regexp_extract("host", r"([^.]*)$", 1))
-    blocked = F.col("label.verdict") == "block"
+    rows = rows.withColumns({
+        "_suffix": F.regexp_extract("host", r"([^.]*)$", 1),
+        "learns": F.pmod(F.xxhash64(F.lit(HALVES), "url"), F.lit(2)) == 1,
+    })
+    verdict = F.when(~F.col("learns"), F.col("label.verdict"))
     suffixes = rows.groupBy("_suffix").agg(
-        ((F.count_if(blocked) + 5) / (F.count("label.verdict") + 10)).alias("suffix_share"),
+        ((F.count_if(verdict == "block") + 5) / (F.count(verdict) + 10)).alias("suffix_share"),
         F.log(F.count("*") + 1.0).alias("suffix_pages"),
     )
     size = F.greatest(F.length("url"), F.lit(1))
@@ -164,16 +170,17 @@ def judged_urls(
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row.
 
-    Urls that a rule fits are the labelled ones; the trees learn from at most ``most`` of
-    them, those with the smallest hashes, and judge the others: block where the log-odds
-    ``score`` are positive.  Without both labels among them the more frequent one holds, and
-    allow without any.  Null, empty and odd urls have empty host and path and are judged by
+    Urls that a rule fits are the labelled ones; the trees learn from at most ``most``
+    different ones of half of them, those with the smallest hashes, and judge the others:
+    block where the log-odds ``score`` are positive.  Without both labels among them the one
+    there is holds, and allow without any.  Null, empty and odd urls have empty host and path and are judged by
     their features too.
     """
     rows = parsed(pages, key, url).withColumn("label", rule_column(rules))
     ready = written(with_features(rows), "urls")
-    labelled = ready.where("label IS NOT NULL").withColumn("y", (F.col("label.verdict") == "block").cast("double"))
-    sample = labelled.orderBy(F.xxhash64(F.lit(seed), "url"), "url").limit(most).select("y", *FEATURES)
+    labelled = ready.where("label IS NOT NULL AND learns").withColumn("y", (F.col("label.verdict") == "block").cast("double"))
+    different = labelled.select("url", "y", *FEATURES).distinct()
+    sample = different.orderBy(F.xxhash64(F.lit(seed), "url"), "url").limit(most).select("y", *FEATURES)
     score = fit_trees(written(sample, "sample"), "y", FEATURES)
     method = F.when(score > 0, "block").otherwise("allow")
     return ready.select(

@@ -78,6 +78,27 @@ def test_vector_edges(spark):
     assert sorted((repr(r.vec_id), r.n_links, repr(r.component_id)) for r in got) == [("3", 1, "3"), ("3", 1, "3"), ("4", 0, "4"), ("None", 0, "None")]
 
 
+def test_singles_and_doubles_compare(spark):
+    """Vectors kept as single floats meet those that need doubles, and odd lengths keep apart."""
+    rng = np.random.default_rng(4)
+    single = rng.standard_normal((20, 8)).astype(np.float32).astype(float)
+    table = single.tolist() + (single * 1.1).tolist() + single[:, :4].tolist() + (single[:, :4] / 3).tolist()
+    assert [len(vectors.packed(np.array(v))) for v in table[::20]] == [32, 65, 16, 33]
+    ids = list(range(len(table)))
+    df = spark.createDataFrame(list(zip(ids, table)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in vectors.near_vectors(df, bits=2, recall=0.99999).collect()}
+    links, part = brute_links(ids, table)
+    assert {i: (got[i].n_links, got[i].component_id) for i in ids} == {i: (n, c) for i, n, c in zip(ids, links, part)}
+
+
+def test_signs_do_not_depend_on_the_batch():
+    x = np.random.default_rng(5).standard_normal((300, 64)) * 10.0 ** np.random.default_rng(6).integers(-200, 200, 300)[:, None]
+    planes = vectors.Hyperplanes(9, 20, 1)
+    whole = planes.signs(x, 20)
+    assert all((planes.signs(x[k : k + 1], 20) == whole[k]).all() for k in range(0, 300, 7))
+    assert (planes.signs(x[:50], 6) == whole[:50, :6]).all() and (whole >= 0).all() and (whole < 512).all()
+
+
 @pytest.mark.parametrize("pairs", [300, 3_000, 20_000])
 def test_recall_of_planted_pairs(spark, pairs):
     """Pairs at cosines of 0.90 to 0.93, where signs agree least; bits and tables follow from the number of rows."""
@@ -144,6 +165,22 @@ def test_rules_and_parsing(spark):
     assert {r.verdict for r in urls.judged_urls(df.where("page_id = 2"), queries.RULES).collect()} == {"allow"}
 
 
+def test_a_frequent_url_does_not_fill_the_sample(spark):
+    """4 000 pages of one ruled url beside 400 others; room for 300 rows."""
+    allowed = [(k, f"http://w{k}.com/fr/{'a/' * (k % 5)}") for k in range(200)]
+    blocked = [(200 + k, f"http://w{k}.com/de/{k * 7919}/?a={k}&b=1") for k in range(200)]
+    judged = [(400 + k, f"http://v{k}.net/{k * 104729}/?a={k}&b=1") for k in range(50)]
+    rows = allowed + blocked + judged
+    often = [(10_000 + k, url) for _, url in allowed[:20] for k in range(200)]
+    verdicts = []
+    for table in (rows, rows + often):
+        df = spark.createDataFrame(table, "page_id long, url string")
+        got = urls.judged_urls(df, queries.RULES, most=300).where("page_id >= 400 AND page_id < 450").collect()
+        assert len(got) == 50
+        verdicts.append({r.verdict for r in got})
+    assert verdicts == [{"block"}, {"block"}]
+
+
 def test_trees_learn_held_out_urls(spark):
     pages = [(k, f"http://{'casino-win' if k % 3 == 0 else 'news'}{k % 7}.example.net/en/{k}{'?a=1&b=2' if k % 3 == 0 else ''}") for k in range(600)]
     df = spark.createDataFrame(pages, "page_id long, url string")
