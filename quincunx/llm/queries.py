@@ -29,7 +29,7 @@ WEIGHTS = {
 MIX_SHARE, MIX_EPOCHS = 0.8, 4
 
 RULES = [
-    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block"),
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
 ]
 
 
