@@ -87,16 +87,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterato
             yield batch.slice(start)
 
 
-def tiled(rows: DataFrame, key: str, node: str, limit: int) -> DataFrame:
+def tiled(rows: DataFrame, key: str, node: str, limit: int, size: str = "1L") -> DataFrame:
     """Candidate groups cut into tiles, so that no task meets a whole hot group.
 
-    Rows of ``key`` groups with one member go.  A group of n rows becomes ceil(n / limit)
-    chunks by a hash of ``node``, and each pair of chunks a tile of its own: every two rows
+    Rows of ``key`` groups with one member go.  A group of n rows, or of n bytes where the SQL
+    ``size`` tells a row's bytes, becomes ceil(n / limit) chunks by a hash of ``node``, and each pair of chunks a tile of its own: every two rows
     of a group meet in exactly one tile.  Tiles come back partitioned and sorted by (key, lo,
     hi); ``chunk`` tells the two sides of a tile with lo < hi.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    sizes = sizes.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_tiles"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum(F.expr(size)).alias("_size")).where("_n > 1")
+    sizes = sizes.select(key, F.ceil(F.greatest("_size", F.lit(1)) / limit).cast("int").alias("_tiles"))
     return (
         rows.join(sizes, key)
         .withColumn("chunk", F.pmod(F.xxhash64(node), F.col("_tiles")).cast("int"))

@@ -41,9 +41,8 @@ def shingles(text: str, words: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
 
 
-def fingerprint(text: str, words: int, seed: int) -> int:
-    """The 64-bit SimHash of a text's word shingles, each hashed with XXH64."""
-    hashes = shingles(text, words, seed)
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes; zero without any."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -54,6 +53,11 @@ def fingerprint(text: str, words: int, seed: int) -> int:
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str, words: int, seed: int) -> int:
+    """The 64-bit SimHash of a text's word shingles, each hashed with XXH64."""
+    return majority(shingles(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, *, words: int = 5, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, print) of every row.  A-Z count as a-z; null texts and texts without a word
     have print 0, and a text with fewer words than a shingle is one shingle."""

@@ -1,10 +1,16 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash prints and minhash bytes, decided by the exact Jaccard similarity.
 
-A print has 96 positional bytes, each from the shingle that is smallest under a hash of its
+Candidates come from two inverted indexes of positional bytes with count filtering.  The
+first is that of ``simhash``: 64-bit SimHash prints of the same shingles, at most four bits
+apart.  At a similarity of 0.8 few pairs are so close, so a second index finds the rest: its
+print has 96 positional bytes, each from the shingle that is smallest under a hash of its
 own, so two texts of similarity s agree at each byte with chance s at least.  An index entry
 is four neighbouring bytes: of 24 entries a pair at 0.8 shares one in all but 3 of 10^6
-cases, since 1 - (1 - 0.8^4)^24.  A pair that meets and shares 56 bytes or more (at 0.8,
-77 on average) is compared by its whole sets of shingles; only that decides.
+cases, since 1 - (1 - 0.8^4)^24, and 56 bytes or more (77 on average) make it a candidate.
+
+Candidates only tell which texts must be compared: a tile hands on a spanning forest of its
+pairs, never all, and every two texts that candidates join, however far, are then compared
+by their whole sets of shingles, again tile by tile.  Only that decides.
 """
 
 from __future__ import annotations
@@ -17,18 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quincunx.llm.common import keyed_texts, runs, slices, tiled, written
+from quincunx.llm.common import forest, keyed_texts, runs, slices, tiled, written
 from quincunx.llm.components import connected
-from quincunx.llm.simhash import named, shingles
+from quincunx.llm.simhash import majority, named, near_prints, shingles
 
 BYTES = 96
 ENTRY = 4  # bytes of an index entry
 SHARED = 56  # bytes that candidates share at least
-STRONG = 80  # bytes from which a pair is tried early
 TILE = 2048
 BLOCK = 256  # rows of a tile compared at once
 SHARE = 0.8
-BATCH_BYTES = 4 << 20  # of text or of sets worked on at a time in one task
+BATCH_BYTES = 4 << 20  # of text worked on at a time in one task, and of sets in a chunk
 
 
 def print_of(hashes: np.ndarray) -> np.ndarray:
@@ -43,31 +48,33 @@ def print_of(hashes: np.ndarray) -> np.ndarray:
     return (least & np.uint64(0xFF)).astype(np.uint8) if len(hashes) else np.zeros(BYTES, np.uint8)
 
 
-def set_and_node(text: str, words: int, seed: int) -> tuple[np.ndarray, int]:
-    """Distinct shingle hashes in order, and a 64-bit hash of them all: the node of their set."""
-    own = np.unique(shingles(text, words, seed))
-    return own, int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed)).view(np.int64))
+def node_of(own: np.ndarray, seed: int) -> int:
+    """A 64-bit hash of distinct shingle hashes in order: the node of their set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), seed)).view(np.int64))
 
 
 def sketched(docs: DataFrame, *, words: int, seed: int, key: str, text: str) -> DataFrame:
-    """(doc_id, at, node, print) of every row; ``at`` is a hash of the text."""
+    """(doc_id, at, node, simhash, print) of every row; ``at`` is a hash of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, BATCH_BYTES):
-            nodes, prints = [], []
+            nodes, bits, prints = [], [], []
             for value in batch.column(2):
-                own, node = set_and_node(value.as_py(), words, seed)
-                nodes.append(node)
+                found = shingles(value.as_py(), words, seed)
+                own = np.unique(found)
+                nodes.append(node_of(own, seed))
+                bits.append(majority(found))
                 prints.append(print_of(own))
             flat = np.concatenate(prints).view("<i4") if prints else np.zeros(0, "<i4")
             offsets = np.arange(len(nodes) + 1, dtype=np.int32) * (BYTES // ENTRY)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), column], ["doc_id", "at", "node", "print"]
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(bits, pa.int64()), column],
+                ["doc_id", "at", "node", "simhash", "print"],
             )
 
     rows = keyed_texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("at"), "text")
-    return rows.mapInArrow(run, "doc_id long, at long, node long, print array<int>")
+    return rows.mapInArrow(run, "doc_id long, at long, node long, simhash long, print array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, seed: int, key: str, text: str) -> DataFrame:
@@ -76,9 +83,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, seed: int, key: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, BATCH_BYTES):
-            found = [set_and_node(value.as_py(), words, seed) for value in batch.column(0)]
+            found = [np.unique(shingles(value.as_py(), words, seed)) for value in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for _, n in found], pa.int64()), pa.array([s.tobytes() for s, _ in found], pa.binary())],
+                [pa.array([node_of(s, seed) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
                 ["node", "shingles"],
             )
 
@@ -89,57 +96,105 @@ def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, seed: int, key: s
     return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def candidates(entries: DataFrame, least: int, every: bool) -> DataFrame:
-    """Pairs (a, b), a > b, of ``entries``(entry, node, print, part) in different parts that
-    meet and share ``least`` bytes: every one, or for each a only the one with the smallest b."""
+def joined_by_prints(entries: DataFrame) -> DataFrame:
+    """Links (a, b) of ``entries``(entry, node, print) that join all nodes that meet and share
+    ``SHARED`` bytes: a spanning forest of each tile."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, ["entry", "lo", "hi"]):
-            node, part, chunk, lo, hi = (table.column(c).to_numpy() for c in ("node", "part", "chunk", "lo", "hi"))
+            node = table.column("node").to_numpy()
             flat = table.column("print").combine_chunks().flatten().to_numpy().astype("<i4", copy=False)
             prints = np.ascontiguousarray(flat).view(np.uint8).reshape(-1, BYTES)
+            left, right = [], []
             for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if e - s < 2:
-                    continue
-                order = s + np.argsort(node[s:e])
-                mine, home, side = node[order], part[order], chunk[order]
-                columns = np.ascontiguousarray(prints[order].T)
+                columns = np.ascontiguousarray(prints[s:e].T)
+                label = np.arange(e - s)
                 for k in range(1, e - s, BLOCK):
                     stop = min(k + BLOCK, e - s)
                     shared = np.zeros((stop - k, stop), np.uint8)
                     for column in columns:
                         shared += column[k:stop, None] == column[None, :stop]
-                    good = (shared >= least) & (home[k:stop, None] != home[None, :stop])
-                    good &= np.arange(stop)[None, :] < np.arange(k, stop)[:, None]
-                    if lo[s] != hi[s]:
-                        good &= side[k:stop, None] != side[None, :stop]
-                    if every:
-                        a, b = np.nonzero(good)
-                    else:
-                        a = np.flatnonzero(good.any(axis=1))
-                        b = good[a].argmax(axis=1)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(mine[a + k]), pa.array(mine[b])], ["a", "b"])
-
-    found = tiled(entries, "entry", "node", TILE).mapInArrow(run, "a long, b long")
-    return found.distinct() if every else found.groupBy("a").agg(F.min("b").alias("b"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``share`` or more."""
+                    a, b = np.nonzero(shared >= SHARED)
+                    a, b = label[a + k], label[b]
+                    if (a != b).any():
+                        label = forest(e - s, a[a != b], b[a != b])[label]
+                moved = np.flatnonzero(label != np.arange(e - s))
+                if len(moved):
+                    left.append(node[s:e][moved])
+                    right.append(node[s:e][label[moved]])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["a", "b"])
+
+    return tiled(entries, "entry", "node", TILE).mapInArrow(run, "a long, b long")
+
+
+def joined_by_simhash(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) that join all nodes of ``distinct``(node, simhash) whose SimHash prints
+    have at most four different bits."""
+    prints = written(distinct.groupBy("simhash").agg(F.min("node").alias("home")), "prints")
+    near = near_prints(prints.select(F.col("simhash").alias("print")))
+    near = near.join(prints.select(F.col("simhash").alias("a"), F.col("home").alias("x")), "a")
+    near = near.join(prints.select(F.col("simhash").alias("b"), F.col("home").alias("y")), "b")
+    equal = distinct.join(prints, "simhash").where("node <> home").select("node", "home")
+    return near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(equal.toDF("a", "b"))
+
+
+def linked_sets(sets: list[np.ndarray], side: np.ndarray, share: float) -> list[tuple[int, int]]:
+    """Positions (a, b) that join all sets with a Jaccard similarity of ``share`` or more: every
+    two sets, or every two on different sides where there are two.
+
+    One set is marked at a time and its marks counted in all others of a size that can fit.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]  # no other set is like the empty one
+    if len(order) < 2:
+        return []
+    two = bool((side != side[0]).any())
+    mine, others = (order[side[order] == side.min()], order[side[order] != side.min()]) if two else (order, order)
+    if not len(mine) or not len(others):
+        return []
+    ids = np.unique(np.concatenate([sets[k] for k in order.tolist()]), return_inverse=True)[1]
+    ids = dict(zip(order.tolist(), np.split(ids, np.cumsum(sizes[order])[:-1]), strict=True))
+    flat, long = np.concatenate([ids[k] for k in others.tolist()]), sizes[others]
+    starts = np.append(0, np.cumsum(long))
+    mark = np.zeros(1 + max(int(x.max()) for x in ids.values()), np.uint8)
+    label, links = np.arange(len(sets)), []
+    for at, a in enumerate(mine.tolist()):
+        size = int(sizes[a])
+        low = np.searchsorted(long, share * size - 1) if two else at + 1
+        high = np.searchsorted(long, size / share + 1, side="right")
+        if low >= high:
+            continue
+        mark[ids[a]] = 1
+        both = np.add.reduceat(mark[flat[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+        mark[ids[a]] = 0
+        like = others[low:high][both >= share * (size + long[low:high] - both)]
+        found, first = np.unique(label[like], return_index=True)
+        new = found != label[a]
+        if new.any():
+            links += [(a, b) for b in like[first[new]].tolist()]
+            label[np.isin(label, np.append(found, label[a]))] = a
+    return links
+
+
+def verified(members: DataFrame, share: float) -> DataFrame:
+    """Links (a, b) that join all of ``members``(component, node, shingles) of one component
+    whose sets have a Jaccard similarity of ``share`` or more: a spanning forest of each tile."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, 2, BATCH_BYTES), 3, BATCH_BYTES):
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= share * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for table, starts in runs(batches, ["component", "lo", "hi"]):
+            node, chunk = (table.column(c).to_numpy() for c in ("node", "chunk"))
+            column = table.column("shingles")
+            links = []
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                sets = [np.frombuffer(v.as_buffer(), "<u8") for v in column.slice(s, e - s)]
+                links += [(s + a, s + b) for a, b in linked_sets(sets, chunk[s:e], share)]
+            if links:
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return tiled(members, "component", "node", BATCH_BYTES, "octet_length(shingles)").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(
@@ -152,35 +207,25 @@ def similar_groups(
     fewer words than a shingle is one shingle; null texts and texts without a word are copies
     of each other.  Rows with a null doc_id get a component but never name one.
 
-    Equal sets count as one from the start.  Pairs already joined need no comparison, so
-    pairs of strong prints with the smallest node they meet are tried first, twice, and then
-    every pair that is still apart: a large group costs few comparisons, and no pair is left out.
+    Equal sets count as one from the start.  What a group hands from step to step grows with
+    its members, not with its pairs; all its pairs are compared, in tiles of bounded size.
     """
     if share < SHARE:
         raise ValueError("the index is laid out for similarities of 0.8 and more")
     rows = written(sketched(docs, words=words, seed=seed, key=key, text=text), "sketches")
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("at", "doc_id")).alias("text"), F.min("print").alias("print"))
+    distinct = rows.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct("at", "doc_id")).alias("text"), F.min("simhash").alias("simhash"), F.min("print").alias("print")
+    )
     distinct = written(distinct, "distinct")
     places = distinct.select("node", F.posexplode("print").alias("place", "value"))
     places = places.select(F.expr("shiftleft(cast(place AS long), 32) + value").alias("entry"), "node")
     shared = places.groupBy("entry").count().where("count > 1").select("entry")
-    met = written(places.join(shared, "entry"), "entries")
-    nodes = met.select("node").distinct()
-    own = written(distinct.join(nodes, "node", "left_semi").select("node", "text", "print"), "met")
-    sets = written(sets_of(docs, own.select("text.*").distinct(), words=words, seed=seed, key=key, text=text), "sets")
-    links = parts = None
-    for least, every in ((STRONG, False), (STRONG, False), (SHARED, True)):
-        part = F.col("node") if parts is None else F.coalesce("component", "node")
-        inner = own if parts is None else own.join(parts, "node", "left")
-        entries = met.join(inner.select("node", "print", part.alias("part")), "node")
-        if parts is not None:
-            several = entries.groupBy("entry").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
-            entries = entries.join(several.select("entry"), "entry")
-        entries = written(entries, "parts")
-        pairs = written(candidates(entries, least, every), "pairs")
-        found = written(verified(pairs, sets, share), "verified")
-        links = found if links is None else links.unionByName(found)
-        parts = connected(links)
+    met = places.join(shared, "entry").join(distinct.select("node", "print"), "node")
+    near = joined_by_prints(written(met, "entries")).unionByName(joined_by_simhash(distinct.select("node", "simhash")))
+    apart = written(connected(near).join(distinct.select("node", "text"), "node"), "apart")
+    sets = sets_of(docs, apart.select("text.*").distinct(), words=words, seed=seed, key=key, text=text)
+    members = written(apart.select("node", "component").join(sets, "node"), "sets")
+    parts = connected(verified(members, share))
     joined = parts.withColumnRenamed("component", "part").join(distinct.select("node", "first"), "node")
     smallest = joined.groupBy("part").agg(F.min("first").alias("component_id"))
     moved = joined.join(smallest, "part").select("node", "component_id")

@@ -68,3 +68,45 @@ def test_stage_drops_near_copies(spark):
     assert kept.columns == df.columns
     want = {i for (i, _), g in zip(rows, groups_of(rows), strict=True) if i == g and i is not None}
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(["None", "None", *map(repr, want)])
+
+
+def variants(count, words=200, changed=9):
+    """Texts that differ from one base in other words each: 0.6 to 0.75 alike by pairs."""
+    rng = np.random.default_rng(count)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for i in range(count):
+        text = list(base)
+        for k in rng.choice(words // 5, changed // 2, replace=False):
+            text[5 * k + 2] = f"v{i}x{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_tables_grow_with_members_not_pairs(spark, monkeypatch):
+    rows = variants(150)
+    assert groups_of(rows) == list(range(150))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made, plain = [], similar.written
+
+    def counting(table, label):
+        out = plain(table, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "written", counting)
+    assert sorted((r.doc_id, r.component_id) for r in similar.similar_groups(df).collect()) == [(i, i) for i in range(150)]
+    assert max(n for label, n in made if label != "entries") <= 2 * 150, made
+
+
+def test_simhash_prints_join_what_the_other_index_leaves(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SHARED", similar.BYTES + 1)
+    base = [f"w{k}" for k in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:1000], "other", *base[1001:]])), (3, " ".join(base[::-1]))]
+    prints = [similar.majority(similar.shingles(t, 5, 42)) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 < (prints[0] ^ prints[2]).bit_count()
+    # Repeated lines weigh in a print and not in a set: equal prints, sets far apart.
+    line = " ".join(f"r{k}" for k in range(40))
+    rows += [(4, " ".join([line] * 300 + [f"x{k}" for k in range(60)])), (5, " ".join([line] * 300 + [f"y{k}" for k in range(60)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dict((r.doc_id, r.component_id) for r in similar.similar_groups(df).collect()) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
