@@ -115,6 +115,34 @@ def test_poisson_weights(spark):
     assert sum(held.values()) / (5 * 4000) == pytest.approx(1, abs=0.03)
 
 
+def test_bootstrap_ranks_one_range_of_each_replicate(spark, monkeypatch):
+    """Medians as from all weights, ties over several ranges included, with no table of weights."""
+    df = spark.range(3000).selectExpr("id", "if(id % 11 = 0, NULL, cast((id * 7919) % 3000 div 20 AS double)) AS v")
+    df = df.unionByName(spark.range(3000, 4500).selectExpr("id", "70D AS v"))
+    held = {}
+    for r in resampling.replicate_weights(df, "id", "v", 7, 3).collect():
+        held.setdefault(r.r, []).append((r.v, r.w))
+    made, plain = [], resampling.stored
+
+    def counting(table, label):
+        out = plain(table, label)
+        made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(resampling, "stored", counting)
+    monkeypatch.setattr(resampling, "PART_ROWS", 300, raising=False)
+    got = {r.r: (r.mean, r.median) for r in resampling.bootstrap(df, "id", "v", 7, 3).collect()}
+    assert set(got) == set(held)
+    for r, rows in held.items():
+        total, upto = sum(w for _, w in rows), 0
+        for v, w in sorted(rows):
+            upto += w
+            if 2 * upto >= total:
+                break
+        assert got[r] == (pytest.approx(sum(v * w for v, w in rows) / total, rel=1e-12), v)
+    assert max(n for _, n in made) <= df.count(), made
+
+
 def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.range(3000).selectExpr("id", "if(id % 10 = 0, NULL, cast(id % 100 AS double)) AS v")
     own = [k % 100 for k in range(3000) if k % 10]
