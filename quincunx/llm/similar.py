@@ -78,22 +78,23 @@ def sketched(docs: DataFrame, *, words: int, seed: int, key: str, text: str) ->
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, seed: int, key: str, text: str) -> DataFrame:
-    """(node, shingles) of the texts with a hash and a doc_id in ``wanted``(at, doc_id), one row
-    for each node.  Few texts are asked for more than once: those repeated under one doc_id."""
+    """(component, node, shingles) of the texts with a hash and a doc_id in ``wanted``(component,
+    at, doc_id), one row for each node.  Few texts are asked for more than once: those repeated
+    under one doc_id."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, BATCH_BYTES):
-            found = [np.unique(shingles(value.as_py(), words, seed)) for value in batch.column(0)]
+        for batch in slices(batches, 1, BATCH_BYTES):
+            found = [np.unique(shingles(value.as_py(), words, seed)) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_of(s, seed) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["node", "shingles"],
+                [batch.column(0), pa.array([node_of(s, seed) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
+                ["component", "node", "shingles"],
             )
 
     texts = keyed_texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("at"), "text").alias("t")
     wanted = wanted.alias("w")
     same = (F.col("t.at") == F.col("w.at")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = texts.join(wanted, same, "left_semi").select("text")
-    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    texts = texts.join(wanted, same).select("component", "text")
+    return texts.mapInArrow(run, "component long, node long, shingles binary").dropDuplicates(["node"])
 
 
 def joined_by_prints(entries: DataFrame) -> DataFrame:
@@ -223,8 +224,8 @@ def similar_groups(
     met = places.join(shared, "entry").join(distinct.select("node", "print"), "node")
     near = joined_by_prints(written(met, "entries")).unionByName(joined_by_simhash(distinct.select("node", "simhash")))
     apart = written(connected(near).join(distinct.select("node", "text"), "node"), "apart")
-    sets = sets_of(docs, apart.select("text.*").distinct(), words=words, seed=seed, key=key, text=text)
-    members = written(apart.select("node", "component").join(sets, "node"), "sets")
+    wanted = apart.select("component", "text.*")
+    members = written(sets_of(docs, wanted, words=words, seed=seed, key=key, text=text), "sets")
     parts = connected(verified(members, share))
     joined = parts.withColumnRenamed("component", "part").join(distinct.select("node", "first"), "node")
     smallest = joined.groupBy("part").agg(F.min("first").alias("component_id"))
