@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 # White space of the texts' word rule: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BITMAP = 1 << 15  # bits that bitmap_construct_agg puts into one value
+MOST_BITS = 1 << 27
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -46,6 +49,24 @@ def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def maybe_in(rows: DataFrame, key: list[Column], wanted: DataFrame, same: list[Column]) -> DataFrame:
+    """``rows`` with ``_maybe``: true where ``key`` equals ``same`` of a row of the stored table
+    ``wanted``, and for one in 16 of the others or fewer.  A join of what may match then
+    shuffles few rows in vain.
+
+    There are 16 to 32 hash values for each wanted row, and those that occur are set in bitmaps,
+    which are broadcast: 16 MB at most.  Beyond 2^23 wanted rows more of the others pass.
+    """
+    values = min(max(1 << (16 * wanted.count()).bit_length(), BITMAP), MOST_BITS)
+    mine, theirs = (F.pmod(F.xxhash64(*columns), F.lit(values)) for columns in (key, same))
+    bits = wanted.select(theirs.alias("_at")).select(F.shiftright("_at", 15).alias("_cell"), (F.col("_at") % BITMAP).alias("_bit"))
+    bits = bits.repartition("_cell").groupBy("_cell").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    found = rows.withColumn("_at", mine).join(F.broadcast(bits), F.shiftright("_at", 15) == F.col("_cell"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_at % {BITMAP} div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(_at % 8 AS int)")
+    return found.withColumn("_maybe", F.coalesce(F.getbit(byte, bit) == 1, F.lit(False))).drop("_at", "_cell", "_bits")
+
+
 def n_bytes(text: str | Column) -> Column:
     return F.octet_length(text).cast("long")
 
@@ -87,22 +108,33 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterato
             yield batch.slice(start)
 
 
-def tiled(rows: DataFrame, key: str, node: str, limit: int, size: str = "1L") -> DataFrame:
-    """Candidate groups cut into tiles, so that no task meets a whole hot group.
+def tiled(rows: DataFrame, key: str, node: str, limit: int) -> DataFrame:
+    """Candidate groups cut into tiles, so that no task meets a whole hot group: ``chunked`` rows, ``dealt``."""
+    return dealt(chunked(rows, key, node, limit), key)
+
+
+def chunked(rows: DataFrame, key: str, node: str, limit: int, size: str = "1L") -> DataFrame:
+    """``rows`` with their ``chunk`` of as many as ``tiles`` tells.
 
     Rows of ``key`` groups with one member go.  A group of n rows, or of n bytes where the SQL
-    ``size`` tells a row's bytes, becomes ceil(n / limit) chunks by a hash of ``node``, and each pair of chunks a tile of its own: every two rows
-    of a group meet in exactly one tile.  Tiles come back partitioned and sorted by (key, lo,
-    hi); ``chunk`` tells the two sides of a tile with lo < hi.
+    ``size`` tells a row's bytes, becomes ceil(n / limit) chunks by a hash of ``node``.
     """
     sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum(F.expr(size)).alias("_size")).where("_n > 1")
-    sizes = sizes.select(key, F.ceil(F.greatest("_size", F.lit(1)) / limit).cast("int").alias("_tiles"))
+    sizes = sizes.select(key, F.ceil(F.greatest("_size", F.lit(1)) / limit).cast("int").alias("tiles"))
+    return rows.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64(node), F.col("tiles")).cast("int"))
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``chunked`` rows once for each tile they are in.
+
+    Each pair of chunks is a tile of its own: every two rows of a group meet in exactly one
+    tile.  Tiles come back partitioned and sorted by (key, lo, hi); ``chunk`` tells the two
+    sides of a tile with lo < hi.
+    """
     return (
-        rows.join(sizes, key)
-        .withColumn("chunk", F.pmod(F.xxhash64(node), F.col("_tiles")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+        rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumns({"lo": F.least("chunk", "_other"), "hi": F.greatest("chunk", "_other")})
-        .drop("_tiles", "_other")
+        .drop("tiles", "_other")
         .repartition(key, "lo", "hi")
         .sortWithinPartitions(key, "lo", "hi")
     )

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quincunx.llm.common import forest, keyed_texts, runs, tiled, written
+from quincunx.llm.common import forest, keyed_texts, maybe_in, runs, tiled, written
 from quincunx.llm.components import connected
 
 BYTES = 8
@@ -193,11 +193,13 @@ def first_of_each(docs: DataFrame, *, words: int = 5, seed: int = 42, most: int
 
 def named(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component in ``groups``(doc_id, component_id),
-    one of each doc_id; rows with a null one stay.  The rows are shuffled once."""
+    one of each doc_id; rows with a null one stay.  Only rows that may go are shuffled."""
     marks = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), (F.count("*") > 1).alias("_twice")
     )
     marks = written(marks.where("_gone OR _twice").withColumnRenamed("doc_id", "_key"), "marks")
-    left = docs.join(marks, docs[key] == marks["_key"], "left").where("_gone IS NULL OR NOT _gone")
+    rows = maybe_in(docs, [F.col(key).cast("long")], marks, [F.col("_key")])
+    left = rows.where("_maybe").join(marks, F.col(key) == F.col("_key"), "left").where("_gone IS NULL OR NOT _gone")
     again = left.where("_twice").dropDuplicates([key])
-    return left.where("_twice IS NULL").select(*docs.columns).unionByName(again.select(*docs.columns))
+    kept = rows.where("NOT _maybe").select(*docs.columns).unionByName(left.where("_twice IS NULL").select(*docs.columns))
+    return kept.unionByName(again.select(*docs.columns))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quincunx.llm.common import forest, keyed_texts, runs, slices, tiled, written
+from quincunx.llm.common import chunked, dealt, forest, keyed_texts, maybe_in, runs, slices, tiled, written
 from quincunx.llm.components import connected
 from quincunx.llm.simhash import majority, named, near_prints, shingles
 
@@ -54,47 +54,59 @@ def node_of(own: np.ndarray, seed: int) -> int:
 
 
 def sketched(docs: DataFrame, *, words: int, seed: int, key: str, text: str) -> DataFrame:
-    """(doc_id, at, node, simhash, print) of every row; ``at`` is a hash of the text."""
+    """(doc_id, at, node, bytes, simhash, print) of every row; ``at`` is a hash of the text,
+    ``bytes`` the length of its set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, BATCH_BYTES):
-            nodes, bits, prints = [], [], []
+            nodes, sizes, bits, prints = [], [], [], []
             for value in batch.column(2):
                 found = shingles(value.as_py(), words, seed)
                 own = np.unique(found)
                 nodes.append(node_of(own, seed))
+                sizes.append(own.nbytes)
                 bits.append(majority(found))
                 prints.append(print_of(own))
             flat = np.concatenate(prints).view("<i4") if prints else np.zeros(0, "<i4")
             offsets = np.arange(len(nodes) + 1, dtype=np.int32) * (BYTES // ENTRY)
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(bits, pa.int64()), column],
-                ["doc_id", "at", "node", "simhash", "print"],
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (nodes, sizes, bits)), column],
+                ["doc_id", "at", "node", "bytes", "simhash", "print"],
             )
 
     rows = keyed_texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("at"), "text")
-    return rows.mapInArrow(run, "doc_id long, at long, node long, simhash long, print array<int>")
+    return rows.mapInArrow(run, "doc_id long, at long, node long, bytes long, simhash long, print array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, *, words: int, seed: int, key: str, text: str) -> DataFrame:
-    """(component, node, shingles) of the texts with a hash and a doc_id in ``wanted``(component,
-    at, doc_id), one row for each node.  Few texts are asked for more than once: those repeated
-    under one doc_id."""
+    """(component, tiles, chunk, node, shingles) of the texts with a hash and a doc_id in ``wanted``
+    (component, tiles, chunk, at, doc_id), a stored table, one row for each node.  Only texts that
+    may be wanted are shuffled.  A text repeated under one doc_id comes once for each task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, BATCH_BYTES):
-            found = [np.unique(shingles(value.as_py(), words, seed)) for value in batch.column(1)]
+        seen: set[int] = set()
+        for batch in slices(batches, 3, BATCH_BYTES):
+            new, nodes, sets = [], [], []
+            for row, value in enumerate(batch.column(3)):
+                own = np.unique(shingles(value.as_py(), words, seed))
+                node = node_of(own, seed)
+                if node not in seen:
+                    seen.add(node)
+                    new.append(row)
+                    nodes.append(node)
+                    sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([node_of(s, seed) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["component", "node", "shingles"],
+                [*batch.select([0, 1, 2]).take(pa.array(new, pa.int64())).columns, pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())],
+                ["component", "tiles", "chunk", "node", "shingles"],
             )
 
-    texts = keyed_texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("at"), "text").alias("t")
-    wanted = wanted.alias("w")
+    texts = keyed_texts(docs, key, text).select("doc_id", F.xxhash64("text").alias("at"), "text")
+    place = [F.col("at"), F.col("doc_id")]
+    texts, wanted = maybe_in(texts, place, wanted, place).where("_maybe").alias("t"), wanted.alias("w")
     same = (F.col("t.at") == F.col("w.at")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = texts.join(wanted, same).select("component", "text")
-    return texts.mapInArrow(run, "component long, node long, shingles binary").dropDuplicates(["node"])
+    texts = texts.join(wanted, same).select("component", "tiles", "chunk", "text")
+    return texts.mapInArrow(run, "component long, tiles int, chunk int, node long, shingles binary")
 
 
 def joined_by_prints(entries: DataFrame) -> DataFrame:
@@ -180,8 +192,9 @@ def linked_sets(sets: list[np.ndarray], side: np.ndarray, share: float) -> list[
 
 
 def verified(members: DataFrame, share: float) -> DataFrame:
-    """Links (a, b) that join all of ``members``(component, node, shingles) of one component
-    whose sets have a Jaccard similarity of ``share`` or more: a spanning forest of each tile."""
+    """Links (a, b) that join all of ``members``(component, tiles, chunk, node, shingles) of one
+    component whose sets have a Jaccard similarity of ``share`` or more: a spanning forest of
+    each tile.  A node counts once in a tile; the tiles' own shuffle serves for that."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches, ["component", "lo", "hi"]):
@@ -195,7 +208,9 @@ def verified(members: DataFrame, share: float) -> DataFrame:
                 a, b = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    return tiled(members, "component", "node", BATCH_BYTES, "octet_length(shingles)").mapInArrow(run, "a long, b long")
+    tile = ["component", "lo", "hi"]
+    tiles = dealt(members, "component").dropDuplicates([*tile, "node"]).sortWithinPartitions(*tile)
+    return tiles.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(
@@ -215,7 +230,7 @@ def similar_groups(
         raise ValueError("the index is laid out for similarities of 0.8 and more")
     rows = written(sketched(docs, words=words, seed=seed, key=key, text=text), "sketches")
     distinct = rows.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min(F.struct("at", "doc_id")).alias("text"), F.min("simhash").alias("simhash"), F.min("print").alias("print")
+        F.min("doc_id").alias("first"), F.min(F.struct("at", "doc_id")).alias("text"), *(F.min(c).alias(c) for c in ("bytes", "simhash", "print"))
     )
     distinct = written(distinct, "distinct")
     places = distinct.select("node", F.posexplode("print").alias("place", "value"))
@@ -223,10 +238,10 @@ def similar_groups(
     shared = places.groupBy("entry").count().where("count > 1").select("entry")
     met = places.join(shared, "entry").join(distinct.select("node", "print"), "node")
     near = joined_by_prints(written(met, "entries")).unionByName(joined_by_simhash(distinct.select("node", "simhash")))
-    apart = written(connected(near).join(distinct.select("node", "text"), "node"), "apart")
-    wanted = apart.select("component", "text.*")
-    members = written(sets_of(docs, wanted, words=words, seed=seed, key=key, text=text), "sets")
-    parts = connected(verified(members, share))
+    apart = written(connected(near).join(distinct.select("node", "text", "bytes"), "node"), "apart")
+    apart = chunked(apart, "component", "node", BATCH_BYTES, "bytes")
+    wanted = written(apart.select("component", "tiles", "chunk", "text.*"), "wanted")
+    parts = connected(verified(sets_of(docs, wanted, words=words, seed=seed, key=key, text=text), share))
     joined = parts.withColumnRenamed("component", "part").join(distinct.select("node", "first"), "node")
     smallest = joined.groupBy("part").agg(F.min("first").alias("component_id"))
     moved = joined.join(smallest, "part").select("node", "component_id")

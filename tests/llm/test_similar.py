@@ -1,12 +1,15 @@
 """Near copies of the pipeline against all pairs in plain Python."""
 
 import itertools
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quincunx.llm import similar
+from quincunx.llm.common import maybe_in, written
 
 
 def set_of(text, words=5):
@@ -110,3 +113,56 @@ def test_simhash_prints_join_what_the_other_index_leaves(spark, monkeypatch):
     rows += [(4, " ".join([line] * 300 + [f"x{k}" for k in range(60)])), (5, " ".join([line] * 300 + [f"y{k}" for k in range(60)]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert dict((r.doc_id, r.component_id) for r in similar.similar_groups(df).collect()) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """Every table counts as too large for a broadcast that isn't asked for, as on a larger corpus."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def shuffle_mb(spark, run):
+    """Megabytes of shuffle files that ``run`` adds."""
+    folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("shuffle_*.data"))
+    before = size()
+    run()
+    return (size() - before) / 1e6
+
+
+def test_texts_without_near_copies_are_not_shuffled(spark, shuffled_joins, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(i, "".join(chr(c) for c in rng.integers(97, 123, 4000)) + f" a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(2000)]
+    rows += [(2000 + i, rows[i][1].replace(" f", " g")) for i in range(0, 20, 2)] + [(0, rows[0][1]), (None, rows[1][1])]
+    assert len({len(t.split()) for _, t in rows}) == 1
+    base = " ".join(f"w{k}" for k in range(400))
+    rows += [(3000 + i, base + f" x{i}") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = []
+    moved = shuffle_mb(spark, lambda: kept.extend(r.doc_id for r in similar.first_of_similar(docs).collect()))
+    assert sorted(map(repr, kept)) == sorted(map(repr, [*range(2000), *range(2000, 2020, 2), 3000, None]))
+    assert moved < 4, moved
+
+
+def test_sets_are_compared_across_chunks_and_repeated_rows(spark, shuffled_joins, monkeypatch):
+    monkeypatch.setattr(similar, "BATCH_BYTES", 1500)
+    rows = copies(5)
+    df = spark.createDataFrame(rows + rows[:60] + rows[:30], "doc_id long, text string").repartition(5)
+    got = {repr((r.doc_id, r.component_id)) for r in similar.similar_groups(df).collect()}
+    assert got == set(map(repr, zip((i for i, _ in rows), groups_of(rows), strict=True)))
+
+
+def test_what_may_be_wanted_holds_all_that_is(spark):
+    wanted = written(spark.sql("SELECT if(id = 0, NULL, 7 * id - 3000) AS k FROM range(3000)"), "wanted")
+    rows = spark.sql("SELECT id - 100000 AS k FROM range(200000) UNION ALL SELECT NULL")
+    marked = maybe_in(rows, [F.col("k")], wanted, [F.col("k")])
+    assert marked.columns == ["k", "_maybe"] and marked.count() == 200001
+    found = {r.k for r in marked.where("_maybe").collect()}
+    assert found >= {r.k for r in wanted.collect()}
+    assert len(found) < 3000 + 200000 / 16
+    assert not maybe_in(rows, [F.col("k")], wanted.limit(0), [F.col("k")]).where("_maybe").count()
